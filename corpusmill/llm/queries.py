@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, packing, repeated_lines, similar_vectors, splitting, top_per_group
+from corpusmill.llm import broken_pairs, mixing, packing, repeated_lines, similar_vectors, splitting, top_per_group
 from corpusmill.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return similar_vectors.similar_pairs(read_table(spark, base, "evaluate_embeddings"))
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return broken_pairs.find_broken_pairs(read_table(spark, base, "service_faq_data"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return repeated_lines.repeated_lines(read_table(spark, base, "blog")).select("post_id", "line_no")
 
@@ -62,7 +66,7 @@ def p8_shares(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p4_found, p4_templates, p4_cleaned, p5_found, p5_pieces, p6_found, p6_ranked, p7_containers, p7_fill, p8_mixture, p8_shares)
+    for f in (p2_found, p3_found, p4_found, p4_templates, p4_cleaned, p5_found, p5_pieces, p6_found, p6_ranked, p7_containers, p7_fill, p8_mixture, p8_shares)
 }
 
 _TOP_HITS = """
