@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import broken_pairs, mixing, packing, repeated_lines, similar_vectors, splitting, top_per_group
+from corpusmill.llm import broken_pairs, mixing, packing, personal_information, repeated_lines, similar_vectors, splitting, top_per_group
 from corpusmill.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +64,17 @@ def p8_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix_shares(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return personal_information.find_personal_information(read_table(spark, base, "documents")).select("doc_id", "pii_type", "start_pos")
+
+
+def p9_masked(spark: SparkSession, base: str) -> DataFrame:
+    return personal_information.mask_personal_information(read_table(spark, base, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p3_found, p4_found, p4_templates, p4_cleaned, p5_found, p5_pieces, p6_found, p6_ranked, p7_containers, p7_fill, p8_mixture, p8_shares)
+    for f in (p2_found, p3_found, p4_found, p4_templates, p4_cleaned, p5_found, p5_pieces, p6_found, p6_ranked, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_masked)
 }
 
 _TOP_HITS = """
