@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.operators import snapshots
+from corpusmill.plans import content, hierarchies, retrieval, stores
 from corpusmill.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,5 +23,5 @@ def p1_change_counts(spark: SparkSession, base: str) -> DataFrame:
     return snapshots.change_counts(read_table(spark, base, "contract"), read_table(spark, base, "runs"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_change_counts": p1_change_counts}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_change_counts": p1_change_counts} | content.QUERIES | retrieval.QUERIES | stores.QUERIES | hierarchies.QUERIES
+SQL: dict[str, str] = content.SQL | retrieval.SQL | stores.SQL | hierarchies.SQL
