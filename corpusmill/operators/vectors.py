@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,25 +46,54 @@ def vector_problem(vector: Column, dim: int) -> Column:
     )
 
 
-#: Bytes of query vectors up to which they are sent to every task that scores chunks.
-QUERY_BYTES = 64 << 20
+#: Bytes of query vectors up to which they are sent to every task that scores chunks, and scores held at a time.
+QUERY_BYTES, SCORES = 64 << 20, 4_000_000
 
 
-def scored(chunks: DataFrame, queries: DataFrame, dim: int, vector: str = "embedding", query_vector: str = "query_embedding", digits: int = 6) -> DataFrame:
-    """Every query against every chunk with its cosine as ``score``; unusable vectors take no part.
+def nearest_chunks(
+    chunks: DataFrame, queries: DataFrame, dim: int, k: int, ties: Sequence[str], keep: Sequence[str] = (), lane: str | None = None, vector: str = "embedding", digits: int = 6
+) -> DataFrame:
+    """(query_id, lane, *ties, *keep, score, rank): the ``k`` best chunks of every query, per lane if there is one.
 
-    This is the exact search: queries are a stated, small set, held whole by each task while the
-    chunks stream past in blocks. Their size is measured first; more than ``QUERY_BYTES`` is an
-    error, so that no unbounded side is ever replicated. Scores are rounded so that equal ones tie.
+    ``queries``: (query_id, query_embedding). Scores are cosines, rounded so that equal ones tie;
+    ties are settled by ``ties``, ascending. Unusable vectors take no part.
+
+    The search is exact: queries are a stated set, measured first and held by every task, the
+    chunks stream past in Arrow batches, one matrix product each. A batch hands on only what can
+    still be among the ``k`` best, ties at its edge included, so the shuffle carries about ``k``
+    rows per query and batch instead of a row per pair.
     """
-    asked = queries.where(usable(F.col(query_vector), dim)).withColumn("__qn", norm(F.col(query_vector)))
-    held = asked.agg(F.count("*").alias("n")).first()["n"] * dim * 8
-    if held > QUERY_BYTES:
+    spark = chunks.sparkSession
+    asked = queries.where(usable(F.col("query_embedding"), dim)).select("query_id", "query_embedding")
+    if asked.count() * dim * 8 > QUERY_BYTES:
         raise ValueError("too many queries for one exact search; split the query set")
-    kept = chunks.where(usable(F.col(vector), dim)).withColumn("__n", norm(F.col(vector)))
-    both = kept.join(F.broadcast(asked))
-    score = F.round(dot(F.col(vector), F.col(query_vector)) / (F.col("__n") * F.col("__qn")), digits)
-    return both.withColumn("score", score).drop("__n", "__qn", vector, query_vector)
+    held = asked.toPandas()
+    matrix = np.stack(held["query_embedding"].to_numpy()).astype(np.float64) if len(held) else np.zeros((0, dim))
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    shared = spark.sparkContext.broadcast((held["query_id"].to_numpy(), matrix))
+    columns = list(dict.fromkeys([*([lane] if lane else []), *ties, *keep]))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, asked_for = shared.value
+        rows = max(1, SCORES // max(1, len(names)))
+        for batch in batches:
+            for at in range(0, len(batch) if len(names) else 0, rows):
+                part = batch.iloc[at : at + rows]
+                x = np.stack(part[vector].to_numpy()).astype(np.float64)
+                found = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ asked_for.T, digits)
+                for _, own in part.groupby(lane).indices.items() if lane else [(None, np.arange(len(part)))]:
+                    scores = found[own]
+                    edge = np.partition(scores, len(own) - k, axis=0)[len(own) - k] if len(own) > k else scores.min(axis=0)
+                    row, query = np.nonzero(scores >= edge)
+                    out = part.iloc[own[row]][columns]
+                    out.insert(0, "query_id", names[query])
+                    out["score"] = scores[row, query]
+                    yield out
+
+    kinds = dict(chunks.dtypes)
+    schema = ", ".join(["query_id bigint", *(f"`{c}` {kinds[c]}" for c in columns), "score double"])
+    best = chunks.where(usable(F.col(vector), dim)).select(*columns, vector).mapInPandas(score, schema)
+    return nearest(best, ["query_id", *([lane] if lane else [])], list(ties), k)
 
 
 def nearest(scored_rows: DataFrame, by: list[str], ties: list[str], k: int) -> DataFrame:
@@ -107,14 +139,13 @@ class Limits:
         return self
 
 
-def merge_lanes(rows: DataFrame, by: list[str], lane: str, document: str, ties: list[str], limits: Limits) -> DataFrame:
-    """Pool, group and cut each lane by its quota, then one list over lanes with ``position`` from 1.
+def merge_lanes(pool: DataFrame, by: list[str], lane: str, document: str, ties: list[str], limits: Limits) -> DataFrame:
+    """Group each lane's pool of best chunks, cut it by the lane's quota, then one list over lanes with ``position`` from 1.
 
     A document's chunks stay together; documents are ordered by their best score.
     """
-    spark = rows.sparkSession
-    quotas = spark.createDataFrame(sorted(limits.documents.items()), f"`{lane}` string, quota int")
-    pool = nearest(rows, [*by, lane], ties, limits.pool).drop("rank").join(F.broadcast(quotas), lane)
+    quotas = pool.sparkSession.createDataFrame(sorted(limits.documents.items()), f"`{lane}` string, quota int")
+    pool = pool.drop("rank").join(F.broadcast(quotas), lane)
     grouped = group_by_document(pool, [*by, lane], document, ties, "quota", limits.per_document)
     whole = Window.partitionBy(*by, lane, document)
     best = grouped.withColumn("__best", F.max("score").over(whole))
@@ -156,9 +187,9 @@ def search(chunks: DataFrame, queries: DataFrame, dim: int, public: list[str], s
     if documents < 1:
         raise ValueError("at least one document")
     asked = queries.where(F.length(F.trim("query_text")).between(1, 2000)).select("query_id", "query_embedding")
-    rows = scored(narrowed(chunks, public, scopes), asked, dim)
     ties = ["content_hash", "canonical_uri", "chunk_index"]
-    best = group_by_document(nearest(rows, ["query_id"], ties, pool).drop("rank"), ["query_id"], "canonical_uri", ties, documents, per_document)
+    rows = nearest_chunks(narrowed(chunks, public, scopes), asked, dim, pool, ties, ["source_scope"])
+    best = group_by_document(rows.drop("rank"), ["query_id"], "canonical_uri", ties, documents, per_document)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("document_rank", "chunk_rank"))
     nothing = F.lit(None).cast("string")
     return best.withColumn("rank", rank).withColumn("citation_uri", citation(F.col("canonical_uri"), F.col("source_scope"), nothing, nothing))

@@ -35,7 +35,7 @@ def chunk_windows(spark: SparkSession, base: str) -> DataFrame:
 def _faq_blocks(spark: SparkSession, base: str) -> DataFrame:
     """FAQ exports as documents of one pair block per filled pair."""
     faq = read_table(spark, base, "service_faq_data", ["faq_id", "pairs"])
-    full = F.filter("pairs", lambda p: (F.trim(F.coalesce(p["question"], F.lit(""))) != "") & (F.trim(F.coalesce(p["answer"], F.lit(""))) != ""))
+    full = F.filter("pairs", lambda p: F.coalesce(p["question"].rlike(r"[^ \t\n\r]") & p["answer"].rlike(r"[^ \t\n\r]"), F.lit(False)))
     packed = F.to_json(
         F.transform(full, lambda p: F.struct(F.lit("faq_pair").alias("type"), p["question"].alias("question"), F.array(F.struct(F.lit("paragraph").alias("type"), p["answer"].alias("text"))).alias("answer")))
     )
@@ -168,7 +168,7 @@ def _folded(column: str) -> str:
     """SQL of the character rules; joiners are only dropped, so the texts must hold none between pictographs."""
     out = f"replace(nfc_normalize({column}), chr(8205), '')"
     out = rf"regexp_replace(regexp_replace({out}, '{_BLANK}', ' ', 'g'), '{_REMOVED}', '', 'g')"
-    out = rf"regexp_replace(regexp_replace({out}, '[‘’‚‛]', '''', 'g'), '[“”„‟]', '"', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '[‘’‚‛]', '''', 'g'), '[“”„‟]', chr(34), 'g')"
     return rf"replace(replace({out}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 
 
@@ -192,8 +192,8 @@ SQL = {
       with w as (select doc_id, text, unnest(range(case when length(text) <= 1000 then 1 else ceil((length(text) - 1000) / 850.0)::int + 1 end)) as i
                  from documents where length(text) > 0)
       select doc_id, i::int as chunk_index, sha256(substring(text, (i * 850 + 1)::bigint, 1000)) as content_hash from w""",
-    "faq_pair_chunks": """
-      with p as (select faq_id, list_filter(pairs, lambda p: trim(coalesce(p.question, '')) <> '' and trim(coalesce(p.answer, '')) <> '') as ps from service_faq_data),
+    "faq_pair_chunks": r"""
+      with p as (select faq_id, list_filter(pairs, lambda p: coalesce(regexp_matches(p.question, '[^ \t\n\r]') and regexp_matches(p.answer, '[^ \t\n\r]'), false)) as ps from service_faq_data),
       e as (select faq_id, unnest(range(len(ps))) as k, unnest(ps) as pair from p)
       select faq_id, k::int as chunk_index, sha256(pair.question || chr(10) || pair.answer) as content_hash from e""",
     "slot_unpivot": """

@@ -13,9 +13,9 @@ MODEL, DIM = "certhaven-embed-64", 64
 
 def exact_topk_grouped(spark: SparkSession, base: str) -> DataFrame:
     rows = read_table(spark, base, "embeddings")
-    query = rows.where("vec_id = 0").select(F.col("embedding").alias("query_embedding"))
-    pool = vectors.nearest(vectors.scored(rows, query, _dim(rows)), [], ["vec_id"], 50).drop("rank").withColumn("one", F.lit(1))
-    best = vectors.group_by_document(pool, ["one"], "label", ["vec_id"], 8, 2)
+    query = rows.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    pool = vectors.nearest_chunks(rows, query, _dim(rows), 50, ["vec_id"], ["label"]).drop("rank")
+    best = vectors.group_by_document(pool, ["query_id"], "label", ["vec_id"], 8, 2)
     return best.select("vec_id", "label", "score", "document_rank", "chunk_rank")
 
 
@@ -26,7 +26,7 @@ def _dim(rows: DataFrame) -> int:
 def knn_ranks(spark: SparkSession, base: str) -> DataFrame:
     rows = read_table(spark, base, "embeddings")
     queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return vectors.nearest(vectors.scored(rows, queries, _dim(rows)), ["query_id"], ["vec_id"], 10).select("query_id", "vec_id", "score", "rank")
+    return vectors.nearest_chunks(rows, queries, _dim(rows), 10, ["vec_id"]).select("query_id", "vec_id", "score", "rank")
 
 
 def _chunks(spark: SparkSession, base: str) -> DataFrame:
@@ -50,10 +50,11 @@ def scope_search(spark: SparkSession, base: str) -> DataFrame:
 
 def lane_quota_merge(spark: SparkSession, base: str) -> DataFrame:
     chunks = _chunks(spark, base)
-    rows = vectors.scored(vectors.narrowed(chunks, list(PUBLIC), None).drop("content"), _queries(chunks).drop("query_text"), DIM)
-    laned = rows.withColumn("lane", F.when(F.col("source_scope") == "blog", "blog").otherwise("own"))
+    public = vectors.narrowed(chunks, list(PUBLIC), None).withColumn("lane", F.when(F.col("source_scope") == "blog", "blog").otherwise("own"))
     limits = vectors.Limits({"own": 5, "blog": 2}, 2, 50).check({"own", "blog"})
-    merged = vectors.merge_lanes(laned, ["query_id"], "lane", "canonical_uri", ["content_hash", "canonical_uri", "chunk_index"], limits)
+    ties = ["content_hash", "canonical_uri", "chunk_index"]
+    pool = vectors.nearest_chunks(public, _queries(chunks), DIM, limits.pool, ties, lane="lane")
+    merged = vectors.merge_lanes(pool, ["query_id"], "lane", "canonical_uri", ties, limits)
     return merged.select("query_id", "lane", "canonical_uri", "chunk_index", "score", "position")
 
 
