@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.keys import opened, sealed
+
 _ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
 _UNRESERVED = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 _DEFAULT_PORTS = {"http": "80", "https": "443"}
@@ -152,10 +154,11 @@ def compare_snapshots(contract: DataFrame, runs: DataFrame) -> DataFrame:
     records = contract.select(
         "run_id", "canonical_uri", "title", "blocks", "lang", "content_type", "retrieved_at", "record_id"
     ).where("canonical_uri is not null")
-    keyed = records.join(ledger, "run_id").mapInPandas(
+    paired = records.join(ledger, "run_id").withColumns({"next_run": sealed("next_run"), "record_id": sealed("record_id")})
+    keyed = paired.mapInPandas(
         _fingerprints,
         "run_id bigint, next_run bigint, has_before boolean, canonical_uri string, retrieved_at timestamp, record_id bigint, content binary",
-    )
+    ).withColumn("next_run", opened("next_run"))
     snapshot = keyed.groupBy("run_id", "next_run", "has_before", "canonical_uri").agg(
         F.max(F.struct("retrieved_at", "record_id", "content")).alias("latest")
     )
