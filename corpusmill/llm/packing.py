@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.keys import opened, sealed
 from corpusmill.llm.tokens import count_tokens
 from corpusmill.scratch import durable
 
@@ -208,7 +209,8 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
     while rows:
         groups = -(-rows // group_items)
         dealt = todo.repartition(groups, F.xxhash64(F.lit(turn), "doc_id", "part_no"))
-        packed = durable(dealt.select("doc_id", "part_no", "token_start", "n_tokens").mapInPandas(_pack_group(turn, capacity), _PACKED))
+        sent = dealt.select(sealed("doc_id").alias("doc_id"), "part_no", "token_start", "n_tokens")
+        packed = durable(sent.mapInPandas(_pack_group(turn, capacity), _PACKED).withColumn("doc_id", opened("doc_id")))
         open_rows = packed.where(F.col("fill") < capacity)
         counts = open_rows.agg(F.count("*").alias("rows"), F.count_distinct("container_id").alias("bins")).first()
         if groups == 1 or (bins_before is not None and counts["bins"] >= bins_before):

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.keys import opened, sealed
 from corpusmill.llm.html_text import visible_blocks, visible_text
 
 _ENDS = (
@@ -37,24 +38,36 @@ def boundary_strengths(text: str, ends: dict[int, int] | None = None) -> np.ndar
 
 
 class StrongestCut:
-    """Sparse table over boundary strengths: the strongest cut of a window in constant time, the rightmost of equals."""
+    """Sparse table over boundary strengths: the strongest cut of a window in constant time, the rightmost of equals.
 
-    def __init__(self, strength: np.ndarray):
-        index = np.arange(len(strength), dtype=np.int64)
+    Levels reach up to the widest window asked for. The table covers a stretch of the text at a
+    time and moves on with the windows, so its size is bounded for texts of any length.
+    """
+
+    STRETCH = 1 << 18
+
+    def __init__(self, strength: np.ndarray, widest: int):
+        self.strength, self.widest = strength, widest
+        self._cover(0)
+
+    def _cover(self, base: int) -> None:
+        part = self.strength[base : base + max(self.STRETCH, 2 * self.widest)].astype(np.int64)
+        self.base, self.n = base, len(part)
         # one number orders by strength, then by position
-        self.levels = [strength.astype(np.int64) * len(strength) + index]
-        self.n = len(strength)
-        span = 1
-        while 2 * span <= self.n:
+        self.levels, span = [part * self.n + np.arange(self.n)], 1
+        while 2 * span <= min(self.n, self.widest):
             below = self.levels[-1]
             self.levels.append(np.maximum(below[:-span], below[span:]))
             span *= 2
 
     def query(self, low: int, high: int) -> int:
-        """The best cut in [low, high]."""
+        """The best cut in [low, high]; windows must not move back."""
+        if high >= self.base + self.n:
+            self._cover(low)
+        low, high = low - self.base, high - self.base
         k = (high - low + 1).bit_length() - 1
         level = self.levels[k]
-        return int(max(level[low], level[high - (1 << k) + 1]) % self.n)
+        return self.base + int(max(level[low], level[high - (1 << k) + 1]) % self.n)
 
 
 def split_points(text: str, limit: int, overlap: int, least: float = 0.5, ends: dict[int, int] | None = None) -> list[tuple[int, int]]:
@@ -68,8 +81,8 @@ def split_points(text: str, limit: int, overlap: int, least: float = 0.5, ends:
     n = len(text)
     if n <= limit:
         return [(0, n)] if n else []
-    table = StrongestCut(boundary_strengths(text, ends))
-    shortest = max(overlap + 1, int(limit * least))
+    shortest = min(limit, max(overlap + 1, int(limit * least)))
+    table = StrongestCut(boundary_strengths(text, ends), limit - shortest + 1)
     pieces, start = [], 0
     while n - start > limit:
         end = table.query(start + shortest, start + limit)
@@ -114,8 +127,8 @@ def split_items(items: DataFrame, table: str, item_id: str, body: str, limit: in
     """
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("the limit must be positive and larger than the overlap")
-    long = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(body).alias("body")).where(F.length("body") > limit)
-    return long.mapInPandas(_splitter(table, markup, limit, overlap), _PIECES)
+    long = items.select(sealed(item_id).alias("item_id"), F.col(body).alias("body")).where(F.length("body") > limit)
+    return long.mapInPandas(_splitter(table, markup, limit, overlap), _PIECES).withColumn("item_id", opened("item_id"))
 
 
 def split_corpus(blog: DataFrame, embeddings: DataFrame, blog_limit: int = 4000, chunk_limit: int = 1000, overlap: int = 150) -> DataFrame:

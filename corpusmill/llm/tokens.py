@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusmill.functions.keys import opened, sealed
+
 #: Folder of the vocabulary files on every executor, and the vocabulary used.
 VOCABULARY_FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-tokenizer pattern of this vocabulary.
@@ -34,6 +36,8 @@ def count_tokens(documents: DataFrame, columns: list[str], text: str = "text", f
             counts = [len(encode(t)) if isinstance(t, str) and t else 0 for t in batch["__text"]]
             yield batch[columns].assign(n_tokens=pd.array(counts, dtype="int64"))
 
-    rows = documents.select(*columns, documents[text].alias("__text"))
-    kinds = ", ".join(f"`{c}` {dict(documents.dtypes)[c]}" for c in columns)
-    return rows.mapInPandas(count, f"{kinds}, n_tokens bigint")
+    types = dict(documents.dtypes)
+    keys = [c for c in columns if types[c] in ("bigint", "int")]
+    rows = documents.select(*[sealed(c).alias(c) if c in keys else c for c in columns], documents[text].alias("__text"))
+    kinds = ", ".join(f"`{c}` {'bigint' if c in keys else types[c]}" for c in columns)
+    return rows.mapInPandas(count, f"{kinds}, n_tokens bigint").withColumns({c: opened(c) for c in keys})
