@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from corpusmill.functions.keys import opened, sealed
+from corpusmill.llm.spread import spread
 
 #: Folder of the vocabulary files on every executor, and the vocabulary used.
 VOCABULARY_FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -27,7 +28,7 @@ def encoder(path: str):
 
 
 def count_tokens(documents: DataFrame, columns: list[str], text: str = "text", folder: str = VOCABULARY_FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``columns`` of every row with n_tokens of its whole text; null and empty texts have none. No shuffle."""
+    """``columns`` of every row with n_tokens of its whole text; null and empty texts have none."""
     path = f"{folder}/{vocabulary}"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,4 +41,4 @@ def count_tokens(documents: DataFrame, columns: list[str], text: str = "text", f
     keys = [c for c in columns if types[c] in ("bigint", "int")]
     rows = documents.select(*[sealed(c).alias(c) if c in keys else c for c in columns], documents[text].alias("__text"))
     kinds = ", ".join(f"`{c}` {'bigint' if c in keys else types[c]}" for c in columns)
-    return rows.mapInPandas(count, f"{kinds}, n_tokens bigint").withColumns({c: opened(c) for c in keys})
+    return spread(rows).mapInPandas(count, f"{kinds}, n_tokens bigint").withColumns({c: opened(c) for c in keys})
