@@ -28,7 +28,8 @@ def record_outcomes(store: DataFrame, delivery: DataFrame) -> DataFrame:
 
     ``store``: (canonical_uri, status, content_hash, versions). ``delivery``: (canonical_uri,
     ordinal, content_hash, versions). The first record of a page meets the store, each later one
-    the record before it. Records without canonical_uri are ignored; equal ordinals are taken in
+    the record before it; ``page_rewritten``
+    tells whether any of a page's records differed from what stood before. Records without canonical_uri are ignored; equal ordinals are taken in
     the order of their hashes.
     """
     own = F.struct(*VERSIONS)
@@ -50,7 +51,8 @@ def record_outcomes(store: DataFrame, delivery: DataFrame) -> DataFrame:
     kind = outcome(stored, archived, before_versions.eqNullSafe(F.col("__own")), before_hash.eqNullSafe(F.col("content_hash")))
     rebuilt = ~(before_versions.eqNullSafe(F.col("__own")) & before_hash.eqNullSafe(F.col("content_hash")))
     last = F.row_number().over(along.orderBy(F.col("ordinal").desc(), F.col("content_hash").desc())) == 1
-    return seen.select(*delivery.columns, kind.alias("outcome"), F.coalesce(rebuilt, F.lit(True)).alias("rebuild"), last.alias("is_last"))
+    found = seen.select(*delivery.columns, kind.alias("outcome"), F.coalesce(rebuilt, F.lit(True)).alias("rebuild"), last.alias("is_last"))
+    return found.withColumn("page_rewritten", F.max(F.col("outcome") != "unchanged").over(Window.partitionBy("canonical_uri")))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
@@ -91,12 +93,12 @@ def next_store(store: DataFrame, outcomes: DataFrame, failures: DataFrame, missi
     ``failures``: (canonical_uri, failed); ``missing``: (canonical_uri).
     """
     content = [c for c in store.columns if c not in ("canonical_uri", "status", "gone_count", "consecutive_failure_count", "last_seen_at", "last_run_id")]
-    new = outcomes.where("is_last").select("canonical_uri", *[F.col(c).alias(f"__{c}") for c in content if c in outcomes.columns], F.col("outcome").alias("__outcome"))
+    new = outcomes.where("is_last").select("canonical_uri", *[F.col(c).alias(f"__{c}") for c in content if c in outcomes.columns], F.lit(True).alias("__delivered"), F.col("page_rewritten").alias("__rewritten"))
     absent = missing.select("canonical_uri", F.lit(1).alias("__missing")).distinct()
     failed = failures.groupBy("canonical_uri").agg(F.sum("failed").alias("__failed"))
     both = store.join(new, "canonical_uri", "full_outer").join(absent, "canonical_uri", "left").join(failed, "canonical_uri", "left")
-    delivered = F.col("__outcome").isNotNull()
-    rewritten = delivered & (F.col("__outcome") != "unchanged")
+    delivered = F.col("__delivered").isNotNull()
+    rewritten = F.coalesce("__rewritten", F.lit(False))
     columns = [F.when(rewritten, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in outcomes.columns else F.col(c) for c in content]
     gone = F.when(delivered, 0).otherwise(F.coalesce("gone_count", F.lit(0))) + F.coalesce("__missing", F.lit(0))
     bad = F.when(delivered, 0).otherwise(F.coalesce("consecutive_failure_count", F.lit(0))) + F.when(delivered, 0).otherwise(F.coalesce("__failed", F.lit(0)))

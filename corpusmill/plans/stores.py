@@ -154,12 +154,12 @@ SQL = {
     "sync_outcomes": f"with {_DELIVERIES} select canonical_uri, ordinal, outcome, rebuild from outcomes",
     "sync_counters": f"with {_DELIVERIES} select " + ", ".join(f"count(*) filter (where outcome = '{k}') as {k}" for k in ("new", "unchanged", "changed", "reprocessed", "restored")) + " from outcomes",
     "reconcile_missing": f"with {_DELIVERIES} select canonical_uri from store s where status = 'active' and not exists (select 1 from delivery d where d.canonical_uri = s.canonical_uri)",
-    "store_after_run": f"""with {_DELIVERIES}, l as (select * from outcomes where is_last),
+    "store_after_run": f"""with {_DELIVERIES}, l as (select *, bool_or(outcome <> 'unchanged') over (partition by canonical_uri) as rewritten from outcomes qualify is_last),
       m as (select canonical_uri from store s where status = 'active' and not exists (select 1 from delivery d where d.canonical_uri = s.canonical_uri))
       select coalesce(s.canonical_uri, l.canonical_uri) as canonical_uri, case when l.outcome is not null then 'active' else s.status end as status,
         (case when l.outcome is not null then 0 else 1 end + case when m.canonical_uri is not null then 1 else 0 end)::int as gone_count,
         (case when l.outcome is not null then 0 else 2 end)::int as consecutive_failure_count, case when l.outcome is not null then 'now' else 'before' end as last_run_id,
-        case when l.outcome is not null and l.outcome <> 'unchanged' then l.content_hash else s.content_hash end as content_hash
+        case when l.rewritten then l.content_hash else s.content_hash end as content_hash
       from store s full join l using (canonical_uri) left join m on m.canonical_uri = coalesce(s.canonical_uri, l.canonical_uri)""",
     "empty_inventory_guard": f"""with {_DELIVERIES} select source_scope, count(*) as active_pages from store where status = 'active'
       and source_scope not in (select source_scope from delivery where source_scope <> 'blog-00003') group by 1""",

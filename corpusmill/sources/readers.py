@@ -154,7 +154,7 @@ def read_dictionaries(spark: SparkSession, path: str, names: Sequence[str]) -> D
             ]
             yield pd.DataFrame(rows, columns=["path", "dictionary", "position", "key", "pairs"])
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInPandas(parse, "path string, dictionary string, position int, key string, pairs array<struct<question:string,answer:string>>")
 
 

@@ -33,9 +33,11 @@ def synchronize_stream(records: DataFrame, snapshots: Snapshots, table: str, che
 
 def windowed_counts(events: DataFrame, time: str, by: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and mean value per window and group; events later than ``late`` behind the newest are dropped by the stream."""
+    kind = dict(events.dtypes)[time]
     return (
-        events.withWatermark(time, late)
+        events.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, late)
         .groupBy(F.window(time, width).alias("w"), *by)
         .agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
-        .select(F.col("w.start").alias("window_start"), *by, "n", "mean_value")
+        .select(F.col("w.start").cast(kind).alias("window_start"), *by, "n", "mean_value")
     )
