@@ -95,8 +95,8 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
 
 
 def _improve(bins: Bins, sizes: list[int]) -> bool:
-    """One pass over the underfull bins as givers; whether any bin was emptied."""
-    capacity, emptied = bins.capacity, False
+    """One pass over the underfull bins as givers; whether any step was made."""
+    capacity, stepped = bins.capacity, False
     under = sorted((b for b, f in bins.fill.items() if f < capacity), key=lambda b: (bins.fill[b], b))
     holds: dict[int, dict[int, None]] = defaultdict(dict)  # size -> underfull bins that hold an item of it
     for b in under:
@@ -105,18 +105,19 @@ def _improve(bins: Bins, sizes: list[int]) -> bool:
     for giver in under:
         if giver not in bins.items or bins.fill[giver] == capacity:
             continue
-        if _give(bins, sizes, giver, holds):
-            emptied = True
-    return emptied
+        stepped |= _give(bins, sizes, giver, holds)
+    return stepped
 
 
 def _give(bins: Bins, sizes: list[int], giver: int, holds: dict[int, dict[int, None]]) -> bool:
+    stepped = False
     while giver in bins.items:
         own = sorted(bins.items[giver], key=lambda i: -sizes[i])
         if not (_move(bins, sizes, giver, own) or _exchange(bins, sizes, giver, [(i,) for i in own], holds)
                 or _exchange(bins, sizes, giver, itertools.combinations(own, 2), holds)):
-            return False
-    return True
+            return stepped
+        stepped = True
+    return stepped
 
 
 def _transfer(bins: Bins, sizes: list[int], giver: int, taker: int, out: tuple[int, ...], back: int | None) -> None:
