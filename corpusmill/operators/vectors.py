@@ -51,12 +51,13 @@ QUERY_BYTES, SCORES = 64 << 20, 4_000_000
 
 
 def nearest_chunks(
-    chunks: DataFrame, queries: DataFrame, dim: int, k: int, ties: Sequence[str], keep: Sequence[str] = (), lane: str | None = None, vector: str = "embedding", digits: int = 6
+    chunks: DataFrame, queries: DataFrame, dim: int, k: int, ties: Sequence[str], keep: Sequence[str] = (), lane: str | None = None, vector: str = "embedding", digits: int = 6, half: bool = False
 ) -> DataFrame:
     """(query_id, lane, *ties, *keep, score, rank): the ``k`` best chunks of every query, per lane if there is one.
 
     ``queries``: (query_id, query_embedding). Scores are cosines, rounded so that equal ones tie;
-    ties are settled by ``ties``, ascending. Unusable vectors take no part.
+    ties are settled by ``ties``, ascending. Unusable vectors take no part. With ``half`` both sides
+    are held to half precision first, as a store of half vectors would.
 
     The search is exact: queries are a stated set, measured first and held by every task, the
     chunks stream past in Arrow batches, one matrix product each. A batch hands on only what can
@@ -69,6 +70,7 @@ def nearest_chunks(
         raise ValueError("too many queries for one exact search; split the query set")
     held = asked.toPandas()
     matrix = np.stack(held["query_embedding"].to_numpy()).astype(np.float64) if len(held) else np.zeros((0, dim))
+    matrix = matrix.astype(np.float16).astype(np.float64) if half else matrix
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     shared = spark.sparkContext.broadcast((held["query_id"].to_numpy(), matrix))
     columns = list(dict.fromkeys([*([lane] if lane else []), *ties, *keep]))
@@ -79,7 +81,7 @@ def nearest_chunks(
         for batch in batches:
             for at in range(0, len(batch) if len(names) else 0, rows):
                 part = batch.iloc[at : at + rows]
-                x = np.stack(part[vector].to_numpy()).astype(np.float64)
+                x = np.stack(part[vector].to_numpy()).astype(np.float16 if half else np.float64).astype(np.float64)
                 found = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ asked_for.T, digits)
                 for _, own in part.groupby(lane).indices.items() if lane else [(None, np.arange(len(part)))]:
                     scores = found[own]
