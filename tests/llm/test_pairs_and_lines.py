@@ -24,7 +24,7 @@ def test_defects(spark):
     cases = {
         None: ["The lead auditor reviews the audit plan before the opening meeting.", "Yes", "Three years", "I cannot stress enough how useful an audit is.", "How long does the certification of the data centre take? The client confirms the risk register at the closing meeting."],
         "empty": [None, "", " \n", "<p>&nbsp;</p>", "n/a", "…", "​", "TBD"],
-        "copied": ["how long does the certification of the data centre take", "Q: How long does the certification the of data centre take?"],
+        "copied": ["how long does the certification of the data centre take", "Q: How long does the certification the of data centre take?", "How long does the certification of the data centre take? How long does the certification of the data centre take?"],
         "refusal": ["I'm sorry, but I can't help with that.", "Leider kann ich diese Frage nicht beantworten.", "No comment. Thank you for your understanding.", "Je ne suis pas autorisé à donner cette information."],
         "truncated": ["The lead auditor reviews the audit plan before the", "The client confirms the risk register at the closing meeting. The data ste", "The quality lead updates the (", "The data steward samples the travel […]"],
         "wrong_language": ["Der Kunde prüft das Risikoregister und die Lieferantenliste vor dem Gespräch."],
