@@ -116,6 +116,8 @@ class Page:
     page_id: str = "id"
     published: str | None = None
     extractor_version: int = 1
+    #: (table, column, value): texts that stand for nothing in that one column
+    placeholders: tuple[tuple[str, str, str], ...] = ()
 
 
 def tidied(df: DataFrame) -> DataFrame:
@@ -172,6 +174,8 @@ def compose_pages(tables: Mapping[str, DataFrame], page: Page) -> DataFrame:
     order; a null or dangling link leaves a section out and names it in ``missing_sections``.
     """
     clean = {name: tidied(df) for name, df in tables.items()}
+    for table, column, value in page.placeholders:
+        clean[table] = clean[table].withColumn(column, F.when(F.col(column) == value, "").otherwise(F.col(column)))
     links = [s.link for s in page.sections if s.link]
     pages = clean[page.table].where(page.published) if page.published else clean[page.table]
     pages = pages.select(F.col(page.page_id).alias("__page"), F.col(page.slug).alias("__slug"), F.col(page.title).alias("title"), *dict.fromkeys(links))

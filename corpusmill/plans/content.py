@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import blocks as B
 from corpusmill.functions import markup, text, urls
+from corpusmill.functions.spread import spread
 from corpusmill.operators import chunking, synchronize
 from corpusmill.sources.tables import read_table
 
@@ -78,7 +79,7 @@ def contract_hashes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _blog_blocks(spark: SparkSession, base: str) -> DataFrame:
-    posts = read_table(spark, base, "blog", ["post_id", "site", "url", "title", "html"])
+    posts = spread(read_table(spark, base, "blog", ["post_id", "site", "url", "title", "html"]))
     return posts.withColumn("r", markup.html_blocks(F.col("html"), "https://www.certhaven.example/blog/")).select("post_id", "site", "url", "title", F.col("r.blocks").alias("blocks"), F.col("r.counters").alias("counters"))
 
 

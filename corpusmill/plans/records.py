@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.spread import spread
 from corpusmill.operators import composition as C
 from corpusmill.operators.hierarchy import ListSpec
 from corpusmill.sources.tables import read_table
@@ -34,7 +35,7 @@ def composed_pages(spark: SparkSession, base: str) -> DataFrame:
 
 
 def blog_records(spark: SparkSession, base: str) -> DataFrame:
-    posts = read_table(spark, base, "blog", ["post_id", "url", "title", "html", "short_description"])
+    posts = spread(read_table(spark, base, "blog", ["post_id", "url", "title", "html", "short_description"]))
     named = posts.select(F.col("post_id").alias("id"), "url", "title", "html", F.col("title").alias("question1"), F.col("short_description").alias("answer1"))
     found = C.post_records(named, "https://www.certhaven.example/blog/", slots=1)
     return found.select("canonical_uri", "title", "content_hash", F.size("blocks").alias("n_blocks"), "half_pairs", "source_ref", "reason")
