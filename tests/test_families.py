@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from corpusmill.operators.composition import compose_pages
-from corpusmill.sources import families
+from corpusmill.sources import families, fixed_pages
 
 
 def test_every_family_composes(spark):
@@ -42,3 +42,53 @@ def test_names_follow_the_rule():
     grc = families.allow_list(families.page_of("grc", "https://site.example"))
     assert {"subone_grcseconelist_grc_list_list", "subone_grcseconelistlist"} <= set(grc)
     assert grc["subone_grcseconelist"].names == ["id", "title", "desc", "paragraph"]
+
+
+def everything(spark):
+    """Every table of every fixed page with one row of id 1, foreign keys 1, and texts after their columns."""
+    columns: dict[str, set[str]] = {}
+    for page in fixed_pages.FIXED_PAGES:
+        for line in page.sections.strip().splitlines():
+            section = fixed_pages._section(line, {}, ())
+            columns.setdefault(section.table, set()).update(("id", *section.fields))
+            if section.link:
+                columns.setdefault(families.PREFIX + page.keys, set()).update(("id", section.link))
+            stack = [*section.lists, *section.whole_lists]
+            while stack:
+                spec = stack.pop()
+                columns.setdefault(spec.link, set()).update((spec.parent_key, spec.child_key, "id"))
+                columns.setdefault(spec.child, set()).update(("id", *spec.fields))
+                stack += [spec.nested] if spec.nested else []
+        if "." in page.title:
+            table, column = page.title.split(".")
+            columns.setdefault(families.PREFIX + table, set()).update(("id", column))
+    columns[families.PREFIX + "faq"].add("is_active")
+    number = lambda c: c == "id" or c.endswith("_id") or c == "is_active"
+    return {t: spark.createDataFrame([tuple(1 if number(c) else f"{c} text" for c in sorted(cs))], ", ".join(f"`{c}` {'bigint' if number(c) else 'string'}" for c in sorted(cs))) for t, cs in columns.items()}
+
+
+def test_fixed_pages(spark):
+    tables = everything(spark)
+    texts = {"flowchart": "Approved.", "accreditations": "Accredited by"}
+    for page in fixed_pages.FIXED_PAGES:
+        rows = fixed_pages.compose_fixed(tables, page, "https://site.example", texts, ("Use", "P", "T", "A")).collect()
+        assert len(rows) == 1 and rows[0]["reason"] is None and rows[0]["missing_sections"] == [], page.route
+        assert rows[0]["canonical_uri"].startswith("https://site.example/")
+        kinds = [b["type"] for b in rows[0]["blocks"]]
+        if page.route.endswith("guideline"):
+            assert rows[0]["blocks"][-1]["header"] == ["Use", "P", "T", "A"] and kinds.count("table") == 1
+        if page.scope == "privacy_policy":
+            assert [(b["type"], b["text"] or b["items"]) for b in rows[0]["blocks"]] == [("paragraph", "desc text"), ("heading", "list_title text"), ("paragraph", "list_text text"), ("list", ["sublist_title text"])]
+        if page.route.endswith("certification-process"):
+            withdraw = rows[0]["blocks"][-7:-3]
+            assert [b["type"] for b in withdraw] == ["heading", "paragraph", "list", "paragraph"] and rows[0]["images"][0]["src"] == "mainImg text"
+    empty = {t: df.where("false") for t, df in tables.items()}
+    assert all(fixed_pages.compose_fixed(empty, page, "https://site.example").count() == 0 for page in fixed_pages.FIXED_PAGES)
+    about = next(p for p in fixed_pages.FIXED_PAGES if p.route == "about")
+    hidden = fixed_pages.compose_fixed(tables, about, "https://site.example", texts, hidden={("accredition", "sec_title"): ["sec_title text"]}).first()
+    assert hidden["missing_sections"] == ["accreditations"]
+    offices = next(p for p in fixed_pages.FIXED_PAGES if p.scope == "office_locations")
+    table = families.PREFIX + "officelocation"
+    rows = tables | {table: spark.createDataFrame([(2, "B", "b street"), (1, "A", "a street"), (3, " ", "lost")], "id bigint, name string, address string")}
+    found = fixed_pages.compose_fixed(rows, offices, "https://site.example").first()
+    assert [(b["type"], b["text"]) for b in found["blocks"]] == [("heading", "A"), ("paragraph", "a street"), ("heading", "B"), ("paragraph", "b street")]
