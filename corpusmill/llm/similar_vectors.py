@@ -35,6 +35,10 @@ class Lists:
     def nearest(self, unit: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` lists of highest similarity per row, best first, -1 where there are fewer."""
         probes = min(probes, len(self.centroids))
+        parts = [self._nearest(unit[at : at + 16_384], probes) for at in range(0, len(unit), 16_384)]
+        return np.concatenate(parts) if parts else np.empty((0, probes), np.int64)
+
+    def _nearest(self, unit: np.ndarray, probes: int) -> np.ndarray:
         look = min(GROUP_PROBES, len(self.group_centroids))
         near = np.argpartition(-(unit @ self.group_centroids.T), look - 1, axis=1)[:, :look]
         best = np.full((len(unit), probes), -2.0, dtype=np.float32)
