@@ -178,6 +178,14 @@ def narrowed(rows: DataFrame, public: list[str], requested: list[str] | None) ->
     return rows.where(F.col("source_scope").isin(*(public if requested is None else requested)))
 
 
+def covered(chunks: DataFrame, identity: str) -> DataFrame:
+    """Chunks embedded under an identity; having none at all is an error, unlike a search that finds nothing."""
+    rows = chunks.where(F.col("embedding").isNotNull() & (F.col("embedding_model") == identity))
+    if rows.isEmpty():
+        raise LookupError(f"no chunk is embedded as {identity}")
+    return rows
+
+
 def search(chunks: DataFrame, queries: DataFrame, dim: int, public: list[str], scopes: list[str] | None = None, documents: int = 8, per_document: int = 2, pool: int = 50) -> DataFrame:
     """Evidence for each query: the best chunks of the best documents with rank and citation.
 

@@ -74,8 +74,8 @@ SQL = {
       union all select 'cases', cases::double, case when cases <= 100 then 'PASS' when cases <= 1000 then 'REVIEW' else 'FAIL' end from t""",
     "replay_verification": """
       with d as (select chunk_id, content_hash, sha256(trim(content, ' ')) as again from evaluate_embeddings)
-      select chunk_id, content_hash, 'stored' as side, 1 as copies from d where again is distinct from content_hash
-      union all select chunk_id, again, 'recomputed', 1 from d where again is distinct from content_hash""",
+      select chunk_id, content_hash, 'stored' as side, 1::bigint as copies from d where again is distinct from content_hash
+      union all select chunk_id, again, 'recomputed', 1::bigint from d where again is distinct from content_hash""",
     "case_problems": """
       select case_id, 'expected_document_uri must be a string' as problem from golden_cases where expected_document_uri is null
       union all select case_id, 'query_text must be a string' from golden_cases where query_text is null

@@ -30,7 +30,7 @@ def knn_ranks(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, base: str) -> DataFrame:
-    rows = read_table(spark, base, "evaluate_embeddings").where(F.col("embedding_model") == MODEL)
+    rows = vectors.covered(read_table(spark, base, "evaluate_embeddings"), MODEL)
     return rows.select("chunk_id", F.col("document_uri").alias("canonical_uri"), "source_scope", "chunk_index", "content_hash", "content", "embedding")
 
 

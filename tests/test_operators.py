@@ -84,6 +84,13 @@ def test_vectors_edge_cases(spark):
     assert value == pytest.approx(2**-0.5)
 
 
+def test_coverage(spark):
+    chunks = spark.createDataFrame([(1, [1.0], "m"), (2, None, "n")], "id int, embedding array<float>, embedding_model string")
+    assert vectors.covered(chunks, "m").count() == 1
+    with pytest.raises(LookupError):
+        vectors.covered(chunks, "n")
+
+
 def test_limits():
     with pytest.raises(ValueError):
         vectors.Limits({"x": 1}).check({"y"})
