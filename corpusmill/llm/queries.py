@@ -91,5 +91,5 @@ with latest as (
 """
 SQL: dict[str, str] = {
     "p6_found": _TOP_HITS + "select hit_id from ranked where rank <= 3",
-    "p6_ranked": _TOP_HITS + "select document_uri, hit_id, rank::int as rank from ranked where rank <= 3",
+    "p6_ranked": _TOP_HITS + "select document_uri, hit_id, rank from ranked where rank <= 3",
 }
