@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_hits(ranked: DataFrame, case: str, wanted: dict[str, Column]) -> DataFrame:
-    """Per case the first rank at which each condition of ``wanted`` holds; null for a miss."""
-    return ranked.groupBy(case).agg(*[F.min(F.when(hit, F.col("rank"))).alias(name) for name, hit in wanted.items()])
+def first_hits(rows: DataFrame, case: str, score: str, tie: str, wanted: dict[str, Column]) -> DataFrame:
+    """(case, a rank per name of ``wanted``): where the best row of each condition stands among all of the case; null for a miss.
+
+    Rows are ordered by score descending, then by a numeric tie ascending. Nothing is ranked: the best
+    row of each condition is a grouped maximum, and its rank is one more than the rows ahead of it, a
+    count with map-side sums, so a case may have any number of rows.
+    """
+    place = F.struct(F.col(score).alias("s"), (-F.col(tie)).alias("t"))
+    best = rows.groupBy(case).agg(*[F.max(F.when(hit, place)).alias(f"__{name}") for name, hit in wanted.items()])
+    ahead = [F.when(F.first(f"__{n}").isNotNull(), F.count_if(place > F.col(f"__{n}")) + 1).cast("int").alias(n) for n in wanted]
+    return rows.select(case, score, tie).join(best, case).groupBy(case).agg(*ahead)
 
 
 def rank_metrics(rank: Column, cut_offs: list[int]) -> list[Column]:

@@ -79,11 +79,13 @@ def failure_streaks(log: DataFrame) -> DataFrame:
 
     ``log``: (canonical_uri, ordinal, succeeded, stored_failures).
     """
-    last = F.max(F.when(F.col("succeeded"), F.col("ordinal"))).over(Window.partitionBy("canonical_uri"))
-    rows = log.withColumn("__last", last)
-    after = F.count_if(~F.col("succeeded") & (F.col("__last").isNull() | (F.col("ordinal") > F.col("__last"))))
-    kept = F.max(F.when(F.col("__last").isNull(), F.coalesce("stored_failures", F.lit(0))).otherwise(0))
-    return rows.groupBy("canonical_uri").agg((after + kept).alias("failures"))
+    state = log.groupBy("canonical_uri").agg(
+        F.max(F.when(F.col("succeeded"), F.col("ordinal"))).alias("__last"), F.max(F.coalesce("stored_failures", F.lit(0))).alias("__stored")
+    )
+    failed = log.where(~F.col("succeeded")).select("canonical_uri", "ordinal").join(state, "canonical_uri")
+    after = failed.where(F.col("__last").isNull() | (F.col("ordinal") > F.col("__last"))).groupBy("canonical_uri").agg(F.count("*").alias("__after"))
+    kept = F.when(F.col("__last").isNull(), F.col("__stored")).otherwise(0)
+    return state.join(after, "canonical_uri", "left").select("canonical_uri", (F.coalesce("__after", F.lit(0)) + kept).alias("failures"))
 
 
 def next_store(store: DataFrame, outcomes: DataFrame, failures: DataFrame, missing: DataFrame, run_id: Column, seen_at: Column) -> DataFrame:

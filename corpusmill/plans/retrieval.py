@@ -69,19 +69,26 @@ def vector_validation(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("embedding_model", problem.alias("problem")).agg(F.count("*").alias("n"))
 
 
-def _ranked_hits(spark: SparkSession, base: str) -> DataFrame:
-    """Every case's valid hits in rank order, beside what the case expects."""
+def _valid_hits(spark: SparkSession, base: str) -> DataFrame:
+    """Every case's valid hits beside what the case expects."""
     hits = read_table(spark, base, "evaluate_retrieval", ["hit_id", "case_id", "document_uri", "lane", "top_score", "recorded_at"])
     valid = hits.where("document_uri is not null and top_score between -1 and 1 and not isnan(top_score)")
-    ranked = valid.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("top_score").desc(), "hit_id")))
-    cases = read_table(spark, base, "golden_cases", ["case_id", "category", "answerable", "expected_document_uri"])
-    return ranked.join(cases, "case_id")
+    return valid.join(read_table(spark, base, "golden_cases", ["case_id", "category", "answerable", "expected_document_uri"]), "case_id")
+
+
+def _best_hits(rows: DataFrame, k: int, order: list) -> DataFrame:
+    """The first ``k`` rows of each case with ``rank``; each task keeps its own first ``k`` before the shuffle."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def _by(column: str) -> list:
+    return [F.col(column).desc(), F.col("hit_id")]
 
 
 def first_hit_ranks(spark: SparkSession, base: str) -> DataFrame:
-    rows = _ranked_hits(spark, base)
+    rows = _valid_hits(spark, base)
     hit = F.col("document_uri") == F.col("expected_document_uri")
-    return ranking.first_hits(rows, "case_id", {"document_rank": hit, "blog_rank": hit & (F.col("lane") == "blog")})
+    return ranking.first_hits(rows, "case_id", "top_score", "hit_id", {"document_rank": hit, "blog_rank": hit & (F.col("lane") == "blog")})
 
 
 def recall_by_category(spark: SparkSession, base: str) -> DataFrame:
@@ -92,28 +99,28 @@ def recall_by_category(spark: SparkSession, base: str) -> DataFrame:
 
 
 def document_positions(spark: SparkSession, base: str) -> DataFrame:
-    top = _ranked_hits(spark, base).where("rank <= 50")
+    top = _best_hits(_valid_hits(spark, base), 50, _by("top_score"))
     return ranking.document_positions(top, "case_id", "document_uri")
 
 
 def threshold_report(spark: SparkSession, base: str) -> DataFrame:
-    top = _ranked_hits(spark, base).where("rank = 1").withColumn("correct", F.coalesce(F.col("document_uri") == F.col("expected_document_uri"), F.lit(False)))
+    top = _best_hits(_valid_hits(spark, base), 1, _by("top_score")).withColumn("correct", F.coalesce(F.col("document_uri") == F.col("expected_document_uri"), F.lit(False)))
     return ranking.threshold_report(top, "top_score", "correct", "answerable")
 
 
 def top_overlap(spark: SparkSession, base: str) -> DataFrame:
     """Per case, how far its ten best hits and its ten latest ones name the same documents."""
-    rows = _ranked_hits(spark, base)
-    late = rows.withColumn("late", F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("recorded_at").desc(), "hit_id")))
-    sets = late.groupBy("case_id").agg(F.collect_set(F.when(F.col("rank") <= 10, F.col("document_uri"))).alias("a"), F.collect_set(F.when(F.col("late") <= 10, F.col("document_uri"))).alias("b"))
-    return sets.select("case_id", F.round(ranking.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
+    rows = _valid_hits(spark, base)
+    best = _best_hits(rows, 10, _by("top_score")).groupBy("case_id").agg(F.collect_set("document_uri").alias("a"))
+    late = _best_hits(rows, 10, _by("recorded_at")).groupBy("case_id").agg(F.collect_set("document_uri").alias("b"))
+    return best.join(late, "case_id").select("case_id", F.round(ranking.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
 def lane_changes(spark: SparkSession, base: str) -> DataFrame:
-    rows = _ranked_hits(spark, base).where("document_uri = expected_document_uri")
-    a = rows.where("lane = 'blog'").groupBy("case_id").agg(F.min("rank").alias("rank"))
-    b = rows.where("lane <> 'blog'").groupBy("case_id").agg(F.min("rank").alias("rank"))
-    return ranking.run_changes(a, b, "case_id")
+    hit = F.col("document_uri") == F.col("expected_document_uri")
+    ranks = ranking.first_hits(_valid_hits(spark, base), "case_id", "top_score", "hit_id", {"a": hit & (F.col("lane") == "blog"), "b": hit & (F.col("lane") != "blog")})
+    before, after = (ranks.where(F.col(c).isNotNull()).select("case_id", F.col(c).alias("rank")) for c in "ab")
+    return ranking.run_changes(before, after, "case_id")
 
 
 def latency_distribution(spark: SparkSession, base: str) -> DataFrame:
@@ -130,8 +137,8 @@ def golden_setup_problems(spark: SparkSession, base: str) -> DataFrame:
 
 def strategy_grid(spark: SparkSession, base: str) -> DataFrame:
     """Recall of every combination of lane quotas over the golden cases, in one pass."""
-    rows = _ranked_hits(spark, base).withColumnRenamed("top_score", "score").withColumn("lane", F.when(F.col("lane") == "blog", "blog").otherwise("own"))
-    pool = vectors.nearest(rows.drop("rank"), ["case_id", "lane"], ["hit_id"], 50).drop("rank")
+    rows = _valid_hits(spark, base).withColumnRenamed("top_score", "score").withColumn("lane", F.when(F.col("lane") == "blog", "blog").otherwise("own"))
+    pool = vectors.nearest(rows, ["case_id", "lane"], ["hit_id"], 50).drop("rank")
     grid = spark.createDataFrame([(f"{own}+{blog}", lane, quota) for own in (3, 5, 8) for blog in (0, 1, 2, 3) for lane, quota in (("own", own), ("blog", blog))], "strategy string, lane string, quota int")
     offered = pool.join(F.broadcast(grid), "lane")
     kept = vectors.group_by_document(offered, ["strategy", "case_id", "lane"], "document_uri", ["hit_id"], "quota", 2)
