@@ -17,6 +17,8 @@ from corpusmill.scratch import durable
 
 #: Items that one task packs at a time; more items make more groups, never larger ones.
 GROUP_ITEMS = 8_192
+#: Effort of the local search: passes over the emptiest bins, steps of one bin in a pass, pairs tried for a step.
+PASSES, STEPS, PAIRS = 4, 32, 128
 
 
 class Bins:
@@ -76,16 +78,19 @@ class Bins:
 def pack(sizes: list[int], capacity: int) -> list[int]:
     """A bin number for every item: best fit in decreasing order, then local search.
 
-    The search takes the underfull bins from the emptiest up. Each item, or pair of items, of
+    The search takes the emptiest bins, somewhat more than are too many. Each item, or pair of items, of
     such a bin is moved into another underfull bin or exchanged for a smaller item there, so
     that the fuller bin gains: every step raises the sum of squared fills, so the search ends,
-    and a bin that has given everything away is gone.
+    and a bin that has given everything away is gone. Its effort is bounded; items are packed whatever it finds. There is nothing to search for once the
+    bins are as few as the sum of the sizes allows.
     """
     bins = Bins(capacity)
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         bins.place(i, sizes[i])
-    while _improve(bins, sizes):
-        pass
+    fewest = -(-sum(sizes) // capacity)
+    for _ in range(PASSES):
+        if len(bins.items) <= fewest or not _improve(bins, sizes, fewest):
+            break
     number = {b: n for n, b in enumerate(sorted(bins.items))}
     out = [0] * len(sizes)
     for b, own in bins.items.items():
@@ -94,7 +99,7 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _improve(bins: Bins, sizes: list[int]) -> bool:
+def _improve(bins: Bins, sizes: list[int], fewest: int) -> bool:
     """One pass over the underfull bins as givers; whether any step was made."""
     capacity, stepped = bins.capacity, False
     under = sorted((b for b, f in bins.fill.items() if f < capacity), key=lambda b: (bins.fill[b], b))
@@ -102,7 +107,10 @@ def _improve(bins: Bins, sizes: list[int]) -> bool:
     for b in under:
         for i in bins.items[b]:
             holds[sizes[i]][b] = None
-    for giver in under:
+    # as many bins as are too many have to be emptied: the emptiest, and a few that may help them
+    for giver in under[: 2 * (len(bins.items) - fewest) + 4]:
+        if len(bins.items) <= fewest:
+            return False
         if giver not in bins.items or bins.fill[giver] == capacity:
             continue
         stepped |= _give(bins, sizes, giver, holds)
@@ -111,10 +119,12 @@ def _improve(bins: Bins, sizes: list[int]) -> bool:
 
 def _give(bins: Bins, sizes: list[int], giver: int, holds: dict[int, dict[int, None]]) -> bool:
     stepped = False
-    while giver in bins.items:
+    for _ in range(STEPS):
+        if giver not in bins.items:
+            break
         own = sorted(bins.items[giver], key=lambda i: -sizes[i])
         if not (_move(bins, sizes, giver, own) or _exchange(bins, sizes, giver, [(i,) for i in own], holds)
-                or _exchange(bins, sizes, giver, itertools.combinations(own, 2), holds)):
+                or _exchange(bins, sizes, giver, itertools.islice(itertools.combinations(own, 2), PAIRS), holds)):
             return stepped
         stepped = True
     return stepped
@@ -189,7 +199,7 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
 
     Items are dealt by hash into groups of about ``group_items``, each packed in one task. The
     bins that stay underfull meet again in fewer, equally bounded groups until one group holds
-    them all or a turn brings the number of bins no lower; a group wastes about one bin, so the
+    them all, they are as few as their tokens allow, or a turn brings their number no lower; a group wastes about one bin, so the
     later turns handle few rows.
     """
     counted = count_tokens(documents, ["doc_id"], **tokenizer).where("n_tokens > 0")
@@ -213,8 +223,9 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
         sent = dealt.select(sealed("doc_id").alias("doc_id"), "part_no", "token_start", "n_tokens")
         packed = durable(sent.mapInPandas(_pack_group(turn, capacity), _PACKED).withColumn("doc_id", opened("doc_id")))
         open_rows = packed.where(F.col("fill") < capacity)
-        counts = open_rows.agg(F.count("*").alias("rows"), F.count_distinct("container_id").alias("bins")).first()
-        if groups == 1 or (bins_before is not None and counts["bins"] >= bins_before):
+        counts = open_rows.agg(F.count("*").alias("rows"), F.count_distinct("container_id").alias("bins"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+        fewest = -(-counts["tokens"] // capacity)
+        if groups == 1 or counts["bins"] <= fewest or (bins_before is not None and counts["bins"] >= bins_before):
             done.append(packed.select(*names))
             break
         done.append(packed.where(F.col("fill") >= capacity).select(*names))
