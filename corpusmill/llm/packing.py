@@ -18,7 +18,7 @@ from corpusmill.scratch import durable
 #: Items that one task packs at a time; more items make more groups, never larger ones.
 GROUP_ITEMS = 8_192
 #: Effort of the local search: passes over the emptiest bins, steps of one bin in a pass, pairs tried for a step.
-PASSES, STEPS, PAIRS = 4, 32, 128
+PASSES, STEPS, PAIRS, TURNS = 4, 32, 128, 8
 
 
 class Bins:
@@ -199,7 +199,7 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
 
     Items are dealt by hash into groups of about ``group_items``, each packed in one task. The
     bins that stay underfull meet again in fewer, equally bounded groups until one group holds
-    them all, they are as few as their tokens allow, or a turn brings their number no lower; a group wastes about one bin, so the
+    them all, they are as few as their tokens allow, a turn brings their number no lower, or after ``TURNS`` turns; a group wastes about one bin, so the
     later turns handle few rows.
     """
     counted = count_tokens(documents, ["doc_id"], **tokenizer).where("n_tokens > 0")
@@ -225,7 +225,7 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
         open_rows = packed.where(F.col("fill") < capacity)
         counts = open_rows.agg(F.count("*").alias("rows"), F.count_distinct("container_id").alias("bins"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
         fewest = -(-counts["tokens"] // capacity)
-        if groups == 1 or counts["bins"] <= fewest or (bins_before is not None and counts["bins"] >= bins_before):
+        if groups == 1 or counts["bins"] <= fewest or (bins_before is not None and (counts["bins"] >= bins_before or turn >= TURNS)):
             done.append(packed.select(*names))
             break
         done.append(packed.where(F.col("fill") >= capacity).select(*names))
