@@ -92,11 +92,12 @@ def next_store(store: DataFrame, outcomes: DataFrame, failures: DataFrame, missi
     """The store after a run: contents of the last record of each page, counters, and what was missed.
 
     Unchanged pages only get their sighting; pages not delivered keep all but their counters.
-    ``failures``: (canonical_uri, failed); ``missing``: (canonical_uri).
+    ``failures``: (canonical_uri, failed); ``missing``: (canonical_uri), with ``steps`` where it stands for several
+    runs. ``run_id`` may be ``__run_id``, the run of the page's last record, where the outcomes have one.
     """
     content = [c for c in store.columns if c not in ("canonical_uri", "status", "gone_count", "consecutive_failure_count", "last_seen_at", "last_run_id")]
-    new = outcomes.where("is_last").select("canonical_uri", *[F.col(c).alias(f"__{c}") for c in content if c in outcomes.columns], F.lit(True).alias("__delivered"), F.col("page_rewritten").alias("__rewritten"))
-    absent = missing.select("canonical_uri", F.lit(1).alias("__missing")).distinct()
+    new = outcomes.where("is_last").select("canonical_uri", *[F.col(c).alias(f"__{c}") for c in content if c in outcomes.columns], F.lit(True).alias("__delivered"), F.col("page_rewritten").alias("__rewritten"), *[F.col(c).alias("__run_id") for c in outcomes.columns if c == "run_id"])
+    absent = missing.select("canonical_uri", F.col("steps").alias("__missing")) if "steps" in missing.columns else missing.select("canonical_uri", F.lit(1).alias("__missing")).distinct()
     failed = failures.groupBy("canonical_uri").agg(F.sum("failed").alias("__failed"))
     both = store.join(new, "canonical_uri", "full_outer").join(absent, "canonical_uri", "left").join(failed, "canonical_uri", "left")
     delivered = F.col("__delivered").isNotNull()
@@ -115,6 +116,51 @@ def next_store(store: DataFrame, outcomes: DataFrame, failures: DataFrame, missi
     )
 
 
+# --- several runs one after another ------------------------------------------------------
+
+
+def outcomes_of_runs(store: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """``record_outcomes`` of every run after the one before it; ``deliveries`` have the run_id beside the ordinal.
+
+    A run leaves the store with the last record of each page, so a page's records follow one another
+    by run and ordinal. ``is_last`` and ``page_rewritten`` are over all runs.
+    """
+    found = record_outcomes(store, deliveries.withColumn("ordinal", F.struct("run_id", "ordinal")))
+    return found.withColumn("ordinal", F.col("ordinal.ordinal"))
+
+
+def pages_of_runs(store: DataFrame, deliveries: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, source_scope, canonical_uri): the active pages that each of ``runs`` finds in the store of its scope."""
+    held = store.where("status = 'active'").select("source_scope", "canonical_uri", F.lit(None).cast("bigint").alias("run"))
+    came = deliveries.where("canonical_uri is not null").select("source_scope", "canonical_uri", F.col("run_id").alias("run"))
+    always = F.count_if(F.col("run").isNull()) > 0
+    pages = held.unionByName(came).groupBy("source_scope", "canonical_uri").agg(F.when(~always, F.min("run")).alias("since"))
+    return runs.select("run_id", "source_scope").join(pages, "source_scope").where("since is null or since < run_id").select("run_id", "source_scope", "canonical_uri")
+
+
+def missing_by_run(store: DataFrame, deliveries: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, canonical_uri): ``missing_pages`` after each of ``runs``, those with a complete inventory.
+
+    A run that brought nothing is passed over, as ``may_reconcile`` asks.
+    """
+    listed = deliveries.where("canonical_uri is not null").select("run_id", "canonical_uri").distinct()
+    told = runs.join(listed.select("run_id").distinct(), "run_id", "left_semi")
+    return pages_of_runs(store, deliveries, told).join(listed, ["run_id", "canonical_uri"], "left_anti").select("run_id", "canonical_uri")
+
+
+def store_after_runs(store: DataFrame, deliveries: DataFrame, runs: DataFrame, seen_at: Column) -> DataFrame:
+    """The store after every run of ``deliveries``, as ``next_store`` would leave it run by run.
+
+    Every delivery clears a page's counter, so only the misses after its last one count.
+    """
+    outcomes = outcomes_of_runs(store, deliveries)
+    last = outcomes.where("is_last").select("canonical_uri", F.col("run_id").alias("__last"))
+    later = missing_by_run(store, deliveries, runs).join(last, "canonical_uri", "left").where("__last is null or run_id > __last")
+    missing = later.groupBy("canonical_uri").agg(F.count("*").cast("int").alias("steps"))
+    failures = store.sparkSession.createDataFrame([], "canonical_uri string, failed int")
+    return next_store(store, outcomes, failures, missing, F.col("__run_id").cast("string"), seen_at)
+
+
 def replace_chunks(chunks: DataFrame, rebuilt: DataFrame, fresh: DataFrame, key: str = "canonical_uri") -> DataFrame:
     """Chunks of rebuilt documents replaced; those of all others kept with their vectors."""
     return chunks.join(rebuilt.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import backfill, matching, synchronize
+from corpusmill.operators.snapshots import good_runs
 from corpusmill.plans.retrieval import MODEL
 from corpusmill.sources.tables import read_table
 from corpusmill.streaming.micro_batches import windowed_counts
@@ -57,6 +58,47 @@ def empty_inventory_guard(spark: SparkSession, base: str) -> DataFrame:
     return held.join(listed, "source_scope", "left_anti")
 
 
+def _every_run(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The store of ``_deliveries``, the records of every run after the first of its scope, and those of these runs that are good, so that their inventories are complete."""
+    runs = read_table(spark, base, "runs")
+    later = runs.withColumn("first_run", F.min("run_id").over(Window.partitionBy("source_scope"))).where("run_id > first_run").drop("first_run")
+    records = read_table(spark, base, "contract", ["record_id", "run_id", "source_scope", "canonical_uri", "title", "blocks", "extractor_version"])
+    fixed = [F.lit(1).alias("hash_version"), F.lit(3).alias("normalizer_version"), "extractor_version", F.lit(3).alias("chunker_version")]
+    after = records.join(later.select("run_id"), "run_id", "left_semi")
+    deliveries = after.select("run_id", "canonical_uri", "source_scope", F.col("record_id").alias("ordinal"), F.sha2(F.concat_ws("|", "title", "blocks"), 256).alias("content_hash"), *fixed)
+    return _deliveries(spark, base)[0], deliveries, later.join(good_runs(later).select("run_id"), "run_id", "left_semi").select("run_id", "source_scope")
+
+
+def sync_outcomes_by_run(spark: SparkSession, base: str) -> DataFrame:
+    """What every record of every run after the first does to the store that the runs before it left."""
+    store, deliveries, _ = _every_run(spark, base)
+    return synchronize.outcomes_of_runs(store, deliveries).select("run_id", "canonical_uri", "ordinal", "outcome", "rebuild")
+
+
+def sync_counters_by_run(spark: SparkSession, base: str) -> DataFrame:
+    store, deliveries, _ = _every_run(spark, base)
+    return synchronize.outcome_counts(synchronize.outcomes_of_runs(store, deliveries).groupBy("run_id"))
+
+
+def reconcile_missing_by_run(spark: SparkSession, base: str) -> DataFrame:
+    return synchronize.missing_by_run(*_every_run(spark, base))
+
+
+def store_after_every_run(spark: SparkSession, base: str) -> DataFrame:
+    store, deliveries, complete = _every_run(spark, base)
+    store = store.withColumns({"gone_count": F.lit(1), "consecutive_failure_count": F.lit(2), "last_seen_at": F.lit(None).cast("timestamp"), "last_run_id": F.lit("before")})
+    after = synchronize.store_after_runs(store, deliveries, complete, F.lit("2025-01-01").cast("timestamp"))
+    return after.select("canonical_uri", "status", "gone_count", "consecutive_failure_count", "last_run_id", "content_hash")
+
+
+def empty_inventory_guard_by_run(spark: SparkSession, base: str) -> DataFrame:
+    """Runs whose complete inventory came in empty while their scope held active pages, those of one scope taken as empty: they are not reconciled."""
+    store, deliveries, complete = _every_run(spark, base)
+    listed = deliveries.where("source_scope <> 'blog-00003'").select("run_id").distinct()
+    held = synchronize.pages_of_runs(store, deliveries, complete).groupBy("run_id", "source_scope").agg(F.count("*").alias("active_pages"))
+    return held.join(listed, "run_id", "left_anti")
+
+
 def failure_counters(spark: SparkSession, base: str) -> DataFrame:
     events = read_table(spark, base, "events", ["event_id", "user_id", "event_type"])
     log = events.select(F.col("user_id").cast("string").alias("canonical_uri"), F.col("event_id").alias("ordinal"), (F.col("event_type") != "error").alias("succeeded"), F.lit(3).alias("stored_failures"))
@@ -127,7 +169,8 @@ def hourly_events(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sync_outcomes, sync_counters, reconcile_missing, store_after_run, empty_inventory_guard, failure_counters, run_ledger_latest, stale_run_sweep, state_transitions,
+        sync_outcomes, sync_counters, reconcile_missing, store_after_run, empty_inventory_guard, sync_outcomes_by_run, sync_counters_by_run, reconcile_missing_by_run,
+        store_after_every_run, empty_inventory_guard_by_run, failure_counters, run_ledger_latest, stale_run_sweep, state_transitions,
         pending_plan, backfill_batches, backfill_estimate, broken_hashes, vector_writeback, missing_vectors, duplicate_content, hourly_events,
     )
 }
