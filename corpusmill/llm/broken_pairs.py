@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.keys import opened, sealed
@@ -20,6 +21,8 @@ from corpusmill.llm.html_text import visible_text
 #: Answers on which the terminal-context model is fitted, chosen by hash; every pair is then judged.
 FIT_ANSWERS = 12_288
 _CELLS = 1 << 18
+#: An ending recurs if so many different pairs have it and, at 95 % confidence, so large a share of all pairs with such ends.
+SEEN, SHARE, _Z = 4, 0.01, 1.645
 
 # Word lists of the six languages.
 FILLERS = frozenset(
@@ -158,12 +161,12 @@ def _features(words: list[str]) -> list[int]:
 
 @dataclass
 class TerminalContexts:
-    """Whether a text can end where it does: a logistic model of end contexts and the endings that recur without a full stop."""
+    """Whether a text can end where it does: a logistic model of end contexts and the endings that recur without a full stop, see ``recurring_endings``."""
 
     weights: np.ndarray
     bias: float
-    endings: dict[str, int]
-    trailing: dict[str, int]
+    endings: frozenset[str] = frozenset()
+    trailing: frozenset[str] = frozenset()
 
     def score(self, words: list[str]) -> float:
         return self.bias + float(self.weights[_features(words)].sum())
@@ -185,15 +188,8 @@ def fit_terminal_contexts(answers: list[str], seed: int = 7, passes: int = 4) ->
     rng = np.random.default_rng(seed)
     rows: list[list[int]] = []
     labels: list[int] = []
-    endings, trailing = Counter(), Counter()
     for answer in answers:
         text = answer.strip()
-        if not _CLOSED.search(text) and not _BROKEN_MARK.search(text):
-            ends = _last_words(text)
-            if ends and ends[-1] not in OPEN_WORDS:
-                endings[" ".join(ends[-3:])] += 1
-        if _ELLIPSIS.search(text):
-            trailing[" ".join(_last_words(_ELLIPSIS.sub("", text).strip())[-3:])] += 1
         parts = _SENTENCE.split(text)
         if not _CLOSED.search(text) or _ELLIPSIS.search(text):
             parts = parts[:-1]
@@ -232,15 +228,55 @@ def fit_terminal_contexts(answers: list[str], seed: int = 7, passes: int = 4) ->
                 w[touched] += 0.25 * g / np.sqrt(squares[touched])
                 w[_CELLS] = 0.0
         weights = w[:_CELLS]
-    return TerminalContexts(weights.astype(np.float32), bias, dict(endings), dict(trailing))
+    return TerminalContexts(weights.astype(np.float32), bias)
 
 
-def is_truncated(text: str, raw: str, model: TerminalContexts, seen: int = 4) -> bool:
+def ending_of(text: str) -> tuple[str, str] | None:
+    """``ending`` and the last words of a text without a full stop, ``trailing`` and those before its ellipsis, or none."""
+    text = text.strip()
+    if _ELLIPSIS.search(text):
+        return "trailing", " ".join(_last_words(_ELLIPSIS.sub("", text).strip())[-3:])
+    if _CLOSED.search(text) or _BROKEN_MARK.search(text):
+        return None
+    words = _last_words(text)
+    return ("ending", " ".join(words[-3:])) if words and words[-1] not in OPEN_WORDS else None
+
+
+def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for question, answer in zip(batch["question"], batch["answer"], strict=True):
+            text = visible_text(answer)
+            if (found := ending_of(text)) is not None:
+                asked = _fold(_NUMBERING.sub("", visible_text(question))) if isinstance(question, str) and question else ""
+                pair = "\x1f".join((" ".join(asked.split()), " ".join(text.split())))
+                out.append((*found, hashlib.blake2b(pair.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()))
+        yield pd.DataFrame(out, columns=["kind", "ending", "pair"])
+
+
+def recurring_endings(pairs: DataFrame) -> dict[str, frozenset[str]]:
+    """The endings, by kind, that so many of all different pairs have that they are no accident of a cut.
+
+    A pair counts once however often it is exported; one answer to several questions counts for each.
+    The share is the lower bound of its confidence interval (Wilson), so few pairs prove no more
+    than they do in a large table, and each kind has fewer than 1 / SHARE endings.
+    """
+    ends = pairs.where("answer is not null and answer <> ''").select("question", "answer").mapInPandas(_endings, "kind string, ending string, pair string").distinct()
+    counts = ends.groupBy("kind", "ending").agg(F.count("*").alias("k")).withColumn("n", F.sum("k").over(Window.partitionBy("kind")))
+    k, n, square = F.col("k").cast("double"), F.col("n").cast("double"), _Z * _Z
+    least = (k + square / 2 - _Z * F.sqrt(k * (n - k) / n + square / 4)) / (n + square)
+    found: dict[str, set[str]] = {"ending": set(), "trailing": set()}
+    for row in counts.where((k >= SEEN) & (least > SHARE)).collect():
+        found[row["kind"]].add(row["ending"])
+    return {kind: frozenset(own) for kind, own in found.items()}
+
+
+def is_truncated(text: str, raw: str, model: TerminalContexts) -> bool:
     """Whether the text breaks off before its end; see ``find_broken_pairs``."""
     text = text.strip()
     if _ELLIPSIS.search(text) and not _BROKEN_MARK.search(text):
         core = _last_words(_ELLIPSIS.sub("", text).strip())
-        if model.trailing.get(" ".join(core[-3:]), 0) >= seen:
+        if " ".join(core[-3:]) in model.trailing:
             return False
         return not core or core[-1] in OPEN_WORDS or model.score(core) < 0
     if _CLOSED.search(text):
@@ -256,7 +292,7 @@ def is_truncated(text: str, raw: str, model: TerminalContexts, seen: int = 4) ->
         return False
     if not words or words[-1] in OPEN_WORDS:
         return True
-    if model.endings.get(" ".join(words[-3:]), 0) >= seen:
+    if " ".join(words[-3:]) in model.endings:
         return False
     # so few words are an answer in note form
     return len(_WORD.findall(text)) > 4 and model.score(words) < 0
@@ -307,8 +343,8 @@ def find_broken_pairs(faq: DataFrame, fit_answers: int = FIT_ANSWERS, seed: int
 
     Null and empty pair lists have no pairs; a null pair is empty; a null question leaves only
     the defects of the answer by itself; repeated rows are judged each by themselves; an empty
-    table gives no rows. The model is fitted on at most ``fit_answers`` answers; all pairs
-    are judged in one pass without a shuffle.
+    table gives no rows. The model is fitted on at most ``fit_answers`` answers; recurring
+    endings are counted over all pairs, and all pairs are judged in one pass without a shuffle.
     """
     pairs = faq.select("faq_id", F.posexplode("pairs").alias("at", "pair")).select(
         "faq_id", (F.col("at") + 1).alias("pair_no"), F.col("pair.question").alias("question"), F.col("pair.answer").alias("answer")
@@ -317,6 +353,8 @@ def find_broken_pairs(faq: DataFrame, fit_answers: int = FIT_ANSWERS, seed: int
     share = int(min(1.0, fit_answers / total) * 1_000_000)
     sample = pairs.where("answer is not null").where(F.pmod(F.xxhash64(F.lit(seed), "faq_id", "pair_no"), F.lit(1_000_000)) < share)
     answers = [visible_text(r["answer"]) for r in sample.select("answer").collect()]
-    shared = faq.sparkSession.sparkContext.broadcast(fit_terminal_contexts(sorted(answers)))
+    model = fit_terminal_contexts(sorted(answers))
+    recurring = recurring_endings(pairs)
+    shared = faq.sparkSession.sparkContext.broadcast(replace(model, endings=recurring["ending"], trailing=recurring["trailing"]))
     judged = pairs.withColumn("faq_id", sealed("faq_id")).mapInPandas(_judge(shared), "faq_id bigint, pair_no int, defect string")
     return judged.withColumn("faq_id", opened("faq_id"))
