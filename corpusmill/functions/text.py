@@ -117,3 +117,22 @@ def name_forms(path: Column) -> Column:
     folded = F.trim(F.regexp_replace(stem, r"[\s_\-.]+", " "))
     bare = F.trim(F.regexp_replace(folded, r" [a-z0-9]{7}$", ""))
     return F.array_distinct(F.filter(F.array(name, stem, folded, bare), lambda x: x != ""))
+
+
+def file_name(path: Column) -> Column:
+    """The percent-decoded last part of a path; a percent sign that begins no escape and a plus stay as they are."""
+    last = F.regexp_replace(F.substring_index(path, "/", -1), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+
+
+def file_stem(name: Column) -> Column:
+    """A file name without its extension."""
+    return F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "")
+
+
+def folded_name_forms(name: Column) -> Column:
+    """A file name's stem with and without one storage suffix of seven characters, separators folded, in lower case; none is empty."""
+    stem = file_stem(name)
+    forms = F.array(stem, F.regexp_replace(stem, "_[A-Za-z0-9]{7}$", ""))
+    folded = F.transform(forms, lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, r"(?U)[-_\s]+", "_"), "^_|_$", "")))
+    return F.array_distinct(F.filter(folded, lambda x: x != ""))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import file_name, file_stem, folded_name_forms
+
 # The tiers of a match by name, strongest first.
 TIERS = ("exact", "stem", "folded", "truncated")
 
@@ -41,6 +43,37 @@ def name_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return best.select(F.col("__a").alias(left_id), F.col("__b").alias(right_id), F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1).alias("tier"))
 
 
+def file_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_path: str, right_path: str, least_prefix: int = 20) -> DataFrame:
+    """(left_id, right_id, tier): the strongest tier by which the file names of two paths match.
+
+    exact: equal names, percent-decoded; stem: equal without extension; folded: the names have a
+    folded form in common, with or without a storage suffix (a suffix of seven characters cannot be
+    told from a word of seven letters, so both count); truncated: a folded form of at least
+    ``least_prefix`` characters begins one of the other name. The case counts in the first two tiers
+    only. Null and empty names match nothing. Each tier is an equi-join of exploded forms; the last
+    joins whole forms with the beginnings of the other side's.
+    """
+
+    def names(df: DataFrame, key: str, path: str, side: str) -> DataFrame:
+        named = df.select(F.col(key).alias(side), file_name(F.col(path)).alias("exact")).where("exact <> ''")
+        return named.select(side, "exact", file_stem(F.col("exact")).alias("stem"), folded_name_forms(F.col("exact")).alias("folded"))
+
+    def begun(df: DataFrame, side: str) -> DataFrame:
+        ends = F.sequence(F.lit(least_prefix), F.length("form") - 1)
+        return df.where(F.length("form") > least_prefix).select(side, F.explode(F.transform(ends, lambda n: F.substring(F.col("form"), F.lit(1), n))).alias("form"))
+
+    a, b = names(left, left_id, left_path, "__a"), names(right, right_id, right_path, "__b")
+    forms_a, forms_b = (df.select(side, F.explode("folded").alias("form")) for df, side in ((a, "__a"), (b, "__b")))
+    pairs = [(a.select("__a", F.col(t).alias("form")), b.select("__b", F.col(t).alias("form")), n) for n, t in enumerate(TIERS[:2])]
+    pairs += [(forms_a, forms_b, 2), (begun(forms_a, "__a"), forms_b, 3), (forms_a, begun(forms_b, "__b"), 3)]
+    found = None
+    for one, other, tier in pairs:
+        part = one.where("form <> ''").join(other, "form").select("__a", "__b", F.lit(tier).alias("tier"))
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("__a", "__b").agg(F.min("tier").alias("tier"))
+    return best.select(F.col("__a").alias(left_id), F.col("__b").alias(right_id), F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1).alias("tier"))
+
+
 def classify_matches(matches: DataFrame, items: DataFrame, item: str, page: str, tier: str = "tier") -> DataFrame:
     """(item, status, pages): matched with exactly one page over the deterministic tiers, ambiguous with more, else unmatched."""
     sure = matches.where(F.col(tier) != "truncated").groupBy(item).agg(F.count_distinct(page).alias("pages"))

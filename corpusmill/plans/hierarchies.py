@@ -80,6 +80,24 @@ def match_status(spark: SparkSession, base: str) -> DataFrame:
     return matching.classify_matches(tiered_name_match(spark, base), _page_lists(spark, base)[0], "first_uri", "last_uri")
 
 
+def _page_files(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """The page spellings delivered by the first run of each scope, and by every run after it."""
+    runs = read_table(spark, base, "runs", ["run_id", "source_scope"])
+    firsts = runs.groupBy("source_scope").agg(F.min("run_id").alias("first_run"))
+    records = read_table(spark, base, "contract", ["run_id", "source_scope", "canonical_uri"]).join(firsts, "source_scope")
+    first = records.where("run_id = first_run").select(F.col("canonical_uri").alias("first_uri")).distinct()
+    return first, records.where("run_id > first_run").select(F.col("canonical_uri").alias("later_uri")).distinct()
+
+
+def tiered_file_match(spark: SparkSession, base: str) -> DataFrame:
+    first, later = _page_files(spark, base)
+    return matching.file_matches(first, later, "first_uri", "later_uri", "first_uri", "later_uri")
+
+
+def file_match_status(spark: SparkSession, base: str) -> DataFrame:
+    return matching.classify_matches(tiered_file_match(spark, base), _page_files(spark, base)[0], "first_uri", "later_uri")
+
+
 def file_name_forms(spark: SparkSession, base: str) -> DataFrame:
     pages = read_table(spark, base, "documents", ["doc_id", "canonical_uri"])
     return pages.select("doc_id", F.explode(name_forms(F.col("canonical_uri"))).alias("form"))
@@ -126,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         left_join_metadata, m2m_ordered_items, distinct_items_dropped, category_two_level, pages_assembled, full_outer_compare, tiered_name_match, match_status,
-        file_name_forms, ancestor_walk, text_references, inventory_problems, reachability_join, title_consensus, best_status,
+        tiered_file_match, file_match_status, file_name_forms, ancestor_walk, text_references, inventory_problems, reachability_join, title_consensus, best_status,
     )
 }
 
