@@ -147,11 +147,33 @@ def strategy_grid(spark: SparkSession, base: str) -> DataFrame:
     return size.join(hit, "strategy", "left").select("strategy", "chunks", F.coalesce("cases_hit", F.lit(0)).alias("cases_hit"))
 
 
+def strategy_report(spark: SparkSession, base: str) -> DataFrame:
+    """``strategy_grid`` with its two references: ``unlaned``, one pool of 8 documents, and ``home``, only the lanes of the expected page, by default quotas.
+
+    The lanes of a page are those of its hits; a case without such a page keeps both lanes, as one without expected page does.
+    """
+    rows = _valid_hits(spark, base).withColumnRenamed("top_score", "score").withColumn("lane", F.when(F.col("lane") == "blog", "blog").otherwise("own"))
+    hits = read_table(spark, base, "evaluate_retrieval", ["document_uri", "lane"]).where("document_uri is not null")
+    lanes = hits.select(F.col("document_uri").alias("expected_document_uri"), F.when(F.col("lane") == "blog", "blog").otherwise("own").alias("lane"), F.lit(True).alias("known")).distinct()
+    known = lanes.select("expected_document_uri").distinct().withColumn("page_known", F.lit(True))
+    pool = vectors.nearest(rows, ["case_id", "lane"], ["hit_id"], 50).drop("rank")
+    at_home = pool.join(lanes, ["expected_document_uri", "lane"], "left").join(known, "expected_document_uri", "left").where("known or page_known is null")
+    home = vectors.group_by_document(at_home.withColumn("quota", F.when(F.col("lane") == "blog", 2).otherwise(5)), ["case_id", "lane"], "document_uri", ["hit_id"], "quota", 2)
+    one = vectors.nearest(rows.drop("lane"), ["case_id"], ["hit_id"], 50).drop("rank")
+    unlaned = vectors.group_by_document(one, ["case_id"], "document_uri", ["hit_id"], 8, 2)
+    both = None
+    for name, kept in (("unlaned", unlaned), ("home", home)):
+        part = kept.select(F.lit(name).alias("strategy"), "case_id", F.coalesce(F.col("document_uri") == F.col("expected_document_uri"), F.lit(False)).alias("hit"))
+        both = part if both is None else both.unionByName(part)
+    found = both.groupBy("strategy").agg(F.count("*").alias("chunks"), F.count_distinct(F.when(F.col("hit"), F.col("case_id"))).alias("cases_hit"))
+    return strategy_grid(spark, base).unionByName(found)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         exact_topk_grouped, knn_ranks, scope_search, lane_quota_merge, structured_lookup, vector_validation, first_hit_ranks, recall_by_category, document_positions,
-        threshold_report, top_overlap, lane_changes, latency_distribution, corpus_fingerprint, golden_setup_problems, strategy_grid,
+        threshold_report, top_overlap, lane_changes, latency_distribution, corpus_fingerprint, golden_setup_problems, strategy_grid, strategy_report,
     )
 }
 
