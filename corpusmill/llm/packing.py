@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,8 +16,6 @@ from corpusmill.scratch import durable
 
 #: Items that one task packs at a time; more items make more groups, never larger ones.
 GROUP_ITEMS = 8_192
-#: Effort of the local search: passes over the emptiest bins, steps of one bin in a pass, pairs tried for a step.
-PASSES, STEPS, PAIRS, TURNS = 4, 32, 128, 8
 
 
 class Bins:
@@ -78,19 +75,19 @@ class Bins:
 def pack(sizes: list[int], capacity: int) -> list[int]:
     """A bin number for every item: best fit in decreasing order, then local search.
 
-    The search takes the emptiest bins, somewhat more than are too many. Each item, or pair of items, of
+    The search takes the underfull bins from the emptiest up. Each item, or pair of items, of
     such a bin is moved into another underfull bin or exchanged for a smaller item there, so
     that the fuller bin gains: every step raises the sum of squared fills, so the search ends,
-    and a bin that has given everything away is gone. Its effort is bounded; items are packed whatever it finds. There is nothing to search for once the
+    when no step helps, and a bin that has given everything away is gone. There is nothing to search for once the
     bins are as few as the sum of the sizes allows.
     """
     bins = Bins(capacity)
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         bins.place(i, sizes[i])
     fewest = -(-sum(sizes) // capacity)
-    for _ in range(PASSES):
-        if len(bins.items) <= fewest or not _improve(bins, sizes, fewest):
-            break
+    held = {b: _mask(own, sizes) for b, own in bins.items.items()}
+    while len(bins.items) > fewest and _improve(bins, sizes, fewest, held):
+        pass
     number = {b: n for n, b in enumerate(sorted(bins.items))}
     out = [0] * len(sizes)
     for b, own in bins.items.items():
@@ -99,78 +96,84 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _improve(bins: Bins, sizes: list[int], fewest: int) -> bool:
+def _mask(own: list[int], sizes: list[int]) -> int:
+    """The sizes of the items as bits."""
+    mask = 0
+    for i in own:
+        mask |= 1 << sizes[i]
+    return mask
+
+
+def _improve(bins: Bins, sizes: list[int], fewest: int, held: dict[int, int]) -> bool:
     """One pass over the underfull bins as givers; whether any step was made."""
     capacity, stepped = bins.capacity, False
-    under = sorted((b for b, f in bins.fill.items() if f < capacity), key=lambda b: (bins.fill[b], b))
-    holds: dict[int, dict[int, None]] = defaultdict(dict)  # size -> underfull bins that hold an item of it
-    for b in under:
-        for i in bins.items[b]:
-            holds[sizes[i]][b] = None
-    # as many bins as are too many have to be emptied: the emptiest, and a few that may help them
-    for giver in under[: 2 * (len(bins.items) - fewest) + 4]:
-        if len(bins.items) <= fewest:
-            return False
-        if giver not in bins.items or bins.fill[giver] == capacity:
-            continue
-        stepped |= _give(bins, sizes, giver, holds)
+    for giver in sorted((b for b, f in bins.fill.items() if f < capacity), key=lambda b: (bins.fill[b], b)):
+        while giver in bins.items and bins.fill[giver] < capacity and len(bins.items) > fewest and _step(bins, sizes, giver, held):
+            stepped = True
     return stepped
 
 
-def _give(bins: Bins, sizes: list[int], giver: int, holds: dict[int, dict[int, None]]) -> bool:
-    stepped = False
-    for _ in range(STEPS):
-        if giver not in bins.items:
-            break
-        own = sorted(bins.items[giver], key=lambda i: -sizes[i])
-        if not (_move(bins, sizes, giver, own) or _exchange(bins, sizes, giver, [(i,) for i in own], holds)
-                or _exchange(bins, sizes, giver, itertools.islice(itertools.combinations(own, 2), PAIRS), holds)):
-            return stepped
-        stepped = True
-    return stepped
+def _step(bins: Bins, sizes: list[int], giver: int, held: dict[int, int]) -> bool:
+    """Move an item, exchange one, or exchange a pair; whether any of these helped."""
+    own = sorted(bins.items[giver], key=lambda i: -sizes[i])
+    for i in own:
+        taker = bins.tightest(sizes[i], giver)
+        if taker is not None and bins.fill[taker] + sizes[i] > bins.fill[giver]:
+            _transfer(bins, sizes, giver, taker, (i,), None, held)
+            return True
+    if (found := _exchange(bins, giver, held[giver], held)) is not None:
+        taker, size, back = found
+        out = (next(i for i in own if sizes[i] == size),)
+    else:
+        pairs = later = 0
+        for i in own:
+            pairs |= later << sizes[i]
+            later |= 1 << sizes[i]
+        if (found := _exchange(bins, giver, pairs, held)) is None:
+            return False
+        taker, size, back = found
+        seen: dict[int, int] = {}
+        for i in own:
+            if size - sizes[i] in seen:
+                out = (seen[size - sizes[i]], i)
+                break
+            seen[sizes[i]] = i
+    _transfer(bins, sizes, giver, taker, out, next(i for i in bins.items[taker] if sizes[i] == back), held)
+    return True
+
 
+def _exchange(bins: Bins, giver: int, offered: int, held: dict[int, int]) -> tuple[int, int, int] | None:
+    """(taker, size given, size taken back) of an exchange that helps, for the sizes ``offered`` as bits, or none.
 
-def _transfer(bins: Bins, sizes: list[int], giver: int, taker: int, out: tuple[int, ...], back: int | None) -> None:
+    A taker gains at most its room, so all takers together are tried for as many gains as there is room in all bins.
+    """
+    fill = bins.fill[giver]
+    mask = bins.free_mask & ~1
+    while mask:
+        room = (mask & -mask).bit_length() - 1
+        mask &= mask - 1
+        least = max(1, fill - (bins.capacity - room) + 1)
+        for gain in range(room, least - 1, -1):
+            backs = offered >> gain & ~1
+            for taker in bins.by_free[room] if backs else ():
+                if taker != giver and (both := backs & held[taker]):
+                    back = (both & -both).bit_length() - 1
+                    return taker, back + gain, back
+    return None
+
+
+def _transfer(bins: Bins, sizes: list[int], giver: int, taker: int, out: tuple[int, ...], back: int | None, held: dict[int, int]) -> None:
     gain = sum(sizes[i] for i in out) - (sizes[back] if back is not None else 0)
     bins.items[giver] = [i for i in bins.items[giver] if i not in out] + ([back] if back is not None else [])
     bins.items[taker] = [i for i in bins.items[taker] if i != back] + list(out)
     bins._set_fill(taker, bins.fill[taker] + gain)
     bins._set_fill(giver, bins.fill[giver] - gain)
+    for b in (giver, taker):
+        held[b] = _mask(bins.items[b], sizes)
     if not bins.items[giver]:
         bins._drop(giver)
 
 
-def _move(bins: Bins, sizes: list[int], giver: int, own: list[int]) -> bool:
-    for i in own:
-        taker = bins.tightest(sizes[i], giver)
-        if taker is not None and bins.fill[taker] + sizes[i] > bins.fill[giver]:
-            _transfer(bins, sizes, giver, taker, (i,), None)
-            return True
-    return False
-
-
-def _exchange(bins: Bins, sizes: list[int], giver: int, offers, holds: dict[int, dict[int, None]]) -> bool:
-    widest = bins.capacity - min((f for b, f in bins.fill.items() if b != giver), default=bins.capacity)
-    if widest <= 0:
-        return False
-    for out in offers:
-        size = sum(sizes[i] for i in out)
-        for gain in range(min(widest, size - 1), 0, -1):
-            for taker in list(holds.get(size - gain, ())):
-                room = bins.capacity - bins.fill[taker] if taker in bins.fill else 0
-                back = next((i for i in bins.items.get(taker, ()) if sizes[i] == size - gain), None)
-                if back is None:  # it has moved on since
-                    holds[size - gain].pop(taker, None)
-                elif taker != giver and gain <= room and bins.fill[taker] + gain > bins.fill[giver]:
-                    _transfer(bins, sizes, giver, taker, out, back)
-                    for i in out:
-                        holds[sizes[i]][taker] = None
-                    if giver in bins.items:
-                        holds[sizes[back]][giver] = None
-                    return True
-    return False
-
-
 _PACKED = "doc_id bigint, part_no int, token_start bigint, n_tokens bigint, container_id string, fill bigint"
 
 
@@ -199,8 +202,8 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
 
     Items are dealt by hash into groups of about ``group_items``, each packed in one task. The
     bins that stay underfull meet again in fewer, equally bounded groups until one group holds
-    them all, they are as few as their tokens allow, a turn brings their number no lower, or after ``TURNS`` turns; a group wastes about one bin, so the
-    later turns handle few rows.
+    them all, they are as few as their tokens allow, or a turn brings their number no lower; a group wastes about one bin, so the
+    later turns handle few rows. A turn that needs more bins for its rows than the one before is not kept.
     """
     counted = count_tokens(documents, ["doc_id"], **tokenizer).where("n_tokens > 0")
     part = F.explode(F.sequence(F.lit(1), F.ceil(F.col("n_tokens") / capacity).cast("int")))
@@ -215,21 +218,26 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
     # ids of whole containers count the repeated rows of a text apart
     whole = items.where(F.col("n_tokens") == capacity).withColumn("container_id", F.concat_ws("-", F.lit("w"), "doc_id", "part_no", F.monotonically_increasing_id()))
     done = [durable(whole.select(*names))]
-    todo, turn, bins_before = items.where(F.col("n_tokens") < capacity), 0, None
+    todo, turn, before, bins_before = items.where(F.col("n_tokens") < capacity), 0, None, None
     rows = todo.count()
     while rows:
         groups = -(-rows // group_items)
         dealt = todo.repartition(groups, F.xxhash64(F.lit(turn), "doc_id", "part_no"))
         sent = dealt.select(sealed("doc_id").alias("doc_id"), "part_no", "token_start", "n_tokens")
         packed = durable(sent.mapInPandas(_pack_group(turn, capacity), _PACKED).withColumn("doc_id", opened("doc_id")))
-        open_rows = packed.where(F.col("fill") < capacity)
-        counts = open_rows.agg(F.count("*").alias("rows"), F.count_distinct("container_id").alias("bins"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-        fewest = -(-counts["tokens"] // capacity)
-        if groups == 1 or counts["bins"] <= fewest or (bins_before is not None and (counts["bins"] >= bins_before or turn >= TURNS)):
+        per = packed.groupBy("container_id").agg(F.count("*").alias("rows"), F.max("fill").alias("fill"))
+        is_open = F.col("fill") < capacity
+        total = lambda c: F.coalesce(F.sum(F.when(is_open, F.col(c))), F.lit(0))
+        counts = per.agg(F.count("*").alias("all"), F.count_if(is_open).alias("bins"), total("rows").alias("rows"), total("fill").alias("tokens")).first()
+        if before is not None and counts["all"] > bins_before:
+            done.append(before)
+            break
+        if groups == 1 or counts["bins"] <= -(-counts["tokens"] // capacity) or (before is not None and counts["bins"] >= bins_before):
             done.append(packed.select(*names))
             break
-        done.append(packed.where(F.col("fill") >= capacity).select(*names))
-        todo, rows, bins_before, turn = open_rows, counts["rows"], counts["bins"], turn + 1
+        done.append(packed.where(~is_open).select(*names))
+        todo, rows, bins_before, turn = packed.where(is_open), counts["rows"], counts["bins"], turn + 1
+        before = todo.select(*names)
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
