@@ -1,0 +1,11 @@
+from __future__ import annotations
+
+from pathlib import Path
+
+from corpusmill.llm import similar_vectors
+
+
+def test_bounds_of_the_sample_are_those_of_the_code():
+    text = (Path(__file__).resolve().parent.parent / "README.md").read_text()
+    assert f"at most {similar_vectors.SAMPLE_ROWS:,} rows (`SAMPLE_ROWS`)" in text
+    assert f"at most {similar_vectors.SAMPLE_ROWS // 2:,} lists" in text
