@@ -20,3 +20,10 @@ def sealed(key: Column | str) -> Column:
 def opened(key: Column | str) -> Column:
     """The key with its nulls back."""
     return F.nullif(F.col(key) if isinstance(key, str) else key, F.lit(NULL_KEY).cast("bigint"))
+
+
+def sampled(share: float, seed: int, *columns: str) -> Column:
+    """Whether the row is in a sample of about ``share`` of the rows, by 64 bits of hash, so that no share is too small."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(F.lit(seed), *columns) < F.lit(int(share * 2**64) - 2**63)
