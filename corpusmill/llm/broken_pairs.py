@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.keys import opened, sealed
+from corpusmill.functions.keys import opened, sampled, sealed
 from corpusmill.llm.html_text import visible_text
 
 #: Answers on which the terminal-context model is fitted, chosen by hash; every pair is then judged.
@@ -96,46 +96,76 @@ def is_empty(text: str) -> bool:
     return bare in FILLERS or folded in FILLERS or not any(c.isalnum() for c in folded)
 
 
-def is_refusal(text: str) -> bool:
-    """A short answer in which, by the refusal dictionary, the speaker cannot or will not speak to the question."""
-    folded = _fold(text)
-    while (shorter := _COURTESY.sub("", folded).rstrip()) != folded and shorter:
-        folded = shorter
-    if len(folded.split()) > 40:
-        return False
+def declines(sentence: str) -> bool:
+    """By the refusal dictionary, the speaker cannot or will not speak to the question."""
+    folded = _fold(sentence)
     for unable, speech in _REFUSALS:
         for match in unable.finditer(folded):
-            near = " ".join(folded[match.start() :].split()[:18])
-            if speech.search(near) and not re.search(r"\b(?:stress|skip)\b", near):
+            rest = folded[match.start() :]
+            if speech.search(rest) and not re.search(r"\b(?:stress|skip)\b", rest):
                 return True
     return False
 
 
-def copied_share(question: str, answer: str) -> float:
-    """Bytes of the answer compressed with the question as dictionary, against compressed alone; small for copies."""
+def is_refusal(text: str) -> bool:
+    """At least half of the words, closing courtesies aside, are in sentences that decline to answer."""
+    sentences = [s for s in _SENTENCE.split(text.strip()) if s]
+    while len(sentences) > 1 and _COURTESY.search(_fold(sentences[-1])):
+        sentences.pop()
+    lengths = [len(s.split()) for s in sentences]
+    return 0 < sum(lengths) <= 2 * sum(n for n, s in zip(lengths, sentences, strict=True) if declines(s))
+
+
+#: An answer of which a smaller share is new to who has the question is a copy.
+COPIED = 0.35
+
+
+@functools.cache
+def _frames():
+    """Frames without magic number and checks, so that their size is that of the text."""
+    import zstandard
+
+    return zstandard.ZstdCompressionParameters(
+        compression_level=3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+
+
+def _compressed(text: bytes, dictionary: bytes | None = None) -> int:
     import zstandard
 
-    q, a = question.encode(), answer.encode()
-    alone = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(a))
-    given = len(zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(a))
-    return given / max(1, alone)
+    known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+    return len(zstandard.ZstdCompressor(compression_params=_frames(), dict_data=known).compress(text))
+
+
+def new_share(question: str, answer: str) -> float:
+    """Bytes that the answer takes with the question as dictionary, beyond those the question itself would take, against its bytes alone.
+
+    0 for the question again, about 1 for what has nothing of it.
+    """
+    q, a = question.encode("utf-8", "surrogatepass"), answer.encode("utf-8", "surrogatepass")
+    least = _compressed(q, q)
+    return max(0, _compressed(a, q) - least) / max(1, _compressed(a) - least)
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """The answer is the question's words, once or several times, whatever their form, and next to nothing else."""
-    q, a = _fold(_NUMBERING.sub("", question)), _fold(_NUMBERING.sub("", answer))
-    wq, wa = _WORD.findall(q), _WORD.findall(a)
+    """The answer is the question once or several times, whatever its form, and next to nothing else.
+
+    Compression with the question as dictionary decides; only answers at least half of whose
+    letters are in words of the question are compressed, and a copy has hardly any other word.
+    """
+    wq, wa = _WORD.findall(_fold(_NUMBERING.sub("", question))), _WORD.findall(_fold(_NUMBERING.sub("", answer)))
     while wa and wa[0] in _LABEL and (not wq or wa[0] != wq[0]):
         wa = wa[1:]
     if not wq or not wa or len(wa) < 0.6 * len(wq):
         return False
+    asked = set(wq)
+    if 2 * sum(len(w) for w in wa if w in asked) < sum(map(len, wa)):
+        return False
     times = max(1, round(len(wa) / len(wq)))
-    if len(wa) > times * len(wq) + 4:
+    own, single = " ".join(wa), " ".join(wq)
+    if new_share(" ".join([single] * times), own) > COPIED:
         return False
-    have, want = Counter(wa), Counter(wq * times)
-    if sum((have - want).values()) <= max(1, len(wq) // 10) and sum((want - have).values()) <= max(1, len(wq) // 10):
-        return True
-    return copied_share(" ".join(wq), " ".join(wa)) <= 0.45 and sum((have - want).values()) <= 2
+    return sum(w not in asked for w in wa) <= max(1, len(wq) // 10)
 
 
 # --- terminal contexts -------------------------------------------------------------------
@@ -335,9 +365,9 @@ def _judge(shared):
 def find_broken_pairs(faq: DataFrame, fit_answers: int = FIT_ANSWERS, seed: int = 7) -> DataFrame:
     """(faq_id, pair_no, defect) of every pair whose answer is unusable; pair_no counts from 1.
 
-    The first that holds: ``empty`` (null, blank, bare markup or a filler), ``copied`` (the
-    question's words again, by their counts or by compression with the question as zstandard
-    dictionary), ``refusal`` (refusal dictionaries of six languages), ``truncated`` (an open
+    The first that holds: ``empty`` (null, blank, bare markup or a filler), ``copied`` (little of
+    it is new where the question is the zstandard dictionary), ``refusal`` (at least half of it, by
+    the refusal dictionaries of six languages), ``truncated`` (an open
     mark or word at the end, or an end context that the fitted model takes for a cut),
     ``wrong_language`` (complete, its common words of another language than the question's).
 
@@ -350,8 +380,8 @@ def find_broken_pairs(faq: DataFrame, fit_answers: int = FIT_ANSWERS, seed: int
         "faq_id", (F.col("at") + 1).alias("pair_no"), F.col("pair.question").alias("question"), F.col("pair.answer").alias("answer")
     )
     total = max(1, faq.select(F.sum(F.when(F.size("pairs") > 0, F.size("pairs")))).first()[0] or 1)
-    share = int(min(1.0, fit_answers / total) * 1_000_000)
-    sample = pairs.where("answer is not null").where(F.pmod(F.xxhash64(F.lit(seed), "faq_id", "pair_no"), F.lit(1_000_000)) < share)
+    # the limit acts only where one faq_id is that of a great part of all rows
+    sample = pairs.where("answer is not null").where(sampled(fit_answers / total, seed, "faq_id", "pair_no")).limit(2 * fit_answers)
     answers = [visible_text(r["answer"]) for r in sample.select("answer").collect()]
     model = fit_terminal_contexts(sorted(answers))
     recurring = recurring_endings(pairs)

@@ -43,9 +43,27 @@ def test_pairs_at_the_edges(spark):
     assert broken_pairs.find_broken_pairs(spark.createDataFrame([], FAQ)).count() == 0
 
 
-def test_copies_compress_with_their_question():
+@pytest.mark.parametrize("question, answer, copy", [
+    ("How long does the audit take?", "how long does the audit TAKE", True), ("Why?", "Why?", True), ("Why?", "Who?", False), ("Is it safe?", "Yes, it is.", False),
+    ("How long does the audit of ISO 22301 take?", "How long does the audit of ISO 22301 take? How long does the audit of ISO 22301 take?", True),
+    ("How long does the audit of ISO 22301 take?", "How long does the audit of ISO 22301 take? Two days.", False), ("What is ISO 9001 for?", "ISO 9001 and ISO 14001", False),
+])
+def test_compression_decides_copies(monkeypatch, question, answer, copy):
+    assert broken_pairs.is_copy(question, answer) == copy
+    monkeypatch.setattr(broken_pairs, "new_share", lambda q, a: 1.0)
+    assert not broken_pairs.is_copy(question, answer)
+
+
+def test_share_that_is_new():
     question = "How long does the certification of data centre audits take at ISO 22301?"
-    assert broken_pairs.copied_share(question, question) < 0.4 < broken_pairs.copied_share(question, "Two audit days per site are enough for most clients.")
+    assert broken_pairs.new_share(question, question) == 0
+    assert broken_pairs.new_share(question, "Two audit days per site are enough for most clients.") > 0.8
+
+
+def test_refusals_of_any_length():
+    long = "I am sorry, but after going through everything that was sent to us over the last weeks, and with all due respect for the effort behind the request, the many colleagues involved and the time that has passed since, we are not able, for reasons that have been explained to you before, to say anything on this."
+    assert len(long.split()) > 50 and broken_pairs.is_refusal(long)
+    assert not broken_pairs.is_refusal("We cannot answer for other bodies. " + "The lead auditor reviews the audit plan before the opening meeting. " * 3)
 
 
 BLOG = "post_id bigint, site string, html string, leaf string, key string"
@@ -77,6 +95,37 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_lines(empty).count() == repeated_lines.without_repeated_lines(empty).count() == 0
 
 
+def test_rows_that_share_a_post_id_keep_their_own_lines(spark):
+    rows = [(n, "a", f"own {w}\nread more\nlast {w}", None, None) for n, w in enumerate("alpha beta gamma delta epsilon zeta".split())]
+    rows += [(7, "a", "kept once\nkept twice\nread more", None, None), (7, "a", "read more\nkept thrice", None, None), (None, "a", "kept null\nread more", None, None), (None, "a", "read more\nkept void", None, None)]
+    cleaned = repeated_lines.without_repeated_lines(spark.createDataFrame(rows, BLOG)).collect()
+    assert sorted(r["html"] for r in cleaned) == sorted(h.replace("\nread more", "").replace("read more\n", "") for _, _, h, *_ in rows)
+
+
+def test_templates_with_slots_of_several_trees():
+    first, second = [], []
+    for name in ("anna karl", "boris ash", "clara thor"):
+        repeated_lines.grow(first, f"filed under news by {name} on monday last week".split())
+    for name in ("dora fen", "emil gard"):
+        repeated_lines.grow(second, f"filed under news by {name} on monday last week".split())
+    repeated_lines.grow(second, "filed under quite other words than all these here do".split())
+    merged = list(first)
+    for template in second:
+        repeated_lines.grow(merged, template)
+    assert merged[0] == ("filed", "under", "news", "by", None, None, "on", "monday", "last", "week") and len(merged) == 2
+    assert repeated_lines.matching(merged, "filed under news by any body on monday last week".split()) == 0
+    assert repeated_lines.matching(merged, "filed under news by any body on friday last week".split()) == -1
+
+
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, f"s{i % 2}", f"shared line of many\nshared line of {'xyz'[i % 3]}\nalone {chr(97 + i % 26)} {i}", None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, BLOG)
+    want = sorted((r["post_id"], r["line_no"]) for r in repeated_lines.repeated_lines(df).collect())
+    monkeypatch.setattr(repeated_lines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(repeated_lines, "TREE_TEMPLATES", 2)
+    assert sorted((r["post_id"], r["line_no"]) for r in repeated_lines.repeated_lines(df).collect()) == want == brute(rows)
+
+
 def test_repeated_lines_on_the_tables(spark, base):
     blog = read_table(spark, base, "blog")
     rows = [(r["post_id"], r["site"], r["html"]) for r in blog.collect()]
