@@ -10,12 +10,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.keys import sampled
 from corpusmill.scratch import durable
 
-#: Mean rows of a list, lists that are searched together as one bucket, rows beyond which a bucket is searched in several tasks.
+#: Mean rows of a list, lists that are searched together as one bucket, rows beyond which a bucket is divided into lists of its own.
 LIST_ROWS, BUCKET_LISTS, BLOCK_ROWS = 16, 16, 4096
 #: The lists are fitted on at most so many rows; every row is then indexed.
 SAMPLE_ROWS, SAMPLE_PER_LIST = 262_144, 12
+#: Rows of a bucket on which its own lists are fitted, mean rows of these, and how often buckets are divided.
+OWN_SAMPLE, OWN_ROWS, LEVELS = 4096, 1024, 4
+#: A bucket's own lists that a row living in it, and one only looked up in it, is looked up in.
+OWN_PROBES = (3, 2)
+#: Rows that one task takes at a time: to divide a bucket, and to look up in one.
+TASK_ROWS = 32_768
+#: Divided buckets up to which they are sent to every task; beyond it they are joined by a shuffle.
+BROADCAST_BUCKETS = 200_000
 #: Lists that a row is looked up in, its own included, and groups of lists that are looked at for them.
 PROBES, GROUP_PROBES = 4, 8
 #: Columns after which partial distances are tested, and the width of the test in standard deviations.
@@ -24,13 +33,13 @@ COLUMN_BLOCKS, EPSILON = (16, 32), 2.1
 
 @dataclass
 class Lists:
-    """Unit centroids in groups of similar ones; ``bucket_of`` joins lists, ``blocks`` is the number of tasks of each bucket."""
+    """Unit centroids in groups of similar ones; ``bucket_of`` joins lists, ``rows`` is the estimated number of rows of each bucket."""
 
     centroids: np.ndarray
     group_of: np.ndarray
     group_centroids: np.ndarray
     bucket_of: np.ndarray
-    blocks: np.ndarray
+    rows: np.ndarray
 
     def nearest(self, unit: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` lists of highest similarity per row, best first, -1 where there are fewer."""
@@ -95,10 +104,10 @@ def _buckets(centroids: np.ndarray, group_of: np.ndarray, rng: np.random.Generat
     return bucket_of
 
 
-def fit_lists(sample: np.ndarray, rows: int, seed: int, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> Lists:
+def fit_lists(sample: np.ndarray, rows: int, seed: int, list_rows: int = LIST_ROWS) -> Lists:
     """Spherical k-means in two levels over a bounded sample of unit rows."""
     rng = np.random.default_rng(seed)
-    count = int(max(1, min(rows // list_rows, len(sample) // 2)))
+    count = int(max(1, min(rows // list_rows, len(sample) // SAMPLE_PER_LIST)))
     one = np.ones(count, dtype=np.int64)
     centroids = sample[rng.choice(len(sample), count, replace=False)].astype(np.float32)
     for _ in range(2):
@@ -107,7 +116,7 @@ def fit_lists(sample: np.ndarray, rows: int, seed: int, list_rows: int = LIST_RO
     group_of, heads = _groups(centroids, rng)
     fitted = Lists(centroids, group_of, heads.astype(np.float32), _buckets(centroids, group_of, rng), one)
     own = np.bincount(fitted.bucket_of[fitted.nearest(sample, 1)[:, 0]], minlength=int(fitted.bucket_of.max()) + 1)
-    fitted.blocks = np.maximum(1, np.ceil(own * (rows / max(1, len(sample))) / block_rows)).astype(np.int64)
+    fitted.rows = np.ceil(own * (rows / max(1, len(sample)))).astype(np.int64)
     return fitted
 
 
@@ -185,50 +194,150 @@ def _collected(rows: DataFrame, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
 
 
+_COPIES = "bucket bigint, home boolean, chunk_id bigint, vector binary"
+
+
+def assign(lists: Lists, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, home) of every row's copies: one in the bucket it lives in, one in each further bucket with a probed list."""
+    near = lists.nearest(_unit(x.astype(np.float64)).astype(np.float32), probes)
+    buckets = np.where(near >= 0, lists.bucket_of[near], -1)
+    out = []
+    for place in range(near.shape[1]):
+        rows = np.flatnonzero((buckets[:, place] >= 0) & (buckets[:, :place] != buckets[:, place : place + 1]).all(axis=1))
+        out.append((rows, buckets[rows, place], np.full(len(rows), place == 0)))
+    row, bucket, home = (np.concatenate(o) for o in zip(*out, strict=True))
+    return row, bucket, home
+
+
+def _copies(x: np.ndarray, ids: np.ndarray, row: np.ndarray, bucket: np.ndarray, home: np.ndarray) -> pd.DataFrame:
+    raw = np.frombuffer(np.ascontiguousarray(x, np.float32).tobytes(), dtype=f"V{4 * x.shape[1]}")
+    return pd.DataFrame({"bucket": bucket, "home": home, "chunk_id": ids[row], "vector": [v.tobytes() for v in raw[row]]})
+
+
 def _assigner(shared, dim: int, probes: int):
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists: Lists = shared.value
+    def assign_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = _vectors(batch["embedding"], dim)
-            ids = batch["chunk_id"].to_numpy()
-            near = lists.nearest(_unit(x.astype(np.float64)).astype(np.float32), probes)
-            buckets = np.where(near >= 0, lists.bucket_of[near], -1)
-            raw = np.frombuffer(x.tobytes(), dtype=f"V{4 * dim}")
-            out = []
-            for place in range(near.shape[1]):
-                new = (buckets[:, place] >= 0) & (buckets[:, :place] != buckets[:, place : place + 1]).all(axis=1)
-                rows = np.flatnonzero(new)
-                names = buckets[rows, place]
-                blocks = lists.blocks[names]
-                home = ids[rows] % blocks
-                out.append((rows, names, home, np.full(len(rows), place == 0)))
-                # a bucket of several blocks is searched in each of them; the row itself lives in one
-                for extra in range(1, int(blocks.max(initial=1))):
-                    more = blocks > extra
-                    out.append((rows[more], names[more], (home[more] + extra) % blocks[more], np.zeros(int(more.sum()), bool)))
-            rows = np.concatenate([o[0] for o in out])
-            yield pd.DataFrame(
-                {
-                    "bucket": np.concatenate([o[1] for o in out]),
-                    "block": np.concatenate([o[2] for o in out]),
-                    "home": np.concatenate([o[3] for o in out]),
-                    "chunk_id": ids[rows],
-                    "vector": [v.tobytes() for v in raw[rows]],
-                }
-            )
-
-    return assign
+            yield _copies(x, batch["chunk_id"].to_numpy(), *assign(shared.value, x, probes))
+
+    return assign_batches
+
+
+def _stacked(vectors: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), dtype=np.float32).reshape(-1, dim)
+
+
+def own_lists(x: np.ndarray, rows: int, seed: int, own_rows: int = OWN_ROWS) -> np.ndarray:
+    """Centroids of a bucket's own lists, fitted on a sample of its rows."""
+    count = int(max(1, min(-(-rows // own_rows), len(x) // SAMPLE_PER_LIST)))
+    unit = _unit(x.astype(np.float64)).astype(np.float32)
+    return _cluster(unit, count, np.random.default_rng(seed))[1].astype(np.float32)
+
+
+def own_assign(centroids: np.ndarray, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, home) of the copies that a bucket's rows send to its own lists."""
+    scores = _unit(x.astype(np.float64)).astype(np.float32) @ centroids.T
+    look = min(OWN_PROBES[0], len(centroids))
+    near = np.argsort(-scores, axis=1, kind="stable")[:, :look]
+    out = []
+    for place in range(look):
+        rows = np.flatnonzero(home) if place >= OWN_PROBES[1] else np.arange(len(x))
+        out.append((rows, near[rows, place], home[rows] & (place == 0)))
+    row, own, live = (np.concatenate(o) for o in zip(*out, strict=True))
+    return row, own, live
+
+
+def _names(bucket: int, own: np.ndarray) -> np.ndarray:
+    """64-bit names of a bucket's own lists; two that fall together would only be searched together."""
+    mixed = (own.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(bucket % 2**64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(32))).astype(np.int64)
+
+
+def _fitter(dim: int, seed: int, own_rows: int):
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        found = own_lists(_stacked(group["vector"], dim), int(group["own"].iloc[0]), seed, own_rows)
+        return pd.DataFrame({"bucket": group["bucket"].iloc[:1].to_numpy(), "centroids": [found.tobytes()]})
+
+    return fit
+
+
+def _sender(dim: int):
+    def send(group: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(cell):
+            return group[["bucket", "home", "chunk_id", "vector"]]
+        x, centroids = _stacked(group["vector"], dim), np.frombuffer(cell["centroids"].iloc[0], dtype=np.float32).reshape(-1, dim)
+        row, own, home = own_assign(centroids, x, group["home"].to_numpy())
+        return _copies(x, group["chunk_id"].to_numpy(), row, _names(int(group["bucket"].iloc[0]), own), home)
+
+    return send
+
+
+def _divide(copies: DataFrame, dim: int, seed: int, block_rows: int, own_rows: int) -> DataFrame:
+    """The copies with every bucket of more than ``block_rows`` living rows divided into lists of its own, level by level.
+
+    The lists of a bucket are fitted by one task on a bounded sample of it, all buckets in
+    parallel, and its rows are sent on in bounded parts, so that lists grow with the rows and
+    the copies a row sends do not.
+    """
+    done, current = [], copies
+    for level in range(LEVELS):
+        current = durable(current)
+        sizes = current.groupBy("bucket").agg(F.count_if("home").alias("own"), F.count("*").alias("all"))
+        large = durable(sizes.where(F.col("own") > block_rows))
+        many = large.count()
+        if not many:
+            break
+        large_side = F.broadcast(large) if many <= BROADCAST_BUCKETS else large
+        done.append(current.join(F.broadcast(large.select("bucket")) if many <= BROADCAST_BUCKETS else large.select("bucket"), "bucket", "left_anti"))
+        parts = F.ceil(F.col("all") / TASK_ROWS).cast("int")
+        big = current.join(large_side, "bucket")
+        # the lowest hashes of a bucket, about OWN_SAMPLE of them
+        limit = (F.least(F.lit(1.0), F.lit(float(OWN_SAMPLE)) / F.col("own")) * F.lit(2.0**62)).cast("bigint")
+        sample = big.where(F.col("home") & (F.shiftrightunsigned(F.xxhash64(F.lit(seed + level), "chunk_id"), 2) < limit))
+
+        cells = durable(sample.select("bucket", "own", "vector").groupBy("bucket").applyInPandas(_fitter(dim, seed + level, own_rows), "bucket bigint, centroids binary"))
+
+        left = big.withColumn("part", F.pmod(F.xxhash64("chunk_id"), parts)).select("bucket", "part", "home", "chunk_id", "vector")
+        right = cells.join(large, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint"))).alias("part"), "centroids")
+        current = left.groupBy("bucket", "part").cogroup(right.groupBy("bucket", "part")).applyInPandas(_sender(dim), _COPIES)
+    else:
+        current = durable(current)
+    for more in done:
+        current = current.unionByName(more)
+    return current
+
+
+def _in_blocks(copies: DataFrame, block_rows: int) -> DataFrame:
+    """Buckets as (bucket, m, q): members of block m against what is looked up in block q.
+
+    Only a bucket that could not be divided, its rows being too much alike, has several blocks of members.
+    """
+    sizes = durable(copies.groupBy("bucket").agg(F.count_if("home").alias("own"), F.count("*").alias("all")).where((F.col("own") > block_rows) | (F.col("all") > TASK_ROWS)))
+    many = sizes.count()
+    plain = [F.lit(0).alias("m"), F.lit(0).alias("q"), F.col("home").alias("member"), F.lit(True).alias("asks")]
+    if not many:
+        return copies.select("bucket", *plain, "chunk_id", "vector")
+    joined = copies.join(F.broadcast(sizes) if many <= BROADCAST_BUCKETS else sizes, "bucket", "left")
+    mb = F.coalesce(F.ceil(F.col("own") / block_rows).cast("int"), F.lit(1))
+    qb = F.coalesce(F.ceil(F.col("all") / TASK_ROWS).cast("int"), F.lit(1))
+    own_m, own_q = F.pmod(F.xxhash64(F.lit(1), "chunk_id"), mb).cast("int"), F.pmod(F.xxhash64(F.lit(2), "chunk_id"), qb).cast("int")
+    asks = F.transform(F.sequence(F.lit(0), mb - 1), lambda m: F.struct(m.alias("m"), own_q.alias("q"), (F.col("home") & (m == own_m)).alias("member"), F.lit(True).alias("asks")))
+    rest = F.filter(F.sequence(F.lit(0), qb - 1), lambda q: F.col("home") & (q != own_q))
+    serves = F.transform(rest, lambda q: F.struct(own_m.alias("m"), q.alias("q"), F.lit(True).alias("member"), F.lit(False).alias("asks")))
+    return joined.select("bucket", "chunk_id", "vector", F.explode(F.concat(asks, serves)).alias("b")).select("bucket", "b.*", "chunk_id", "vector")
 
 
 def _searcher(dim: int, k: int, least: float, turn: np.ndarray):
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(np.frombuffer(b"".join(group["vector"]), dtype=np.float32).reshape(-1, dim).astype(np.float64)) @ turn
-        ids, home = group["chunk_id"].to_numpy(), group["home"].to_numpy()
-        members, named = x[home], ids[home]
-        found = []
-        for at in range(0, len(x), 1024):
-            a, b, cosine = scan(x[at : at + 1024], members, least, k, named, ids[at : at + 1024])
-            found.append((ids[at + a], named[b], cosine))
+        x = _unit(_stacked(group["vector"], dim).astype(np.float64)) @ turn
+        ids, member, asks = group["chunk_id"].to_numpy(), group["member"].to_numpy(), np.flatnonzero(group["asks"].to_numpy())
+        members, named = x[member], ids[member]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for at in range(0, len(asks), 1024):
+            own = asks[at : at + 1024]
+            a, b, cosine = scan(x[own], members, least, k, named, ids[own])
+            found.append((ids[own[a]], named[b], cosine))
         a, b, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
         return pd.DataFrame({"chunk_id": a, "other": b, "cosine": cosine})
 
@@ -244,6 +353,9 @@ def similar_pairs(
     probes: int = PROBES,
     list_rows: int = LIST_ROWS,
     seed: int = 29,
+    sample_rows: int = SAMPLE_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    own_rows: int = OWN_ROWS,
 ) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b: either is among the ``k`` most similar of the other.
 
@@ -255,9 +367,10 @@ def similar_pairs(
     Lists are fitted on a bounded sample, then every row is put into its nearest list and
     looked up in its ``probes`` nearest ones. Similar lists form buckets, each searched as a
     whole by the adaptive dimension scan of ``scan``, so a row travels once to each bucket
-    that holds a probed list. Bucket sizes are estimated from the sample and large buckets are
-    searched in blocks. Rows sharing one vector beyond the first ``k`` + 1 are not indexed:
-    their neighbours are the first ``k`` of their vector, exactly.
+    that holds a probed list. Where the sample shows buckets of more than ``block_rows`` rows,
+    these are counted and divided into lists of their own, see ``_divide``. Rows sharing one
+    vector beyond the first ``k`` + 1 are not indexed: their neighbours are the first ``k`` of
+    their vector, exactly.
     """
     reps = durable(usable_vectors(chunks, model, dim))
     spark = reps.sparkSession
@@ -277,16 +390,18 @@ def similar_pairs(
         behind = crowd.select("h1", "h2", "chunk_id").join(first.select("chunk_id"), "chunk_id", "left_anti")
         direct = behind.join(heads, ["h1", "h2"]).select(F.explode("heads").alias("chunk_id_a"), F.col("chunk_id").alias("chunk_id_b"))
         indexed = reps.join(behind.select("chunk_id"), "chunk_id", "left_anti")
-    wanted = min(SAMPLE_ROWS, max(4096, SAMPLE_PER_LIST * (rows // list_rows)))
-    share = min(1.0, wanted / rows)
-    mark = F.pmod(F.xxhash64(F.lit(seed), "chunk_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = _collected(indexed.where(mark), dim)
+    wanted = min(sample_rows, max(4096, SAMPLE_PER_LIST * (rows // list_rows)))
+    sample = _collected(indexed.where(sampled(wanted / rows, seed, "chunk_id")).limit(2 * sample_rows), dim)
     if len(sample) < 2:
         sample = _collected(indexed.limit(4096), dim)
     lists = fit_lists(sample, rows, seed, list_rows)
     shared = spark.sparkContext.broadcast(lists)
-    assigned = indexed.mapInPandas(_assigner(shared, dim, probes), "bucket bigint, block bigint, home boolean, chunk_id bigint, vector binary")
-    found = assigned.groupBy("bucket", "block").applyInPandas(_searcher(dim, k, least, rotation(dim, seed)), "chunk_id bigint, other bigint, cosine double")
+    copies = indexed.mapInPandas(_assigner(shared, dim, probes), _COPIES)
+    if lists.rows.max() > block_rows:
+        blocks = _in_blocks(_divide(copies, dim, seed, block_rows, own_rows), block_rows)
+    else:
+        blocks = copies.select("bucket", F.lit(0).alias("m"), F.lit(0).alias("q"), F.col("home").alias("member"), F.lit(True).alias("asks"), "chunk_id", "vector")
+    found = blocks.groupBy("bucket", "m", "q").applyInPandas(_searcher(dim, k, least, rotation(dim, seed)), "chunk_id bigint, other bigint, cosine double")
     best = Window.partitionBy("chunk_id").orderBy(F.col("cosine").desc(), "other")
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     pairs = top.select(F.least("chunk_id", "other").alias("chunk_id_a"), F.greatest("chunk_id", "other").alias("chunk_id_b"))

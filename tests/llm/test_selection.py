@@ -101,11 +101,57 @@ def test_one_vector_under_many_texts(spark):
         assert similar_vectors.similar_pairs(spark.createDataFrame(rows[:n], CHUNKS)).count() == 0
 
 
-def test_split_lists_find_the_same(spark):
+def chunks_of(spark, x):
+    rows = [(i, f"h{i}", list(map(float, v)), "certhaven-embed-64", 0, "x") for i, v in enumerate(x.astype(np.float32))]
+    return spark.createDataFrame(rows, CHUNKS).repartition(5)
+
+
+def test_divided_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((200, 64))
+    x = (centres[rng.integers(0, 200, 4000)] + 0.25 * rng.standard_normal((4000, 64))).astype(np.float32)
+    monkeypatch.setattr(similar_vectors, "TASK_ROWS", 300)
+    df, want = chunks_of(spark, x), exact_pairs(list(range(4000)), x.astype(np.float64))
+    got = {tuple(r) for r in similar_vectors.similar_pairs(df, sample_rows=500, block_rows=150, own_rows=50).collect()}
+    assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
+
+
+def test_bucket_that_cannot_be_divided(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(64) + 0.02 * rng.standard_normal((700, 64))
+    monkeypatch.setattr(similar_vectors, "TASK_ROWS", 250)
+    monkeypatch.setattr(similar_vectors, "LEVELS", 0)
+    got = {tuple(r) for r in similar_vectors.similar_pairs(chunks_of(spark, x), sample_rows=60, block_rows=100).collect()}
+    want = exact_pairs(list(range(700)), x.astype(np.float32).astype(np.float64))
+    assert len(got & want) / len(want) >= 0.98 and len(got & want) / len(got) >= 0.98
+
+
+def test_copies_of_a_row_do_not_grow_with_the_rows():
+    """All levels of lists over 1, 10 and 100 times the rows, on one bounded sample; 1 row a list to 100."""
+    sv, rng, copies, largest = similar_vectors, np.random.default_rng(9), [], []
+    for rows in (3_000, 30_000, 300_000):
+        x = rng.standard_normal((rows, 16)).astype(np.float32)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        lists = sv.fit_lists(unit[:3_000], rows, 1)
+        row, bucket, home = sv.assign(lists, x, sv.PROBES)
+        todo, sent, most = [(row[bucket == b], home[bucket == b]) for b in np.unique(bucket)], 0, 0
+        while todo:
+            own_rows, live = todo.pop()
+            if live.sum() <= 512:
+                sent, most = sent + len(own_rows), max(most, int(live.sum()))
+                continue
+            cells = sv.own_lists(x[own_rows[live]][: sv.OWN_SAMPLE], int(live.sum()), 1, 128)
+            r, own, h = sv.own_assign(cells, x[own_rows], live)
+            todo += [(own_rows[r[own == c]], h[own == c]) for c in np.unique(own)]
+        copies.append(sent / rows)
+        largest.append(most)
+    assert max(largest) <= 512
+    assert copies[2] < 2.6 * copies[1] and copies[2] < 20, copies
+
+
+def test_scan_against_all(spark):
     rng = np.random.default_rng(7)
     x = (rng.standard_normal(64) + 0.3 * rng.standard_normal((900, 64))).astype(np.float64)
-    lists = similar_vectors.fit_lists((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), 900, 1, block_rows=50)
-    assert lists.blocks.max() > 1
     ids = np.arange(900)
     turned = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ similar_vectors.rotation(64, 1)
     a, b, c = similar_vectors.scan(turned, turned, 0.85, 5, ids, ids)
