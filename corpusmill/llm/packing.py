@@ -72,8 +72,8 @@ class Bins:
             self._set_fill(b, self.fill[b] + size)
 
 
-def pack(sizes: list[int], capacity: int) -> list[int]:
-    """A bin number for every item: best fit in decreasing order, then local search.
+def pack(sizes: list[int], capacity: int, search: bool = True) -> list[int]:
+    """A bin number for every item: best fit in decreasing order, then local search unless it is left out.
 
     The search takes the underfull bins from the emptiest up. Each item, or pair of items, of
     such a bin is moved into another underfull bin or exchanged for a smaller item there, so
@@ -86,7 +86,7 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
         bins.place(i, sizes[i])
     fewest = -(-sum(sizes) // capacity)
     held = {b: _mask(own, sizes) for b, own in bins.items.items()}
-    while len(bins.items) > fewest and _improve(bins, sizes, fewest, held):
+    while search and len(bins.items) > fewest and _improve(bins, sizes, fewest, held):
         pass
     number = {b: n for n, b in enumerate(sorted(bins.items))}
     out = [0] * len(sizes)
@@ -174,37 +174,26 @@ def _transfer(bins: Bins, sizes: list[int], giver: int, taker: int, out: tuple[i
         bins._drop(giver)
 
 
-_PACKED = "doc_id bigint, part_no int, token_start bigint, n_tokens bigint, container_id string, fill bigint"
+_PACKED = "doc_id bigint, part_no int, token_start bigint, n_tokens bigint, item bigint, container_id string, fill bigint"
 
 
-def _pack_group(turn: int, capacity: int):
+def _pack_group(turn: int, capacity: int, search: bool):
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = list(batches)
         if not frames or not sum(map(len, frames)):
             return
-        rows = pd.concat(frames, ignore_index=True).sort_values(["n_tokens", "doc_id", "part_no"], ascending=[False, True, True], ignore_index=True)
-        bins = pack([int(n) for n in rows["n_tokens"]], capacity)
+        rows = pd.concat(frames, ignore_index=True).sort_values(["n_tokens", "doc_id", "part_no", "item"], ascending=[False, True, True, True], ignore_index=True)
+        bins = pack([int(n) for n in rows["n_tokens"]], capacity, search)
         group = TaskContext.get().partitionId()
         rows["container_id"] = [f"{turn}-{group}-{b}" for b in bins]
         rows["fill"] = rows.groupby("container_id")["n_tokens"].transform("sum")
-        yield rows[["doc_id", "part_no", "token_start", "n_tokens", "container_id", "fill"]]
+        yield rows[["doc_id", "part_no", "token_start", "n_tokens", "item", "container_id", "fill"]]
 
     return packed
 
 
-def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int = GROUP_ITEMS, **tokenizer: str) -> DataFrame:
-    """Every text's tokens in containers: (doc_id, part_no, token_start, n_tokens, container_id).
-
-    A text of at most ``capacity`` tokens is one part, 1. A longer one is cut into parts of
-    exactly ``capacity`` tokens, each a full container, and a rest that is packed like any
-    other item. Null and empty texts have no tokens and no rows; repeated rows are packed
-    each by itself; a null doc_id is kept.
-
-    Items are dealt by hash into groups of about ``group_items``, each packed in one task. The
-    bins that stay underfull meet again in fewer, equally bounded groups until one group holds
-    them all, they are as few as their tokens allow, or a turn brings their number no lower; a group wastes about one bin, so the
-    later turns handle few rows. A turn that needs more bins for its rows than the one before is not kept.
-    """
+def items_of(documents: DataFrame, capacity: int, **tokenizer: str) -> DataFrame:
+    """(doc_id, part_no, token_start, n_tokens, item): what is packed, each part of a text with a number of its own."""
     counted = count_tokens(documents, ["doc_id"], **tokenizer).where("n_tokens > 0")
     part = F.explode(F.sequence(F.lit(1), F.ceil(F.col("n_tokens") / capacity).cast("int")))
     parts = counted.select("doc_id", F.col("n_tokens").alias("all_tokens"), part.alias("part_no")).select(
@@ -212,19 +201,25 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
         "part_no",
         ((F.col("part_no") - 1) * F.lit(capacity).cast("bigint")).alias("token_start"),
         F.least(F.lit(capacity).cast("bigint"), F.col("all_tokens") - (F.col("part_no") - 1) * F.lit(capacity)).alias("n_tokens"),
+        F.monotonically_increasing_id().alias("item"),
     )
-    items = durable(parts)
+    return durable(parts)
+
+
+def pack_items(items: DataFrame, capacity: int, group_items: int = GROUP_ITEMS, search: bool = True) -> DataFrame:
+    """The containers of a durable table of items, see ``fill_containers``; without ``search`` by best fit alone."""
     names = ["doc_id", "part_no", "token_start", "n_tokens", "container_id"]
     # ids of whole containers count the repeated rows of a text apart
-    whole = items.where(F.col("n_tokens") == capacity).withColumn("container_id", F.concat_ws("-", F.lit("w"), "doc_id", "part_no", F.monotonically_increasing_id()))
-    done = [durable(whole.select(*names))]
+    whole = items.where(F.col("n_tokens") == capacity).withColumn("container_id", F.concat_ws("-", F.lit("w"), "doc_id", "part_no", "item"))
+    done = [whole.select(*names)]
     todo, turn, before, bins_before = items.where(F.col("n_tokens") < capacity), 0, None, None
     rows = todo.count()
     while rows:
         groups = -(-rows // group_items)
-        dealt = todo.repartition(groups, F.xxhash64(F.lit(turn), "doc_id", "part_no"))
-        sent = dealt.select(sealed("doc_id").alias("doc_id"), "part_no", "token_start", "n_tokens")
-        packed = durable(sent.mapInPandas(_pack_group(turn, capacity), _PACKED).withColumn("doc_id", opened("doc_id")))
+        # by the item's own number, so that rows of one doc_id are dealt like any others
+        dealt = todo.repartition(groups, F.xxhash64(F.lit(turn), "item"))
+        sent = dealt.select(sealed("doc_id").alias("doc_id"), "part_no", "token_start", "n_tokens", "item")
+        packed = durable(sent.mapInPandas(_pack_group(turn, capacity, search), _PACKED).withColumn("doc_id", opened("doc_id")))
         per = packed.groupBy("container_id").agg(F.count("*").alias("rows"), F.max("fill").alias("fill"))
         is_open = F.col("fill") < capacity
         total = lambda c: F.coalesce(F.sum(F.when(is_open, F.col(c))), F.lit(0))
@@ -244,9 +239,29 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
     return result
 
 
+def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int = GROUP_ITEMS, **tokenizer: str) -> DataFrame:
+    """Every text's tokens in containers: (doc_id, part_no, token_start, n_tokens, container_id).
+
+    A text of at most ``capacity`` tokens is one part, 1. A longer one is cut into parts of
+    exactly ``capacity`` tokens, each a full container, and a rest that is packed like any
+    other item. Null and empty texts have no tokens and no rows; repeated rows are packed
+    each by itself; a null doc_id is kept.
+
+    Items are dealt by hash of their number into groups of about ``group_items``, each packed in
+    one task. The bins that stay underfull meet again in fewer, equally bounded groups until one
+    group holds them all, they are as few as their tokens allow, or a turn brings their number no
+    lower; a group wastes about one bin, so the later turns handle few rows. A turn that needs
+    more bins for its rows than the one before is not kept.
+    """
+    return pack_items(items_of(documents, capacity, **tokenizer), capacity, group_items)
+
+
 def container_fill(documents: DataFrame, capacity: int = 2048, **tokenizer: str) -> DataFrame:
     """One row: containers, tokens, the least number of containers possible and the share of room used."""
-    packed = fill_containers(documents, capacity, **tokenizer)
+    return _fill(fill_containers(documents, capacity, **tokenizer), capacity)
+
+
+def _fill(packed: DataFrame, capacity: int) -> DataFrame:
     per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"))
     return per.agg(F.count("*").alias("containers"), F.coalesce(F.sum("fill"), F.lit(0)).alias("tokens")).select(
         "containers",
@@ -254,3 +269,19 @@ def container_fill(documents: DataFrame, capacity: int = 2048, **tokenizer: str)
         F.ceil(F.col("tokens") / capacity).alias("least_containers"),
         F.when(F.col("containers") > 0, F.round(F.col("tokens") / (F.col("containers") * capacity), 6)).alias("fill_share"),
     )
+
+
+def search_gain(documents: DataFrame, capacities: tuple[int, ...] = (512, 1024, 2048), **tokenizer: str) -> DataFrame:
+    """Per capacity the containers by best fit alone, those after the search, and the least number possible.
+
+    (capacity, best_fit, searched, least_containers, best_fit_share, searched_share)
+    """
+    rows = None
+    for capacity in capacities:
+        items = items_of(documents, capacity, **tokenizer)
+        plain, searched = (_fill(pack_items(items, capacity, search=search), capacity) for search in (False, True))
+        row = plain.select(F.lit(capacity).alias("capacity"), F.col("containers").alias("best_fit"), F.col("fill_share").alias("best_fit_share")).crossJoin(
+            searched.select(F.col("containers").alias("searched"), "least_containers", F.col("fill_share").alias("searched_share"))
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    return rows.select("capacity", "best_fit", "searched", "least_containers", "best_fit_share", "searched_share")

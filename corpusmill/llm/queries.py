@@ -56,6 +56,10 @@ def p7_fill(spark: SparkSession, base: str) -> DataFrame:
     return packing.container_fill(read_table(spark, base, "documents"))
 
 
+def p7_gain(spark: SparkSession, base: str) -> DataFrame:
+    return packing.search_gain(read_table(spark, base, "documents"))
+
+
 def p8_mixture(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))
 
@@ -64,6 +68,10 @@ def p8_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix_shares(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))
 
 
+def p8_leaves(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mix_leaves(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return personal_information.find_personal_information(read_table(spark, base, "documents")).select("doc_id", "pii_type", "start_pos")
 
@@ -74,7 +82,7 @@ def p9_masked(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p3_found, p4_found, p4_templates, p4_cleaned, p5_found, p5_pieces, p6_found, p6_ranked, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_masked)
+    for f in (p2_found, p3_found, p4_found, p4_templates, p4_cleaned, p5_found, p5_pieces, p6_found, p6_ranked, p7_containers, p7_fill, p7_gain, p8_mixture, p8_shares, p8_leaves, p9_found, p9_masked)
 }
 
 _TOP_HITS = """

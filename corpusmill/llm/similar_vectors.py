@@ -391,7 +391,8 @@ def similar_pairs(
         direct = behind.join(heads, ["h1", "h2"]).select(F.explode("heads").alias("chunk_id_a"), F.col("chunk_id").alias("chunk_id_b"))
         indexed = reps.join(behind.select("chunk_id"), "chunk_id", "left_anti")
     wanted = min(sample_rows, max(4096, SAMPLE_PER_LIST * (rows // list_rows)))
-    sample = _collected(indexed.where(sampled(wanted / rows, seed, "chunk_id")).limit(2 * sample_rows), dim)
+    # no vector is left more than k + 1 times, so a sample by vectors is as bounded as it is meant to be
+    sample = _collected(indexed.where(sampled(wanted / rows, seed, "embedding")), dim)
     if len(sample) < 2:
         sample = _collected(indexed.limit(4096), dim)
     lists = fit_lists(sample, rows, seed, list_rows)
