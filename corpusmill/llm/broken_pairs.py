@@ -72,13 +72,14 @@ _BROKEN_MARK = re.compile(r"(?:[,;:(\[{/&+=–—-]|\[\s?(?:\.\.\.|…)\s?\])$")
 def language_of(words: list[str]) -> tuple[str | None, int]:
     """The language whose common words weigh the most, if it leads, and their number; a word counts by how few languages share it."""
     hits = dict.fromkeys(LANGUAGES, 0.0)
-    for word in words:
-        own = _COMMON.get(word, ())
+    common = [own for w in words if (own := _COMMON.get(w)) is not None]
+    for own in common:
+        weight = 1 / len(own)
         for name in own:
-            hits[name] += 1 / len(own)
+            hits[name] += weight
     best, second = sorted(hits.values(), reverse=True)[:2]
-    name = max(hits, key=lambda n: hits[n])
-    number = sum(name in _COMMON.get(w, ()) for w in words)
+    name = max(hits, key=hits.__getitem__)
+    number = sum(name in own for own in common)
     return (name, number) if number >= 2 and best > second else (None, number)
 
 
@@ -109,6 +110,9 @@ def declines(sentence: str) -> bool:
 
 def is_refusal(text: str) -> bool:
     """At least half of the words, closing courtesies aside, are in sentences that decline to answer."""
+    folded = _fold(text)
+    if not any(unable.search(folded) for unable, _ in _REFUSALS):
+        return False
     sentences = [s for s in _SENTENCE.split(text.strip()) if s]
     while len(sentences) > 1 and _COURTESY.search(_fold(sentences[-1])):
         sentences.pop()
@@ -206,7 +210,7 @@ def _last_words(text: str) -> list[str]:
     start = 0
     for match in _SENTENCE.finditer(text):
         start = match.end()
-    return [w.casefold() for w in _WORD.findall(text[start:])]
+    return _WORD.findall(text[start:].casefold())
 
 
 def fit_terminal_contexts(answers: list[str], seed: int = 7, passes: int = 4) -> TerminalContexts:
@@ -341,8 +345,8 @@ def defect_of(question: str | None, answer: str | None, model: TerminalContexts)
     if is_truncated(text, answer or "", model):
         return "truncated"
     if asked:
-        q, _ = language_of([w.casefold() for w in _WORD.findall(asked)])
-        a, _ = language_of([w.casefold() for w in _WORD.findall(text)])
+        q, _ = language_of(_WORD.findall(asked.casefold()))
+        a, _ = language_of(_WORD.findall(text.casefold()))
         if q and a and q != a:
             return "wrong_language"
     return None
