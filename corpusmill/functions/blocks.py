@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import digest, hash_text
+from corpusmill.functions.text import compose, digest, hash_text
 
 HASH_VERSION = 1
 LINK = "struct<text:string,href:string>"
@@ -40,7 +40,7 @@ def _leaf_records(block: Column, clean: Callable[[Column], Column]) -> Column:
     columns = F.when(F.size(block["header"]) > 0, F.size(block["header"])).when(F.size(block["rows"]) > 0, F.size(block["rows"][0])).otherwise(0)
     header = F.when(F.size(block["header"]) > 0, _listed(F.lit("TH"), block["header"], clean)).otherwise("")
     rows = F.array_join(F.transform(F.coalesce(block["rows"], F.array().cast("array<array<string>>")), lambda r: _listed(F.lit("TR"), r, clean)), "")
-    listed = F.concat_ws(FIELD, F.lit("LIST"), F.when(block["ordered"], "1").otherwise("0"), block["depth"].cast("string"), F.coalesce(block["start"].cast("string"), F.lit("")))
+    listed = F.concat_ws(FIELD, F.lit("LIST"), F.when(block["ordered"], "1").otherwise("0"), F.coalesce(block["depth"].cast("string"), F.lit("")), F.coalesce(block["start"].cast("string"), F.lit("")))
     return (
         F.when(kind == "heading", _record("H", block["level"].cast("string"), clean(block["text"])))
         .when(kind == "paragraph", F.concat(_record("P", clean(block["text"])), links))
@@ -55,8 +55,8 @@ def serialize(title: Column, blocks: Column, compose_unicode: bool = False) -> C
     """The canonical string of a document: its title, then a record per block in order.
 
     Decorative images add nothing; a null field is empty. Composition runs in Python and cannot
-    stand inside the lambdas of an array, so texts are composed where blocks are made; set
-    ``compose_unicode`` only for the title's sake.
+    stand inside the lambdas of an array, so texts are composed where blocks are made (``parse_blocks``
+    with ``compose_unicode``, HTML conversion); ``compose_unicode`` here is for the title.
     """
 
     def clean(text: Column) -> Column:
@@ -71,7 +71,7 @@ def serialize(title: Column, blocks: Column, compose_unicode: bool = False) -> C
 
 
 def document_hash(title: Column, blocks: Column) -> Column:
-    return digest(serialize(title, blocks))
+    return digest(serialize(title, blocks, compose_unicode=True))
 
 
 def render(block: Column) -> Column:
@@ -138,22 +138,32 @@ def parse_block(value: object, nested: bool = False) -> dict:
     return block
 
 
-def _strict(text: object) -> tuple[list[dict] | None, str | None]:
+def _composed(value: object) -> object:
+    if isinstance(value, str):
+        return compose(value)
+    if isinstance(value, list):
+        return [_composed(x) for x in value]
+    return {k: _composed(x) for k, x in value.items()} if isinstance(value, dict) else value
+
+
+def _strict(text: object, compose_unicode: bool) -> tuple[list[dict] | None, str | None]:
     try:
         value = json.loads(text) if isinstance(text, str) else None
         if not isinstance(value, list):
             raise ValueError("no array of blocks")
+        if compose_unicode and not (text.isascii() and "\\u" not in text):
+            value = _composed(value)
         return [parse_block(b) for b in value], None
     except (ValueError, TypeError, RecursionError) as error:
         return None, str(error)[:200] or type(error).__name__
 
 
-def parse_blocks(text: Column | str) -> Column:
-    """``struct<blocks, problem>``: strict JSON to blocks, with the problem in place of blocks for a row that is none."""
+def parse_blocks(text: Column | str, compose_unicode: bool = False) -> Column:
+    """``struct<blocks, problem>``: strict JSON to blocks, with the problem in place of blocks for a row that is none; strings in NFC if wanted."""
 
     @F.pandas_udf(f"struct<blocks:{BLOCKS},problem:string>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [_strict(t) for t in texts]
+        rows = [_strict(t, compose_unicode) for t in texts]
         return pd.DataFrame({"blocks": [r[0] for r in rows], "problem": [r[1] for r in rows]})
 
     return run(text)

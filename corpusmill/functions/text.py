@@ -7,8 +7,8 @@ null for it.
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,28 +25,34 @@ SINGLE_QUOTES, DOUBLE_QUOTES = "‘’‚‛", "“”„‟"
 #: White space that is left once blanks are folded, besides the blank and the line feed.
 _REST = "   "
 _JOINER = "‍"
-_SKIPPED_BY_JOINER = re.compile("[︎️\U0001f3fb-\U0001f3ff]")
+# The code points of Extended_Pictographic in Unicode 15.1.
+EXTENDED_PICTOGRAPHIC = """
+00A9 00AE 203C 2049 2122 2139 2194-21AA 231A-231B 2328 2388 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB 25B6 25C0
+25FB-25FE 2600-2605 2607-2612 2614-2685 2690-2705 2708-2712 2714 2716 271D 2721 2728 2733-2734 2744 2747 274C 274E
+2753-2755 2757 2763-2767 2795-2797 27A1 27B0 27BF 2934-2935 2B05-2B07 2B1B-2B1C 2B50 2B55 3030 303D 3297 3299
+1F000-1F0FF 1F10D-1F10F 1F12F 1F16C-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F1AD-1F1E5 1F201-1F20F 1F21A 1F22F
+1F232-1F23A 1F23C-1F23F 1F249-1F3FA 1F400-1F53D 1F546-1F64F 1F680-1F6FF 1F774-1F77F 1F7D5-1F7FF 1F80C-1F80F
+1F848-1F84F 1F85A-1F85F 1F888-1F88F 1F8AE-1F8FF 1F90C-1F93A 1F93C-1F945 1F947-1FAFF 1FC00-1FFFD
+"""
+_PICTOGRAPHS = [tuple(int(end, 16) for end in (r.split("-") * 2)[:2]) for r in EXTENDED_PICTOGRAPHIC.split()]
+_PICTOGRAPH_STARTS = [first for first, _ in _PICTOGRAPHS]
+#: Variation selectors and skin tones, which stand between a pictograph and its joiner.
+_TRANSPARENT = frozenset(map(chr, [0xFE0E, 0xFE0F, *range(0x1F3FB, 0x1F400)]))
 
 
 def _pictographic(char: str) -> bool:
-    """Symbols that a joiner may join: the emoji planes and the symbol blocks below them."""
-    point = ord(char)
-    return 0x1F000 <= point <= 0x1FAFF or 0x2190 <= point <= 0x2BFF or point in (0xA9, 0xAE, 0x203C, 0x2049, 0x2122, 0x2139, 0x3030, 0x303D, 0x3297, 0x3299)
+    at = bisect_right(_PICTOGRAPH_STARTS, ord(char)) - 1
+    return at >= 0 and ord(char) <= _PICTOGRAPHS[at][1]
 
 
 def _drop_joiners(text: str) -> str:
-    """Keep a zero-width joiner only between pictographs, variation selectors and skin tones aside."""
+    """Keep a zero-width joiner only beside a pictograph, on either side, variation selectors and skin tones aside."""
     if _JOINER not in text:
         return text
-    out: list[str] = []
-    for at, char in enumerate(text):
-        if char == _JOINER:
-            before = _SKIPPED_BY_JOINER.sub("", text[:at]).rstrip(_JOINER)[-1:]
-            after = _SKIPPED_BY_JOINER.sub("", text[at + 1 :]).lstrip(_JOINER)[:1]
-            if not (before and after and _pictographic(before) and _pictographic(after)):
-                continue
-        out.append(char)
-    return "".join(out)
+    solid = [(at, char) for at, char in enumerate(text) if char not in _TRANSPARENT]
+    beside = [" ", *(char for _, char in solid), " "]
+    stray = {at for n, (at, char) in enumerate(solid) if char == _JOINER and not (_pictographic(beside[n]) or _pictographic(beside[n + 2]))}
+    return "".join(char for at, char in enumerate(text) if at not in stray)
 
 
 def compose(text: str) -> str:
@@ -94,9 +100,24 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def folded_label(text: Column) -> Column:
-    """Case-folded with white-space runs as one blank; for ASCII labels lower case is case folding."""
-    return F.trim(F.lower(F.regexp_replace(text, r"\s+", " ")))
+def _casefold(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(t.split()).casefold(), na_action="ignore")
+
+    return run(text)
+
+
+def folded_label(text: Column, native: bool = False) -> Column:
+    """Case-folded with white-space runs as one blank, trimmed; for ASCII lower case is case folding and stays native.
+
+    ``native`` takes lower case for all text, where no Python may stand, as inside the lambdas of an array.
+    """
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    lower = F.regexp_replace(F.lower(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")), "^ | $", "")
+    if native:
+        return lower
+    return F.when(plain, lower).otherwise(_casefold(F.when(plain, F.lit(None)).otherwise(text)))
 
 
 def paragraphs(text: Column) -> Column:

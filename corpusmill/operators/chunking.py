@@ -28,7 +28,7 @@ def window_chunks(texts: DataFrame, key: str, text: str, size: int = SIZE, overl
 
 
 def _idle(block: Column) -> Column:
-    return (block["type"] == "image") & folded_label(F.coalesce(block["alt"], F.lit(""))).isin(*IDLE_ALTS)
+    return (block["type"] == "image") & folded_label(F.coalesce(block["alt"], F.lit("")), native=True).isin(*IDLE_ALTS)
 
 
 def chunk_units(blocks: Column) -> Column:

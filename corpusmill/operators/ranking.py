@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,15 +81,34 @@ def run_changes(before: DataFrame, after: DataFrame, case: str, rank: str = "ran
 
 
 def corpus_fingerprint(rows: DataFrame, hash_column: str) -> DataFrame:
-    """One digest of a set of hashes, whatever their order and copies.
+    """(fingerprint, hashes): SHA-256 of all hashes, copies included, one behind the other in ascending order.
 
-    Hashes are combined per leading byte first, so no task gathers more than its share; the 256
-    partial digests are then combined in order.
+    Nulls are left out; no hash gives the digest of nothing. The digest is one stream by its
+    definition: hashes are counted and range-sorted in parallel, then one task reads the runs in
+    order, a run at a time, and keeps nothing but the state of the digest.
     """
-    distinct = rows.where(F.col(hash_column).isNotNull()).select(F.col(hash_column).alias("h")).distinct()
-    parts = distinct.groupBy(F.substring("h", 1, 2).alias("lead")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("part"), F.count("*").alias("n"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lead", "part"))), lambda p: p["part"]), "")
-    return parts.agg(F.sha2(whole, 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("hashes"))
+    counted = rows.where(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).cast("string").alias("h")).agg(F.count("*").alias("n"))
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"first": batch["h"].iloc[:1].to_numpy(), "h": [batch["h"].to_numpy()], "n": [batch["n"].to_numpy()]})
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, count = hashlib.sha256(), 0
+        for batch in batches:
+            for hashes, numbers in zip(batch["h"], batch["n"], strict=True):
+                for h, n in zip(hashes, numbers, strict=True):
+                    count += int(n)
+                    piece = h.encode()
+                    for at in range(0, int(n), 4096):
+                        state.update(piece * min(4096, int(n) - at))
+        yield pd.DataFrame({"fingerprint": [state.hexdigest()], "hashes": [count]})
+
+    ordered = counted.repartitionByRange("h").sortWithinPartitions("h").mapInPandas(runs, "first string, h array<string>, n array<bigint>")
+    one = ordered.repartition(1).sortWithinPartitions("first")
+    # one task that also runs where there is no row
+    return one.mapInPandas(stream, "fingerprint string, hashes bigint")
 
 
 def setup_problems(cases: DataFrame, documents: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -13,23 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.keys import opened, sealed
-
-_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
-_UNRESERVED = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
-_DEFAULT_PORTS = {"http": "80", "https": "443"}
-
-
-def _escape(match: re.Match[str]) -> str:
-    value = int(match[1], 16)
-    return chr(value) if value in _UNRESERVED else f"%{match[1].upper()}"
-
+from corpusmill.functions.urls import DEFAULT_PORTS, respell
 
 def page_key(uri: str | None) -> str | None:
     """The spelling under which a page is compared: see ``compare_snapshots``."""
     if uri is None:
         return None
     rest = uri.strip().partition("#")[0].partition("?")[0]
-    rest = _ESCAPE.sub(_escape, rest)
+    rest = respell(rest)
     scheme, mark, after = rest.partition("://")
     if not mark:
         return rest.rstrip("/")
@@ -37,7 +27,7 @@ def page_key(uri: str | None) -> str | None:
     user, at, host = authority.rpartition("@")
     scheme, host = scheme.lower(), host.lower()
     name, colon, port = host.rpartition(":")
-    if colon and (not port or port == _DEFAULT_PORTS.get(scheme)) and not name.endswith(":"):
+    if colon and (not port or port == DEFAULT_PORTS.get(scheme)) and not name.endswith(":"):
         host = name
     return f"{scheme}://{user}{at}{host}{slash}{path}".rstrip("/")
 

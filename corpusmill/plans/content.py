@@ -75,7 +75,7 @@ def contract_chunks(spark: SparkSession, base: str) -> DataFrame:
 
 def contract_hashes(spark: SparkSession, base: str) -> DataFrame:
     records = read_table(spark, base, "contract", ["record_id", "title", "blocks"])
-    return records.select("record_id", B.document_hash(F.col("title"), B.parse_blocks("blocks")["blocks"]).alias("content_hash"))
+    return records.select("record_id", B.document_hash(F.col("title"), B.parse_blocks("blocks", compose_unicode=True)["blocks"]).alias("content_hash"))
 
 
 def _blog_blocks(spark: SparkSession, base: str) -> DataFrame:

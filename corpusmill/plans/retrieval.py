@@ -265,9 +265,7 @@ SQL = {
     "latency_distribution": """select event_type, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, max(value) as greatest, round(avg(value), 6) as mean
       from events where value is not null and not isnan(value) group by 1""",
     "corpus_fingerprint": """
-      with h as (select distinct content_hash as h from evaluate_embeddings where content_hash is not null),
-      p as (select substring(h, 1, 2) as lead, sha256(string_agg(h, '' order by h)) as part, count(*) as n from h group by 1)
-      select sha256(coalesce(string_agg(part, '' order by lead), '')) as fingerprint, coalesce(sum(n), 0)::bigint as hashes from p""",
+      select sha256(coalesce(string_agg(content_hash, '' order by content_hash), '')) as fingerprint, count(content_hash) as hashes from evaluate_embeddings""",
     "golden_setup_problems": """
       select 'empty_query' as rule, case_id from golden_cases where trim(coalesce(query_text, '')) = ''
       union all select 'repeated_query', case_id from golden_cases qualify count(*) over (partition by lower(trim(query_text)), category) > 1

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -22,6 +24,42 @@ def test_text_natively_as_in_python(spark):
         assert row["h"] == (" ".join(markup.tidy(row["s"]).split()) if row["s"] is not None else None)
 
 
+@pytest.mark.parametrize(
+    ("given_text", "wanted"),
+    [
+        ("\u2764\u200dx", "\u2764\u200dx"), ("x\u200d\u2764", "x\u200d\u2764"), ("x\u200dy", "xy"), ("\u2764\ufe0f\u200d\U0001f525", "\u2764\ufe0f\u200d\U0001f525"),
+        ("\U0001f469\U0001f3fd\u200d\U0001f680", "\U0001f469\U0001f3fd\u200d\U0001f680"), ("\u200d", ""), ("\u2764\u200d\u200dx", "\u2764\u200dx"), ("\u2192\u200d\u2200", "\u2192\u2200"),
+        ("\U0001f1e9\u200d\U0001f1ea", "\U0001f1e9\U0001f1ea"), ("\U0001fc00\u200dx", "\U0001fc00\u200dx"), ("e\u0301", "\u00e9"),
+    ],
+)
+def test_joiners(given_text, wanted):
+    assert text.compose(given_text) == wanted
+
+
+def test_joiners_in_linear_time():
+    many = "\u0915\u094d\u200d" * 200_000
+    start = time.process_time()
+    assert "\u200d" not in text.compose(many)
+    assert time.process_time() - start < 5
+
+
+def test_labels_fold_by_case_folding(spark):
+    rows = [("  Stra\u00dfe \u00a0 X ",), ("STRASSE x",), ("\u0130x",), (None,), (" A\x1cb\tC ",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string").select(text.folded_label(F.col("s"))).collect()]
+    assert got == ["strasse x", "strasse x", "i\u0307x", None, "a b c"]
+
+
+def test_document_hash_of_composed_and_decomposed_spellings(spark):
+    cases = ['[{"type":"paragraph","text":"caf\u00e9","links":[]}]', '[{"type":"paragraph","text":"cafe\u0301","links":[]}]', '[{"type":"paragraph","text":"cafe\\u0301","links":[]}]']
+    df = spark.createDataFrame([(t, c) for t in ("Pr\u00e9cis", "Pre\u0301cis") for c in cases], "t string, j string")
+    assert df.select(B.document_hash(F.col("t"), B.parse_blocks("j", compose_unicode=True)["blocks"])).distinct().count() == 1
+
+
+def test_a_list_without_depth_keeps_its_fields(spark):
+    one = spark.range(1).select(F.from_json(F.lit('[{"type":"list","ordered":false,"items":["x"]}]'), B.BLOCKS).alias("b"))
+    assert one.select(B.serialize(F.lit("T"), F.col("b"))).first()[0] == "DOC\x1fT\x1eLIST\x1f0\x1f\x1f\x1fx\x1e"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_tidy_is_stable(value):
@@ -45,9 +83,13 @@ def test_canonical_url(given_url, base, wanted):
 
 
 def test_native_url_as_exact(spark):
-    rows = [("HTTP://Ex.com:80/a//b?utm_source=x&b=2&a=1#f",), ("https://e.com",), ("https://e.com/x/",), ("https://E.com.:443/x?gclid=1",), ("https://e.com/?b=1&b=0",)]
-    df = spark.createDataFrame(rows, "u string").select("u", urls.plain_http_url(F.col("u")).alias("n"), urls.canonical_url(F.col("u")).alias("x"))
-    assert all(r["n"] == r["x"] for r in df.collect())
+    rng = random.Random(4)
+    parts = ["a", "B", "/", "//", ".", "..", "/x.y", "?", "&", "=", "utm_source=1", "GCLID", "#", "-", "%41", ";", ":", "~", "\u00e9", " ", "+", "1"]
+    heads = ["http://Ex.com", "https://e.com:443", "HTTP://e.com:80/", "https://E.com.:443/x", "https://a-b.c:8443/p", "http://u@h/", "https://"]
+    rows = [(rng.choice(heads) + "".join(rng.choice(parts) for _ in range(rng.randrange(9))),) for _ in range(3000)] + [(None,), ("",), (" https://e.com/a ",)]
+    found = spark.createDataFrame(rows, "u string").select("u", urls.canonical_url(F.col("u")).alias("n"), F.col("u").rlike(urls._PLAIN_URL).alias("plain")).collect()
+    assert [r["n"] for r in found] == [canonical(u) for u, in rows]
+    assert sum(bool(r["plain"]) for r in found) > 500
 
 
 def test_html_rules():

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -185,3 +186,12 @@ def test_backfill_is_idempotent(spark):
     assert filled.columns == chunks.columns and filled.where("embedding_model = 'm'").count() == 4
     assert backfill.plan(filled, "m").count() == 0
     assert sorted(r["chunk_id"] for r in backfill.broken_hashes(chunks).collect()) == [1, 2, 3, 4]
+
+
+def test_corpus_fingerprint_is_one_stream_over_sorted_hashes(spark):
+    rng = random.Random(2)
+    hashes = [hashlib.sha256(str(rng.randrange(400)).encode()).hexdigest() for _ in range(1500)] + ["f" * 64] * 9000
+    df = spark.createDataFrame([(h,) for h in [*hashes, None]], "h string").repartition(7)
+    want = hashlib.sha256("".join(sorted(hashes)).encode()).hexdigest()
+    assert tuple(ranking.corpus_fingerprint(df, "h").first()) == (want, len(hashes))
+    assert tuple(ranking.corpus_fingerprint(df.where("false"), "h").first()) == (hashlib.sha256(b"").hexdigest(), 0)
