@@ -107,8 +107,8 @@ def corpus_fingerprint(rows: DataFrame, hash_column: str) -> DataFrame:
 
     ordered = counted.repartitionByRange("h").sortWithinPartitions("h").mapInPandas(runs, "first string, h array<string>, n array<bigint>")
     one = ordered.repartition(1).sortWithinPartitions("first")
-    # one task that also runs where there is no row
-    return one.mapInPandas(stream, "fingerprint string, hashes bigint")
+    whole = one.mapInPandas(stream, "fingerprint string, hashes bigint")
+    return whole.agg(F.coalesce(F.first("fingerprint"), F.lit(hashlib.sha256().hexdigest())).alias("fingerprint"), F.coalesce(F.first("hashes"), F.lit(0)).alias("hashes"))
 
 
 def setup_problems(cases: DataFrame, documents: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.urls import citation
@@ -59,21 +59,32 @@ def nearest_chunks(
     ties are settled by ``ties``, ascending. Unusable vectors take no part. With ``half`` both sides
     are held to half precision first, as a store of half vectors would.
 
-    The search is exact: queries are a stated set, measured first and held by every task, the
+    The search is exact: queries are a stated set, counted first and held by every task, the
     chunks stream past in Arrow batches, one matrix product each. A batch hands on only what can
     still be among the ``k`` best, ties at its edge included, so the shuffle carries about ``k``
-    rows per query and batch instead of a row per pair.
+    rows per query and batch instead of a row per pair. More than ``QUERY_BYTES`` of queries are
+    taken in slices of that size, the chunks passing by once for each.
     """
-    spark = chunks.sparkSession
     asked = queries.where(usable(F.col("query_embedding"), dim)).select("query_id", "query_embedding")
-    if asked.count() * dim * 8 > QUERY_BYTES:
-        raise ValueError("too many queries for one exact search; split the query set")
+    columns = list(dict.fromkeys([*([lane] if lane else []), *ties, *keep]))
+    kinds = dict(chunks.dtypes)
+    schema = ", ".join(["query_id bigint", *(f"`{c}` {kinds[c]}" for c in columns), "score double"])
+    passing = chunks.where(usable(F.col(vector), dim)).select(*columns, vector)
+    slices = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
+    best = None
+    for at in range(slices):
+        part = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == at)
+        found = passing.mapInPandas(_scorer(chunks.sparkSession, part, dim, k, columns, lane, vector, digits, half), schema)
+        best = found if best is None else best.unionByName(found)
+    return nearest(best, ["query_id", *([lane] if lane else [])], list(ties), k)
+
+
+def _scorer(spark: SparkSession, asked: DataFrame, dim: int, k: int, columns: list[str], lane: str | None, vector: str, digits: int, half: bool):
     held = asked.toPandas()
     matrix = np.stack(held["query_embedding"].to_numpy()).astype(np.float64) if len(held) else np.zeros((0, dim))
     matrix = matrix.astype(np.float16).astype(np.float64) if half else matrix
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     shared = spark.sparkContext.broadcast((held["query_id"].to_numpy(), matrix))
-    columns = list(dict.fromkeys([*([lane] if lane else []), *ties, *keep]))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, asked_for = shared.value
@@ -82,7 +93,7 @@ def nearest_chunks(
             for at in range(0, len(batch) if len(names) else 0, rows):
                 part = batch.iloc[at : at + rows]
                 x = np.stack(part[vector].to_numpy()).astype(np.float16 if half else np.float64).astype(np.float64)
-                found = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ asked_for.T, digits)
+                found = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ asked_for.T, digits)
                 for _, own in part.groupby(lane).indices.items() if lane else [(None, np.arange(len(part)))]:
                     scores = found[own]
                     edge = np.partition(scores, len(own) - k, axis=0)[len(own) - k] if len(own) > k else scores.min(axis=0)
@@ -92,10 +103,7 @@ def nearest_chunks(
                     out["score"] = scores[row, query]
                     yield out
 
-    kinds = dict(chunks.dtypes)
-    schema = ", ".join(["query_id bigint", *(f"`{c}` {kinds[c]}" for c in columns), "score double"])
-    best = chunks.where(usable(F.col(vector), dim)).select(*columns, vector).mapInPandas(score, schema)
-    return nearest(best, ["query_id", *([lane] if lane else [])], list(ties), k)
+    return score
 
 
 def nearest(scored_rows: DataFrame, by: list[str], ties: list[str], k: int) -> DataFrame:

@@ -62,8 +62,22 @@ def half_precision_fidelity(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (json_string_values, asset_urls, asset_keys, evaluation_gates, replay_verification, case_problems, half_precision_fidelity)}
 
+_HALF = "list_transform(embedding, lambda x: round_even(x::double / {s}, 0) * {s})".format(s="pow(2, greatest(floor(log2(greatest(abs(x::double), 1e-30))), -14) - 10)")
+
+
+def _ten(vectors: str) -> str:
+    """The ten best of every query as (query_id, best, ten)."""
+    return f"""select query_id, arg_min(vec_id, rank) as best, list(vec_id) as ten from (
+        select q.vec_id as query_id, e.vec_id, row_number() over (partition by q.vec_id order by round(list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))), 6) desc, e.vec_id) as rank
+        from {vectors} e, (select * from {vectors} where vec_id % 50 = 0) q) where rank <= 10 group by 1"""
+
+
 _RECALL = retrieval.SQL["recall_by_category"]
 SQL = {
+    "half_precision_fidelity": f"""
+      with f as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), h as (select vec_id, {_HALF} as v from embeddings),
+      a as ({_ten('f')}), b as ({_ten('h')})
+      select query_id, a.best = b.best as same_best, len(list_intersect(a.ten, b.ten))::int as shared from a join b using (query_id)""",
     "json_string_values": "with s as (select json_extract_string(t.atom, '$') as v from contract c, json_tree(c.blocks) t where t.type = 'VARCHAR') select sha256(v) as digest, count(*) as n from s group by 1",
     "asset_urls": f"""select doc_id, case when lang = 'de' then 'https://cdn.certhaven.example/' || source when lang = 'fr' then 'http://old.example/' || source
       else '{MEDIA}/' || source || '/a%20b/' || doc_id || '.png' end as url from documents""",

@@ -9,6 +9,7 @@ from corpusmill.functions import blocks as B
 from corpusmill.functions import markup, text, urls
 from corpusmill.functions.spread import spread
 from corpusmill.operators import chunking, synchronize
+from corpusmill.plans import block_sql as S
 from corpusmill.sources.tables import read_table
 
 
@@ -161,29 +162,16 @@ QUERIES = {
     )
 }
 
-_REMOVED = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{AD}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}]"
-_BLANK = r"[\x{09}\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
-
-
-def _folded(column: str) -> str:
-    """SQL of the character rules; joiners are only dropped, so the texts must hold none between pictographs."""
-    out = f"replace(nfc_normalize({column}), chr(8205), '')"
-    out = rf"regexp_replace(regexp_replace({out}, '{_BLANK}', ' ', 'g'), '{_REMOVED}', '', 'g')"
-    out = rf"regexp_replace(regexp_replace({out}, '[‘’‚‛]', '''', 'g'), '[“”„‟]', chr(34), 'g')"
-    return rf"replace(replace({out}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-
-
 _CONTENT = (
-    rf"regexp_replace(regexp_replace(regexp_replace({_folded('text')}, '[ \x{{1680}}]+', ' ', 'g'), "
+    rf"regexp_replace(regexp_replace(regexp_replace({S.folded('text')}, '[ \x{{1680}}]+', ' ', 'g'), "
     r"' ?[\n\x{2028}\x{2029}][ \n\x{1680}\x{2028}\x{2029}]*', chr(10), 'g'), '^[ \n\x{1680}\x{2028}\x{2029}]+|[ \n\x{1680}\x{2028}\x{2029}]+$', '', 'g')"
 )
-_HASHED = rf"regexp_replace(regexp_replace({_folded('text')}, '[ \n\x{{1680}}\x{{2028}}\x{{2029}}]+', ' ', 'g'), '^ | $', '', 'g')"
 _KEYS = ", ".join(f"'{k}'" for k in urls.TRACKING_KEYS)
 _QUERY = r"regexp_extract(split_part(canonical_uri, '#', 1), '\?(.*)$', 1)"
 
 SQL = {
     "content_normalise": f"select doc_id, sha256({_CONTENT}) as digest from documents",
-    "hash_normalise_digest": f"select doc_id, sha256({_HASHED}) as digest from documents",
+    "hash_normalise_digest": f"select doc_id, sha256({S.hashed_text('text')}) as digest from documents",
     "paragraph_split": r"""
       with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n\s*'), lambda x: trim(replace(x, chr(13), ''))), lambda x: x <> '') as ps
                  from documents where text is not null),
@@ -197,6 +185,11 @@ SQL = {
       with p as (select faq_id, list_filter(pairs, lambda p: coalesce(regexp_matches(p.question, '[^ \t\n\r]') and regexp_matches(p.answer, '[^ \t\n\r]'), false)) as ps from service_faq_data),
       e as (select faq_id, unnest(range(len(ps))) as k, unnest(ps) as pair from p)
       select faq_id, k::int as chunk_index, sha256(pair.question || chr(10) || pair.answer) as content_hash from e""",
+    "faq_pair_hashes": S.FAQ_PAIR_HASHES,
+    "contract_chunks": S.CONTRACT_CHUNKS,
+    "contract_hashes": S.CONTRACT_HASHES,
+    "url_canonical": S.URL_CANONICAL,
+    "acceptance_gate": S.ACCEPTANCE_GATE,
     "slot_unpivot": """
       with b as (select p_partkey, p_name, p_brand, nullif(p_type, 'ECONOMY') as p_type from part)
       select p_partkey, 1 as slot, p_name as question, p_brand as answer from b where p_name is not null and p_brand is not null
