@@ -75,7 +75,8 @@ def grid(rows: Column, header: tuple[str, ...] = ()) -> Column:
 class Step:
     """What a section shows next.
 
-    ``kind``: heading, paragraph, fixed (approved text), items, cards, pairs, table or image.
+    ``kind``: heading, paragraph, fixed and fixed_heading (approved text), items, cards, pairs, table, image or
+    item_images (an image per item of a list).
     ``field``: the section's column, or the name of one of its lists. ``parts``: for cards the
     columns of heading and paragraph; for pairs question and answer; for a table its columns; for
     items the one column. ``nested``: for cards the item's own list and its column.
@@ -143,6 +144,8 @@ def _step_blocks(step: Step, row: Column) -> Column:
         return paragraph(cell)
     if step.kind == "fixed":
         return paragraph(F.lit(step.text))
+    if step.kind == "fixed_heading":
+        return heading(F.lit(step.text), step.level)
     if step.kind == "items":
         return bullets(F.transform(cell, lambda i: i[step.parts[0]]))
     if step.kind == "table":
@@ -161,9 +164,15 @@ def _step_blocks(step: Step, row: Column) -> Column:
     return no_blocks()
 
 
+def _image_of(section: str, column: str):
+    return lambda item: F.struct(F.lit(section).alias("section"), item[column].alias("src"))
+
+
 def _images(section: Section, row: Column) -> Column:
-    sources = [F.struct(F.lit(section.name).alias("section"), row[s.field].alias("src")) for s in section.steps if s.kind == "image"]
-    return F.filter(F.array(*sources), lambda i: i["src"] != "") if sources else F.array().cast("array<struct<section:string,src:string>>")
+    none = F.array().cast("array<struct<section:string,src:string>>")
+    parts = [F.array(F.struct(F.lit(section.name).alias("section"), row[s.field].alias("src"))) for s in section.steps if s.kind == "image"]
+    parts += [F.coalesce(F.transform(row[s.field], _image_of(section.name, s.parts[0])), none) for s in section.steps if s.kind == "item_images"]
+    return F.filter(F.concat(none, *parts), lambda i: i["src"] != "") if parts else none
 
 
 def compose_pages(tables: Mapping[str, DataFrame], page: Page) -> DataFrame:

@@ -1,146 +1,181 @@
-"""Page families of a service site, declared in a line per section and named by rule.
-
-A family's tables follow one naming rule, so only what a section shows is written down. The notation:
-``##`` and ``###`` before a column make it a heading of that level, other columns are paragraphs, a
-column in brackets is an image, ``=x`` behind a column names a placeholder that counts as empty.
-Behind the bar stands the section's list: ``*`` bullets, ``+`` cards (and ``>`` their own bullets),
-``%`` categories with their bullets, ``?`` questions with answers.
-"""
+"""Page families of a service site: every page of a family shows the same sections, linked by the columns of its row."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-from corpusmill.operators.composition import Page, Section, Step
-from corpusmill.operators.hierarchy import ListSpec
-
-PREFIX = "subone_"
+from corpusmill.operators.composition import Page, Section
+from corpusmill.sources import declarations
+from corpusmill.sources.declarations import bullets, cards, h2, h3, img, linked, p, pairs, section
 
 
 @dataclass(frozen=True)
-class Family:
-    """``stem`` begins the tables' names, ``key`` the columns that link pages to sections."""
+class PageFamily:
+    """``path`` stands before a page's slug; ``placeholders`` are (table, column, value) of texts that stand for nothing."""
 
     scope: str
-    stem: str
-    key: str
     path: str
-    sections: str
-
-
-# What each family's sections show, in order.
-FAMILIES = (
-    Family("management_training", "managementtrn", "trn", "services/training/management-system-training/", """
-        one: ## section_title; desc; paragraph; ### sub_title; sub_text | * list_text
-        two: ## section_title; [img] | * list_text
-        three: ## section_title | * list_text
-        four: ## section_title | * list_text
-        five: ## section_title | % title > title
-        six: ## section_title; paragraph
-    """),
-    Family("grc", "grc", "grc", "services/governance-risk-compliance/", """
-        one: ## section_title; ### section_sub_heading; paragraph_title; desc; sub_text; [img] | + ### title; desc; paragraph=None > sec_text
-        two: ## section_title; desc | + ### title; desc
-        three: ## section_title | + ### title; desc
-        four: ## section_title; desc | + ### title; desc
-        six: ## section_title; paragraph_title=a; desc=a; [img] | % title > title
-        seven: ## section_title; [img] | * desc
-    """),
-    Family("audit_assessment", "audit", "audit", "services/audit-and-assessment/", """
-        one: ## section_title; ### section_sub_heading; desc; sub_title
-        two: ## section_title | + ### list_title; list_text
-        qna: | ? question; answer
-        three: ## section_title; purpose; desc; ### list_tile | * list_text
-        four: ## section_title; purpose; desc; ### list_tile | * list_text
-        five: purpose; desc; ### list_tile | * list_text
-        six: ## section_title; [img] | * list_text
-    """),
-    Family("security_testing", "stc", "stc", "services/security-testing-compliance/", """
-        one: ## section_title; desc1; desc2
-        two: ## section_title; desc1; desc2; [img] | + ### list_title; list_text
-        three: | + ### list_text; desc
-        four: ## section_title; desc | + ### list_text; desc
-        six: ## section_title | + ### list_text; desc
-        seven: ## section_title | + ### list_text; desc
-        qna: | ? question; answer
-        nine: ## section_title; [img] | * list_text
-    """),
-    Family("professional_training", "professionaltrn", "prf_trn", "services/training/professional-training/", """
-        one: ## section_title; desc; paragraph
-        five: ## section_title; ### sub_text; desc; ### level_heading | % title > title
-    """),
-)
-_CELL = re.compile(r"(?P<mark>#{2,3})?\s*(?P<image>\[)?(?P<name>\w+)\]?(?:=(?P<empty>\w+))?")
-
-
-def _cells(text: str) -> list[re.Match[str]]:
-    return [_CELL.fullmatch(part.strip()) for part in text.split(";") if part.strip()]
-
-
-def _fields(text: str) -> tuple[str, ...]:
-    return tuple(m["name"] for m in _cells(text))
-
-
-def _section(family: Family, line: str) -> tuple[Section, list[tuple[str, str, str]]]:
-    """A section and its placeholders as (table, column, value)."""
-    name, _, rest = line.strip().partition(":")
-    own, _, listed = rest.partition("|")
-    link = f"sec_{name}_id" if name == "qna" else f"{family.key}_sec_{name}_id"
-    table = f"{PREFIX}secqna" if name == "qna" else f"{PREFIX}{family.stem}sec{name}"
-    short = table.removeprefix(PREFIX)
-    cells = _cells(own)
-    steps = [Step("image", m["name"]) if m["image"] else Step("heading", m["name"], level=len(m["mark"])) if m["mark"] else Step("paragraph", m["name"]) for m in cells]
-    dropped = [(table, m["name"], m["empty"]) for m in cells if m["empty"]]
-    lists: tuple[ListSpec, ...] = ()
-    kind, outer, inner = listed.strip()[:1], *[p.strip() for p in (listed.strip()[1:].split(">") + [""])[:2]]
-    if kind:
-        end = "category" if kind == "%" else "list"
-        child = f"{short}{end}"
-        joint = f"{PREFIX}{short}_{family.key}_sec_{name}_{end}"
-        if kind == "?":
-            child, joint = "secqnaitem", f"{PREFIX}secqna_items"
-        below = None
-        if inner:
-            leaf = f"{short}list" if kind == "%" else f"{child}list"
-            under = f"{PREFIX}{child}_{family.key}_sec_{name}_list" if kind == "%" else f"{PREFIX}{child}_{family.key}_list_list"
-            below = ListSpec(under, f"{child}_id", f"{leaf}_id", PREFIX + leaf, _fields(inner), name="below")
-        fields = _fields(outer)
-        lists = (ListSpec(joint, f"{short}_id", f"{child}_id", PREFIX + child, fields, nested=below),)
-        dropped += [(PREFIX + child, m["name"], m["empty"]) for m in _cells(outer) if m["empty"]]
-        nested = ("below", _fields(inner)[0]) if inner else None
-        steps.append(Step({"*": "items", "+": "cards", "%": "cards", "?": "pairs"}[kind], "items", fields, nested, level=3))
-    fields = tuple(dict.fromkeys(m["name"] for m in cells))
-    return Section(f"sec_{name}", table, fields, tuple(steps), lists, link), dropped
+    table: str
+    sections: tuple[Section, ...]
+    placeholders: tuple[tuple[str, str, str], ...] = ()
+
+
+# Tables, columns and order of what each family shows.
+# fmt: off
+MANAGEMENT_TRAINING = PageFamily(
+    "management_training", "services/training/management-system-training/", "subone_managementtrnsubpage",
+    (
+        section("sec_one", "subone_managementtrnsecone", "trn_sec_one_id",
+            h2("section_title"), p("desc"), p("paragraph"), h3("sub_title"), p("sub_text"), bullets("items", "list_text"),
+            lists=(linked("subone_managementtrnsecone_trn_sec_one_list", "managementtrnsecone_id", "managementtrnseconelist_id", "subone_managementtrnseconelist", "list_text", name="items"),),
+        ),
+        section("sec_two", "subone_managementtrnsectwo", "trn_sec_two_id",
+            h2("section_title"), img("img"), bullets("items", "list_text"),
+            lists=(linked("subone_managementtrnsectwo_trn_sec_two_list", "managementtrnsectwo_id", "managementtrnsectwolist_id", "subone_managementtrnsectwolist", "list_text", name="items"),),
+        ),
+        section("sec_three", "subone_managementtrnsecthree", "trn_sec_three_id",
+            h2("section_title"), bullets("items", "list_text"),
+            lists=(linked("subone_managementtrnsecthree_trn_sec_three_list", "managementtrnsecthree_id", "managementtrnsecthreelist_id", "subone_managementtrnsecthreelist", "list_text", name="items"),),
+        ),
+        section("sec_four", "subone_managementtrnsecfour", "trn_sec_four_id",
+            h2("section_title"), bullets("items", "list_text"),
+            lists=(linked("subone_managementtrnsecfour_trn_sec_four_list", "managementtrnsecfour_id", "managementtrnsecfourlist_id", "subone_managementtrnsecfourlist", "list_text", name="items"),),
+        ),
+        section("sec_five", "subone_managementtrnsecfive", "trn_sec_five_id",
+            h2("section_title"), cards("items", "title", nested=("below", "title"), level=3),
+            lists=(linked("subone_managementtrnsecfive_trn_sec_five_category", "managementtrnsecfive_id", "managementtrnsecfivecategory_id", "subone_managementtrnsecfivecategory", "title", name="items",
+                        nested=linked("subone_managementtrnsecfivecategory_trn_sec_five_list", "managementtrnsecfivecategory_id", "managementtrnsecfivelist_id", "subone_managementtrnsecfivelist", "title", name="below")),),
+        ),
+        section("sec_six", "subone_managementtrnsecsix", "trn_sec_six_id",
+            h2("section_title"), p("paragraph"),
+        ),
+    ),
+)
+GRC = PageFamily(
+    "grc", "services/governance-risk-compliance/", "subone_grcsubpage",
+    (
+        section("sec_one", "subone_grcsecone", "grc_sec_one_id",
+            h2("section_title"), h3("section_sub_heading"), p("paragraph_title"), p("desc"), p("sub_text"), img("img"), cards("items", "title", "desc", "paragraph", nested=("below", "sec_text"), level=3),
+            lists=(linked("subone_grcsecone_grc_sec_one_list", "grcsecone_id", "grcseconelist_id", "subone_grcseconelist", "title", "desc", "paragraph", name="items",
+                        nested=linked("subone_grcseconelist_grc_list_list", "grcseconelist_id", "grcseconelistlist_id", "subone_grcseconelistlist", "sec_text", name="below")),),
+        ),
+        section("sec_two", "subone_grcsectwo", "grc_sec_two_id",
+            h2("section_title"), p("desc"), cards("items", "title", "desc", level=3),
+            lists=(linked("subone_grcsectwo_grc_sec_two_list", "grcsectwo_id", "grcsectwolist_id", "subone_grcsectwolist", "title", "desc", name="items"),),
+        ),
+        section("sec_three", "subone_grcsecthree", "grc_sec_three_id",
+            h2("section_title"), cards("items", "title", "desc", level=3),
+            lists=(linked("subone_grcsecthree_grc_sec_three_list", "grcsecthree_id", "grcsecthreelist_id", "subone_grcsecthreelist", "title", "desc", name="items"),),
+        ),
+        section("sec_four", "subone_grcsecfour", "grc_sec_four_id",
+            h2("section_title"), p("desc"), cards("items", "title", "desc", level=3),
+            lists=(linked("subone_grcsecfour_grc_sec_four_list", "grcsecfour_id", "grcsecfourlist_id", "subone_grcsecfourlist", "title", "desc", name="items"),),
+        ),
+        section("sec_six", "subone_grcsecsix", "grc_sec_six_id",
+            h2("section_title"), p("paragraph_title"), p("desc"), img("img"), cards("items", "title", nested=("below", "title"), level=3),
+            lists=(linked("subone_grcsecsix_grc_sec_six_category", "grcsecsix_id", "grcsecsixcategory_id", "subone_grcsecsixcategory", "title", name="items",
+                        nested=linked("subone_grcsecsixcategory_grc_sec_six_list", "grcsecsixcategory_id", "grcsecsixlist_id", "subone_grcsecsixlist", "title", name="below")),),
+        ),
+        section("sec_seven", "subone_grcsecseven", "grc_sec_seven_id",
+            h2("section_title"), img("img"), bullets("items", "desc"),
+            lists=(linked("subone_grcsecseven_grc_sec_seven_list", "grcsecseven_id", "grcsecsevenlist_id", "subone_grcsecsevenlist", "desc", name="items"),),
+        ),
+    ),
+    placeholders=(("subone_grcseconelist", "paragraph", "None"), ("subone_grcsecsix", "paragraph_title", "a"), ("subone_grcsecsix", "desc", "a"),),
+)
+AUDIT_ASSESSMENT = PageFamily(
+    "audit_assessment", "services/audit-and-assessment/", "subone_auditsubpage",
+    (
+        section("sec_one", "subone_auditsecone", "audit_sec_one_id",
+            h2("section_title"), h3("section_sub_heading"), p("desc"), p("sub_title"),
+        ),
+        section("sec_two", "subone_auditsectwo", "audit_sec_two_id",
+            h2("section_title"), cards("items", "list_title", "list_text", level=3),
+            lists=(linked("subone_auditsectwo_audit_sec_two_list", "auditsectwo_id", "auditsectwolist_id", "subone_auditsectwolist", "list_title", "list_text", name="items"),),
+        ),
+        section("sec_qna", "subone_secqna", "sec_qna_id",
+            pairs("items", "question", "answer"),
+            lists=(linked("subone_secqna_items", "secqna_id", "secqnaitem_id", "subone_secqnaitem", "question", "answer", name="items"),),
+        ),
+        section("sec_three", "subone_auditsecthree", "audit_sec_three_id",
+            h2("section_title"), p("purpose"), p("desc"), h3("list_tile"), bullets("items", "list_text"),
+            lists=(linked("subone_auditsecthree_audit_sec_three_list", "auditsecthree_id", "auditsecthreelist_id", "subone_auditsecthreelist", "list_text", name="items"),),
+        ),
+        section("sec_four", "subone_auditsecfour", "audit_sec_four_id",
+            h2("section_title"), p("purpose"), p("desc"), h3("list_tile"), bullets("items", "list_text"),
+            lists=(linked("subone_auditsecfour_audit_sec_four_list", "auditsecfour_id", "auditsecfourlist_id", "subone_auditsecfourlist", "list_text", name="items"),),
+        ),
+        section("sec_five", "subone_auditsecfive", "audit_sec_five_id",
+            p("purpose"), p("desc"), h3("list_tile"), bullets("items", "list_text"),
+            lists=(linked("subone_auditsecfive_audit_sec_five_list", "auditsecfive_id", "auditsecfivelist_id", "subone_auditsecfivelist", "list_text", name="items"),),
+        ),
+        section("sec_six", "subone_auditsecsix", "audit_sec_six_id",
+            h2("section_title"), img("img"), bullets("items", "list_text"),
+            lists=(linked("subone_auditsecsix_audit_sec_six_list", "auditsecsix_id", "auditsecsixlist_id", "subone_auditsecsixlist", "list_text", name="items"),),
+        ),
+    ),
+)
+SECURITY_TESTING = PageFamily(
+    "security_testing", "services/security-testing-compliance/", "subone_stcsubpage",
+    (
+        section("sec_one", "subone_stcsecone", "stc_sec_one_id",
+            h2("section_title"), p("desc1"), p("desc2"),
+        ),
+        section("sec_two", "subone_stcsectwo", "stc_sec_two_id",
+            h2("section_title"), p("desc1"), p("desc2"), img("img"), cards("items", "list_title", "list_text", level=3),
+            lists=(linked("subone_stcsectwo_stc_sec_two_list", "stcsectwo_id", "stcsectwolist_id", "subone_stcsectwolist", "list_title", "list_text", name="items"),),
+        ),
+        section("sec_three", "subone_stcsecthree", "stc_sec_three_id",
+            cards("items", "list_text", "desc", level=3),
+            lists=(linked("subone_stcsecthree_stc_sec_three_list", "stcsecthree_id", "stcsecthreelist_id", "subone_stcsecthreelist", "list_text", "desc", name="items"),),
+        ),
+        section("sec_four", "subone_stcsecfour", "stc_sec_four_id",
+            h2("section_title"), p("desc"), cards("items", "list_text", "desc", level=3),
+            lists=(linked("subone_stcsecfour_stc_sec_four_list", "stcsecfour_id", "stcsecfourlist_id", "subone_stcsecfourlist", "list_text", "desc", name="items"),),
+        ),
+        section("sec_six", "subone_stcsecsix", "stc_sec_six_id",
+            h2("section_title"), cards("items", "list_text", "desc", level=3),
+            lists=(linked("subone_stcsecsix_stc_sec_six_list", "stcsecsix_id", "stcsecsixlist_id", "subone_stcsecsixlist", "list_text", "desc", name="items"),),
+        ),
+        section("sec_seven", "subone_stcsecseven", "stc_sec_seven_id",
+            h2("section_title"), cards("items", "list_text", "desc", level=3),
+            lists=(linked("subone_stcsecseven_stc_sec_seven_list", "stcsecseven_id", "stcsecsevenlist_id", "subone_stcsecsevenlist", "list_text", "desc", name="items"),),
+        ),
+        section("sec_qna", "subone_secqna", "sec_qna_id",
+            pairs("items", "question", "answer"),
+            lists=(linked("subone_secqna_items", "secqna_id", "secqnaitem_id", "subone_secqnaitem", "question", "answer", name="items"),),
+        ),
+        section("sec_nine", "subone_stcsecnine", "stc_sec_nine_id",
+            h2("section_title"), img("img"), bullets("items", "list_text"),
+            lists=(linked("subone_stcsecnine_stc_sec_nine_list", "stcsecnine_id", "stcsecninelist_id", "subone_stcsecninelist", "list_text", name="items"),),
+        ),
+    ),
+)
+PROFESSIONAL_TRAINING = PageFamily(
+    "professional_training", "services/training/professional-training/", "subone_professionaltrnsubpage",
+    (
+        section("sec_one", "subone_professionaltrnsecone", "prf_trn_sec_one_id",
+            h2("section_title"), p("desc"), p("paragraph"),
+        ),
+        section("sec_five", "subone_professionaltrnsecfive", "prf_trn_sec_five_id",
+            h2("section_title"), h3("sub_text"), p("desc"), h3("level_heading"), cards("items", "title", nested=("below", "title"), level=3),
+            lists=(linked("subone_professionaltrnsecfive_prf_trn_sec_five_category", "professionaltrnsecfive_id", "professionaltrnsecfivecategory_id", "subone_professionaltrnsecfivecategory", "title", name="items",
+                        nested=linked("subone_professionaltrnsecfivecategory_prf_trn_sec_five_list", "professionaltrnsecfivecategory_id", "professionaltrnsecfivelist_id", "subone_professionaltrnsecfivelist", "title", name="below")),),
+        ),
+    ),
+)
+# fmt: on
+FAMILIES = (MANAGEMENT_TRAINING, GRC, AUDIT_ASSESSMENT, SECURITY_TESTING, PROFESSIONAL_TRAINING)
 
 
 def page_of(scope: str, site: str) -> Page:
     """The declaration of a family's pages below ``site``."""
     family = next(f for f in FAMILIES if f.scope == scope)
-    parts = [_section(family, line) for line in family.sections.strip().splitlines()]
-    placeholders = tuple(p for _, dropped in parts for p in dropped)
-    base = f"{site.rstrip('/')}/{family.path}"
-    return Page(scope, "service", base, f"{PREFIX}{family.stem}subpage", "url_string", "section_title", tuple(s for s, _ in parts), placeholders=placeholders)
+    return Page(scope, "service", f"{site.rstrip('/')}/{family.path}", family.table, "url_string", "section_title", family.sections, placeholders=family.placeholders)
 
 
 def allow_list(page: Page) -> dict[str, T.StructType]:
-    """The tables a page may read and, of each, the columns; ids are 64-bit, all else is text."""
-    columns: dict[str, dict[str, None]] = {page.table: dict.fromkeys([page.page_id, page.slug, page.title, *[s.link for s in page.sections if s.link]])}
-
-    def add(table: str, names: tuple[str, ...]) -> None:
-        columns.setdefault(table, {}).update(dict.fromkeys(names))
-
-    def add_list(spec: ListSpec) -> None:
-        add(spec.link, (spec.parent_key, spec.child_key, *spec.order))
-        add(spec.child, (spec.child_id, *spec.fields))
-        if spec.nested:
-            add_list(spec.nested)
-
-    for section in page.sections:
-        add(section.table, (section.table_id, *section.fields))
-        for spec in (*section.lists, *section.whole_lists):
-            add_list(spec)
-    kind = lambda c: T.LongType() if c == "id" or c.endswith("_id") else T.StringType()
-    return {table: T.StructType([T.StructField(c, kind(c)) for c in names]) for table, names in columns.items()}
+    """The tables a page may read and, of each, the columns."""
+    return declarations.allow_list((page,))

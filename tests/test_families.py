@@ -48,28 +48,15 @@ def everything(spark):
     """Every table of every fixed page with one row of id 1, foreign keys 1, and texts after their columns."""
     columns: dict[str, set[str]] = {}
     for page in fixed_pages.FIXED_PAGES:
-        for line in page.sections.strip().splitlines():
-            section = fixed_pages._section(line, {}, ())
-            columns.setdefault(section.table, set()).update(("id", *section.fields))
-            if section.link:
-                columns.setdefault(families.PREFIX + page.keys, set()).update(("id", section.link))
-            stack = [*section.lists, *section.whole_lists]
-            while stack:
-                spec = stack.pop()
-                columns.setdefault(spec.link, set()).update((spec.parent_key, spec.child_key, "id"))
-                columns.setdefault(spec.child, set()).update(("id", *spec.fields))
-                stack += [spec.nested] if spec.nested else []
-        if "." in page.title:
-            table, column = page.title.split(".")
-            columns.setdefault(families.PREFIX + table, set()).update(("id", column))
-    columns[families.PREFIX + "faq"].add("is_active")
+        for table, schema in fixed_pages.allow_list(page).items():
+            columns.setdefault(table, set()).update(schema.names)
     number = lambda c: c == "id" or c.endswith("_id") or c == "is_active"
     return {t: spark.createDataFrame([tuple(1 if number(c) else f"{c} text" for c in sorted(cs))], ", ".join(f"`{c}` {'bigint' if number(c) else 'string'}" for c in sorted(cs))) for t, cs in columns.items()}
 
 
 def test_fixed_pages(spark):
     tables = everything(spark)
-    texts = {"flowchart": "Approved.", "accreditations": "Accredited by"}
+    texts = {"flowchart": "Approved."}
     for page in fixed_pages.FIXED_PAGES:
         rows = fixed_pages.compose_fixed(tables, page, "https://site.example", texts, ("Use", "P", "T", "A")).collect()
         assert len(rows) == 1 and rows[0]["reason"] is None and rows[0]["missing_sections"] == [], page.route
@@ -85,10 +72,39 @@ def test_fixed_pages(spark):
     empty = {t: df.where("false") for t, df in tables.items()}
     assert all(fixed_pages.compose_fixed(empty, page, "https://site.example").count() == 0 for page in fixed_pages.FIXED_PAGES)
     about = next(p for p in fixed_pages.FIXED_PAGES if p.route == "about")
-    hidden = fixed_pages.compose_fixed(tables, about, "https://site.example", texts, hidden={("accredition", "sec_title"): ["sec_title text"]}).first()
+    badges = "subone_accredition"
+    hidden = fixed_pages.compose_fixed(tables, about, "https://site.example", texts, hidden={(badges, "sec_title"): ["sec_title text"]}).first()
     assert hidden["missing_sections"] == ["accreditations"]
+
+
+def test_badges(spark):
+    """Badges stand under their heading with an image each; those never shown leave nothing, not even the heading."""
+    tables, about = everything(spark), next(p for p in fixed_pages.FIXED_PAGES if p.route == "about")
+    schema = "id bigint, sec_title string, img string"
+    never = [(n + 1, f" {t} ", "x.png") for n, t in enumerate(fixed_pages.HIDDEN_BADGES)]
+    shown = tables | {"subone_accredition": spark.createDataFrame([*never, (8, "Body B", "b.png"), (7, "Body A", "a.png"), (9, "Body C", None)], schema)}
+    row = fixed_pages.compose_fixed(shown, about, "https://site.example").first()
+    at = next(n for n, b in enumerate(row["blocks"]) if b["text"] == fixed_pages.BADGES_HEADING)
+    assert row["blocks"][at]["type"] == "heading" and row["blocks"][at + 1]["items"] == ["Body A", "Body B", "Body C"]
+    assert [i["src"] for i in row["images"] if i["section"] == "accreditations"] == ["a.png", "b.png"]
+    gone = fixed_pages.compose_fixed(tables | {"subone_accredition": spark.createDataFrame(never, schema)}, about, "https://site.example").first()
+    assert gone["missing_sections"] == ["accreditations"] and not [b for b in gone["blocks"] if b["text"] == fixed_pages.BADGES_HEADING]
+    assert row["source_ref"] == "about#composed"
+
+
+def test_offices(spark):
     offices = next(p for p in fixed_pages.FIXED_PAGES if p.scope == "office_locations")
-    table = families.PREFIX + "officelocation"
-    rows = tables | {table: spark.createDataFrame([(2, "B", "b street"), (1, "A", "a street"), (3, " ", "lost")], "id bigint, name string, address string")}
+    schema = "id bigint, name string, address string, latitude double, longitude string"
+    rows = everything(spark) | {"subone_officelocation": spark.createDataFrame([(2, "B", "b street", 1.5, "2"), (1, " A ", "a street", None, None), (3, " ", "lost", 1.0, "1"), (4, None, "lost", None, None)], schema)}
     found = fixed_pages.compose_fixed(rows, offices, "https://site.example").first()
     assert [(b["type"], b["text"]) for b in found["blocks"]] == [("heading", "A"), ("paragraph", "a street"), ("heading", "B"), ("paragraph", "b street")]
+    assert [tuple(x) for x in found["locations"]] == [("A", None, None), ("B", "1.5", "2")] and found["unnamed_locations"] == 2
+    assert found["source_ref"] == "subone_officelocation#collection"
+
+
+def test_source_refs_and_declared_tables(spark):
+    tables = everything(spark)
+    refs = {p.route: fixed_pages.compose_fixed(tables, p, "https://site.example").first()["source_ref"] for p in fixed_pages.FIXED_PAGES}
+    assert refs["resources/certification-guideline"] == "subone_cmgsubpage#1" and refs["/#faq"] == "subone_faq#collection"
+    assert refs["resources/certification-process"] == "certification-process#composed"
+    assert fixed_pages.allow_list(offices := next(p for p in fixed_pages.FIXED_PAGES if p.offices))[offices.offices].names == ["id", "name", "address", "latitude", "longitude"]
