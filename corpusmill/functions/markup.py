@@ -7,8 +7,9 @@ tags; it does not rebuild misnested formatting the way browsers do.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -31,29 +32,39 @@ KEPT_EMPTY = frozenset("table thead tbody tfoot tr td th caption col colgroup br
 PROTECTING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li table figure img".split())
 TRANSPARENT = frozenset("div section article main aside header footer blockquote details summary nav figcaption center".split())
 CELL_BLOCKS = frozenset("p div ul ol li h1 h2 h3 h4 h5 h6 table section blockquote".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+TABLE_PARTS = frozenset("table tr tbody thead tfoot".split())
 ROW_GROUPS = ("thead", "tbody", "tfoot")
 URL_ATTRIBUTES = ("href", "src", "action", "formaction", "xlink:href")
 
 
 class Node:
-    """An element: children are strings and nodes in order; a comment is a node named ``#comment``."""
+    """An element: children are strings and nodes in order; a comment is a node named ``#comment``.
 
-    __slots__ = ("attrs", "children", "name")
+    ``says``, ``shields`` and ``pictured``, which cleaning sets, tell whether there is text, an element
+    that keeps its surroundings, or an image below.
+    """
+
+    __slots__ = ("attrs", "children", "name", "pictured", "says", "shields")
 
     def __init__(self, name: str, attrs: dict[str, str] | None = None):
         self.name, self.attrs, self.children = name, attrs or {}, []
+        self.says = self.shields = False
+        self.pictured: bool | None = None
 
     def elements(self):
         return (c for c in self.children if isinstance(c, Node) and c.name != "#comment")
 
     def walk(self):
-        """All elements below, in document order."""
-        for child in self.elements():
-            yield child
-            yield from child.walk()
-
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else "" if c.name == "#comment" else c.text() for c in self.children)
+        """All elements below, in document order, however deep."""
+        trail = [self.elements()]
+        while trail:
+            node = next(trail[-1], None)
+            if node is None:
+                trail.pop()
+            else:
+                yield node
+                trail.append(node.elements())
 
 
 class _Builder(HTMLParser):
@@ -75,22 +86,29 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#fragment")
         self.open = [self.root]
+        #: Where elements of each name stand among the open ones, so that no search walks the stack.
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def _last(self, names) -> int:
+        """The innermost open element of one of the names, or 0."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+    def _cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().name].pop()
 
     def _close_up_to(self, names: tuple[str, ...], shields: tuple[str, ...]) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].name in shields:
-                return
-            if self.open[at].name in names:
-                del self.open[at:]
-                return self._close_up_to(names, shields)
+        shield = self._last(shields)
+        while (at := self._last(names)) > shield:
+            self._cut(at)
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
             self._close_up_to(("p",), ("table", "td", "th", "button", "object"))
         if tag in self._ENDS:
             self._close_up_to(*self._ENDS[tag])
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            del self.open[-1]
+        if tag in HEADINGS and self.open[-1].name in HEADINGS:
+            self._cut(len(self.open) - 1)
         if tag == "tr" and self.open[-1].name == "table":
             self._push(Node("tbody"))
         if tag in ("td", "th") and self.open[-1].name in ("table", *ROW_GROUPS):
@@ -98,33 +116,31 @@ class _Builder(HTMLParser):
                 self._push(Node("tbody"))
             self._push(Node("tr"))
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
+        if tag in VOID:
+            self.open[-1].children.append(node)
+        else:
+            self._push(node)
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
+        self.places[node.name].append(len(self.open))
         self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and any(n.name in FOREIGN for n in self.open):
+        if tag not in VOID and self._last(FOREIGN):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag == "br":
             self.open[-1].children.append(Node("br"))
-        elif tag == "p" and all(n.name != "p" for n in self.open):
+        elif tag == "p" and not self.places["p"]:
             self.open[-1].children.append(Node("p"))
         else:
-            heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-            for at in range(len(self.open) - 1, 0, -1):
-                name = self.open[at].name
-                if name == tag or (heading and len(name) == 2 and name[0] == "h" and name[1].isdigit()):
-                    del self.open[at:]
-                    return
-                if name in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                    return
+            at = self._last(HEADINGS if tag in HEADINGS else (tag,))
+            # a cell or table is only left by what belongs to tables
+            if at and (tag in TABLE_PARTS or at >= self._last(("table", "td", "th"))):
+                self._cut(at)
 
     def handle_data(self, data):
         children = self.open[-1].children
@@ -152,9 +168,13 @@ def parse(markup: str) -> Node:
 Rule = tuple[str, Callable[[Node], bool]]
 
 
-def _hidden_by_style(node: Node) -> bool:
-    style = "".join(node.attrs.get("style", "").split()).lower()
-    return "display:none" in style or "visibility:hidden" in style
+_HIDING = re.compile("display:none|visibility:hidden", re.I)
+_HANDLER = re.compile("on", re.I)
+_SCRIPT_URL = re.compile("(?:java|vb)script:", re.I)
+
+
+def _squeezed(value: str) -> str:
+    return "".join(value.split())
 
 
 #: Rules by which an element goes; the first that holds is counted.
@@ -164,8 +184,8 @@ REMOVALS: tuple[Rule, ...] = (
     ("r3_embedded", lambda n: n.name in EMBEDDED),
     ("r4_form", lambda n: n.name in CONTROLS),
     ("r5_hidden_attr", lambda n: "hidden" in n.attrs),
-    ("r6_hidden_style", _hidden_by_style),
-    ("r7_aria_hidden", lambda n: n.attrs.get("aria-hidden") == "true" and not n.text().strip()),
+    ("r6_hidden_style", lambda n: "style" in n.attrs and _HIDING.search(_squeezed(n.attrs["style"])) is not None),
+    ("r7_aria_hidden", lambda n: n.attrs.get("aria-hidden") == "true" and not n.says),
     ("r9_tracking_pixel", lambda n: n.name == "img" and "1" in (n.attrs.get("width"), n.attrs.get("height"))),
     ("r10_presentational", lambda n: n.name in PRESENTATIONAL),
 )
@@ -174,55 +194,55 @@ REMOVALS: tuple[Rule, ...] = (
 def clean(root: Node) -> Counter[str]:
     """Apply the rules bottom-up, in place; returns how often each removed something.
 
-    What follows a removed element joins what precedes it, with nothing put between.
+    What follows a removed element joins what precedes it, with nothing put between. Nodes are
+    taken in the reverse of their order from the top, so that all below one are done before it
+    and what they hold is carried up; no depth of nesting matters.
     """
     counts: Counter[str] = Counter()
-    _remove(root, counts)
-    _remove_empty(root, counts)
+    for keep in (_by_rules, _not_empty):
+        nodes = [root]
+        for node in nodes:
+            nodes += (c for c in node.children if isinstance(c, Node))
+        for node in reversed(nodes):
+            _settle(node, keep, counts)
     return counts
 
 
-def _rejoin(node: Node, kept: list[str | Node]) -> None:
-    node.children = []
-    for child in kept:
-        if isinstance(child, str) and node.children and isinstance(node.children[-1], str):
-            node.children[-1] += child
-        else:
-            node.children.append(child)
-
-
-def _remove(node: Node, counts: Counter[str]) -> None:
+def _settle(node: Node, keep: Callable[[Node, Counter[str]], bool], counts: Counter[str]) -> None:
+    """Keep some of a node's children, each of them settled before, and note what they hold."""
     kept: list[str | Node] = []
+    node.says = node.shields = node.pictured = False
     for child in node.children:
-        if isinstance(child, Node):
-            _remove(child, counts)
-            rule = next((name for name, holds in REMOVALS if holds(child)), None)
-            if rule:
-                counts[rule] += 1
-                continue
-            _disarm(child, counts)
+        if isinstance(child, str):
+            node.says = node.says or not child.isspace()
+            if kept and isinstance(kept[-1], str):
+                child = kept.pop() + child
+        elif not keep(child, counts):
+            continue
+        else:
+            node.says = node.says or child.says
+            node.shields = node.shields or child.shields or child.name in PROTECTING
+            node.pictured = node.pictured or child.pictured or child.name == "img"
         kept.append(child)
-    _rejoin(node, kept)
+    node.children = kept
 
 
-def _disarm(node: Node, counts: Counter[str]) -> None:
-    bad = [k for k in node.attrs if k.lower().startswith("on")]
-    bad += [k for k in URL_ATTRIBUTES if "".join(node.attrs.get(k, "").split()).lower().startswith(("javascript:", "vbscript:"))]
-    for name in bad:
+def _by_rules(node: Node, counts: Counter[str]) -> bool:
+    if rule := next((name for name, holds in REMOVALS if holds(node)), None):
+        counts[rule] += 1
+        return False
+    armed = [k for k, v in node.attrs.items() if _HANDLER.match(k) or (k in URL_ATTRIBUTES and _SCRIPT_URL.match(_squeezed(v)))]
+    for name in armed:
         del node.attrs[name]
         counts["r8_handlers"] += 1
+    return True
 
 
-def _remove_empty(node: Node, counts: Counter[str]) -> None:
-    kept: list[str | Node] = []
-    for child in node.children:
-        if isinstance(child, Node):
-            _remove_empty(child, counts)
-            if child.name not in KEPT_EMPTY and not child.text().strip() and not any(d.name in PROTECTING for d in child.walk()):
-                counts["r11_empty"] += 1
-                continue
-        kept.append(child)
-    _rejoin(node, kept)
+def _not_empty(node: Node, counts: Counter[str]) -> bool:
+    if node.says or node.shields or node.name in KEPT_EMPTY:
+        return True
+    counts["r11_empty"] += 1
+    return False
 
 
 # --- blocks ------------------------------------------------------------------------------
@@ -250,21 +270,20 @@ class _Inline:
         self.base, self.skip, self.parts, self.links = base, skip, [], []
 
     def read(self, node: Node) -> _Inline:
-        for child in node.children:
-            if isinstance(child, str):
+        trail: list[tuple[Node, Iterator, int]] = [(node, iter(node.children), 0)]
+        while trail:
+            own, children, start = trail[-1]
+            child = next(children, None)
+            if child is None:
+                trail.pop()
+                if own.name == "a" and own is not node and (target := canonical(own.attrs.get("href"), self.base)):
+                    self.links.append({"text": tidy("".join(self.parts[start:])), "href": target})
+            elif isinstance(child, str):
                 self.parts.append(child)
             elif child.name == "br":
                 self.parts.append("\n")
-            elif child.name == "a":
-                inner = _Inline(self.base).read(child)
-                words = "".join(inner.parts)
-                self.parts.append(words)
-                self.links += inner.links
-                target = canonical(child.attrs.get("href"), self.base)
-                if target:
-                    self.links.append({"text": tidy(words), "href": target})
             elif child.name not in ("img", "#comment") and not any(child is s for s in self.skip):
-                self.read(child)
+                trail.append((child, iter(child.children), len(self.parts)))
         return self
 
     @property
@@ -278,18 +297,23 @@ def _image(node: Node, caption: str | None = None) -> dict:
     return _block("image", src=source, alt=alt, caption=caption or None, role="informational" if alt and shown else "decorative")
 
 
-def _list(node: Node, depth: int, base: str | None) -> list[dict]:
-    items, below = [], []
-    for item in (n for n in node.elements() if n.name == "li"):
-        inner = tuple(n for n in item.elements() if n.name in ("ul", "ol"))
-        words = _Inline(base, inner).read(item).text
-        items += [words] if words else []
-        for sub in inner:
-            below += _list(sub, depth + 1, base)
-    start = node.attrs.get("start", "") if node.name == "ol" else ""
-    number = int(start) if start.removeprefix("-").isdecimal() and start.isascii() else None
-    own = [_block("list", ordered=node.name == "ol", items=items, depth=depth, start=number)] if items else []
-    return own + below
+def _list(node: Node, base: str | None) -> list[dict]:
+    """The list and, behind it, the lists inside its items, each with its depth."""
+    found, todo = [], [(node, 0)]
+    while todo:
+        own, depth = todo.pop()
+        items, below = [], []
+        for item in (n for n in own.elements() if n.name == "li"):
+            inner = tuple(n for n in item.elements() if n.name in ("ul", "ol"))
+            words = _Inline(base, inner).read(item).text
+            items += [words] if words else []
+            below += [(n, depth + 1) for n in inner]
+        start = own.attrs.get("start", "") if own.name == "ol" else ""
+        number = int(start) if start.removeprefix("-").isdecimal() and start.isascii() else None
+        if items:
+            found.append(_block("list", ordered=own.name == "ol", items=items, depth=depth, start=number))
+        todo += reversed(below)
+    return found
 
 
 def _rows(table: Node) -> list[Node]:
@@ -342,50 +366,59 @@ def _table(node: Node, base: str | None) -> list[dict]:
 
 
 def _blocks_of(node: Node, base: str | None) -> list[dict]:
+    """The blocks of an element that is no container."""
     name = node.name
-    if name[0] == "h" and name[1:].isdigit() and len(name) == 2 and name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    if name in HEADINGS:
         words = _Inline(base).read(node).text
         return [_block("heading", level=int(name[1]), text=words)] if words else []
     if name in ("ul", "ol"):
-        return _list(node, 0, base)
+        return _list(node, base)
     if name == "table":
         return _table(node, base)
     if name == "img":
         return [_image(node)]
     if name == "figure":
-        images = [n for n in node.walk() if n.name == "img"]
         caption = next((n for n in node.walk() if n.name == "figcaption"), None)
         title = _Inline(base).read(caption).text if caption else None
-        return [_image(i, title) for i in images] if images else container_blocks(node, base)
-    if name in TRANSPARENT:
-        return container_blocks(node, base)
+        return [_image(i, title) for i in node.walk() if i.name == "img"]
     inline = _Inline(base).read(node)
     own = [_block("paragraph", text=inline.text, links=inline.links)] if inline.text else []
     return own + ([_image(n) for n in node.walk() if n.name == "img"] if name == "p" else [])
 
 
+def _pictured(node: Node) -> bool:
+    return node.pictured if node.pictured is not None else any(n.name == "img" for n in node.walk())
+
+
 def container_blocks(node: Node, base: str | None = None) -> list[dict]:
-    """Blocks of a container's children in order; bare text is a paragraph of its own."""
+    """Blocks of a container's children in order, those of containers in it in their place; bare text is a paragraph of its own."""
     out: list[dict] = []
-    for child in node.children:
-        if isinstance(child, str):
+    trail = [iter(node.children)]
+    while trail:
+        child = next(trail[-1], None)
+        if child is None:
+            trail.pop()
+        elif isinstance(child, str):
             words = tidy(child)
             out += [_block("paragraph", text=words, links=[])] if words else []
+        elif child.name in TRANSPARENT or (child.name == "figure" and not _pictured(child)):
+            trail.append(iter(child.children))
         elif child.name != "#comment":
             out += _blocks_of(child, base)
     return out
 
 
-def _bold_only(node: Node, bold: bool = False) -> tuple[bool, bool]:
+def _bold_only(cell: Node) -> tuple[bool, bool]:
     """Whether a cell says anything, and whether all of it is bold."""
-    says, plain = False, False
-    for child in node.children:
-        if isinstance(child, str):
-            if tidy(child):
-                says, plain = True, plain or not bold
-        elif child.name != "#comment":
-            inner = _bold_only(child, bold or child.name in ("b", "strong"))
-            says, plain = says or inner[0], plain or (inner[0] and not inner[1])
+    says, plain, todo = False, False, [(cell, False)]
+    while todo:
+        node, bold = todo.pop()
+        for child in node.children:
+            if isinstance(child, str):
+                if tidy(child):
+                    says, plain = True, plain or not bold
+            elif child.name != "#comment":
+                todo.append((child, bold or child.name in ("b", "strong")))
     return says, not plain
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import file_name, file_stem, folded_name_forms
+from corpusmill.scratch import durable
 
 # The tiers of a match by name, strongest first.
 TIERS = ("exact", "stem", "folded", "truncated")
@@ -21,7 +22,8 @@ def name_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     compared in lower case; null and empty names match nothing.
 
     Every tier is an equi-join: the first three on the form itself, the last on a prefix of fixed
-    length followed by a check, so nothing is compared with everything.
+    length followed by a check, so nothing is compared with everything. Names that many rows share
+    should be given once, as classes with their numbers of members; ``name_links`` counts without pairs.
     """
 
     def forms(df: DataFrame, key: str, name: str, side: str) -> DataFrame:
@@ -51,7 +53,8 @@ def file_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     told from a word of seven letters, so both count); truncated: a folded form of at least
     ``least_prefix`` characters begins one of the other name. The case counts in the first two tiers
     only. Null and empty names match nothing. Each tier is an equi-join of exploded forms; the last
-    joins whole forms with the beginnings of the other side's.
+    joins whole forms with the beginnings of the other side's. All pairs are made: this is for one
+    stated set of files; ``file_links`` counts links of whole tables.
     """
 
     def names(df: DataFrame, key: str, path: str, side: str) -> DataFrame:
@@ -74,27 +77,87 @@ def file_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return best.select(F.col("__a").alias(left_id), F.col("__b").alias(right_id), F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1).alias("tier"))
 
 
-def classify_matches(matches: DataFrame, items: DataFrame, item: str, page: str, tier: str = "tier") -> DataFrame:
-    """(item, status, pages): matched with exactly one page over the deterministic tiers, ambiguous with more, else unmatched."""
-    sure = matches.where(F.col(tier) != "truncated").groupBy(item).agg(F.count_distinct(page).alias("pages"))
-    return items.select(item).join(sure, item, "left").select(
-        item, F.when(F.col("pages") == 1, "matched").when(F.col("pages") > 1, "ambiguous").otherwise("unmatched").alias("status"), F.coalesce("pages", F.lit(0)).alias("pages")
-    )
+def name_links(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: str, right_name: str) -> DataFrame:
+    """(left_id, pages): how many names of the right side each name matches exactly, by stem or folded, see ``name_matches``.
+
+    Equal names have equal stems and equal stems one folded form, so the widest form that a name has
+    decides; its copies on the right are counted once and never paired, however common the name.
+    """
+
+    def widest(df: DataFrame, key: str, name: str, side: str) -> DataFrame:
+        low = F.lower(F.trim(F.substring_index(F.col(name), "/", -1)))
+        stem = F.regexp_replace(low, r"\.[a-z0-9]{1,5}$", "")
+        folded = F.trim(F.regexp_replace(stem, r"[\s_\-.]+", " "))
+        form = F.when(folded != "", F.concat(F.lit("f"), folded)).when(stem != "", F.concat(F.lit("s"), stem)).when(low != "", F.concat(F.lit("e"), low))
+        return df.select(F.col(key).alias(side), form.alias("form"))
+
+    counts = widest(right, right_id, right_name, "__b").where("form is not null").groupBy("form").agg(F.count_distinct("__b").alias("pages"))
+    return widest(left, left_id, left_name, "__a").join(counts, "form", "left").select(F.col("__a").alias(left_id), F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
+def file_links(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_path: str, right_path: str, least_prefix: int = 20) -> DataFrame:
+    """(left_id, name, forms, exact, stem, folded, truncated): per left file its classes and its numbers of links, by the tiers of ``file_matches``.
+
+    ``name`` and ``forms`` are the classes it belongs to: files of equal name, and of a folded form
+    in common. The numbers count files of the right side by each tier's own condition, so a closer
+    tier is part of the wider ones; ``truncated`` counts folded forms of right files of which one
+    begins the other. Rows repeated on a side count once. Counts are taken per class before they
+    meet the other side, so no pair is ever made, however common a name is; beginnings are counted
+    per form, not per file.
+    """
+
+    def named(df: DataFrame, key: str, path: str) -> DataFrame:
+        files = df.select(F.col(key).alias("id"), file_name(F.col(path)).alias("name")).distinct().where("id is not null")
+        known = files.where("name <> ''")
+        return known.select("id", "name", file_stem(F.col("name")).alias("stem"), F.array_sort(folded_name_forms(F.col("name"))).alias("forms"))
+
+    a, b = named(left, left_id, left_path), named(right, right_id, right_path)
+    exact = b.groupBy("name").agg(F.count_distinct("id").alias("exact"))
+    stem = b.where("stem <> ''").groupBy("stem").agg(F.count_distinct("id").alias("by_stem"))
+    form = b.select("id", F.explode("forms").alias("form")).groupBy("form").agg(F.count_distinct("id").alias("n"))
+    both = b.where(F.size("forms") == 2).groupBy(F.col("forms").alias("pair")).agg(F.count_distinct("id").alias("twice"))
+    every = a.select(F.explode("forms").alias("form")).distinct()
+
+    def begun(forms: DataFrame) -> DataFrame:
+        """Forms with their proper beginnings."""
+        ends = F.sequence(F.lit(least_prefix), F.length("form") - 1)
+        return forms.where(F.length("form") > least_prefix).select("*", F.explode(F.transform(ends, lambda n: F.substring(F.col("form"), F.lit(1), n))).alias("head"))
+
+    longer = begun(form).groupBy("head").agg(F.sum("n").alias("longer")).withColumnRenamed("head", "form")
+    shorter = begun(every).join(form.select(F.col("form").alias("head"), "n"), "head").groupBy("form").agg(F.sum("n").alias("shorter"))
+    reach = every.join(form, "form", "left").join(longer, "form", "left").join(shorter, "form", "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    reach = reach.select("form", count("n").alias("n"), (count("longer") + count("shorter")).alias("cut"))
+    per = a.select("id", "name", F.explode_outer("forms").alias("form")).join(reach, "form", "left").groupBy("id", "name").agg(F.sum(count("n")).alias("n"), F.sum(count("cut")).alias("cut"))
+    joined = a.join(per, ["id", "name"]).join(exact, "name", "left").join(stem, "stem", "left").join(both, F.col("forms") == F.col("pair"), "left")
+    return joined.select(
+        F.col("id").alias(left_id), "name", "forms", count("exact").alias("exact"), count("by_stem").alias("stem"),
+        (F.col("n") - F.when(F.size("forms") == 2, count("twice")).otherwise(0)).alias("folded"), F.col("cut").alias("truncated"),
+    )
+
+
+def status_of(pages: Column) -> Column:
+    """matched with exactly one page, ambiguous with more, else unmatched."""
+    return F.when(pages == 1, "matched").when(pages > 1, "ambiguous").otherwise("unmatched")
 
 
-def ancestors(edges: DataFrame, start: DataFrame, levels: int) -> DataFrame:
-    """(id, ancestor, depth, path): every node reached from ``start`` by (child, parent) edges, up to ``levels`` steps.
+def ancestors(edges: DataFrame, start: DataFrame, levels: int | None = None) -> DataFrame:
+    """(id, ancestor, depth, path): every node reached from ``start`` by (child, parent) edges, or those within ``levels`` steps.
 
-    The walk is unrolled into equi-joins; a path never visits a node twice, so cycles end.
+    The walk goes up level by level, each an equi-join, until a level is empty; a path never visits
+    a node twice, so cycles end. Every level is kept in the shared folder.
     """
     here = start.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-    every = here
-    for depth in range(1, levels + 1):
-        here = (
+    every, depth = here, 0
+    while levels is None or depth < levels:
+        depth += 1
+        here = durable(
             here.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor")
             .where(~F.array_contains("path", F.col("parent")))
             .select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("parent")).alias("path"))
         )
+        if here.isEmpty():
+            break
         every = every.unionByName(here)
     return every
 

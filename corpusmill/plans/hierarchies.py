@@ -72,12 +72,17 @@ def _page_lists(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
 
 
 def tiered_name_match(spark: SparkSession, base: str) -> DataFrame:
-    first, last = _page_lists(spark, base)
-    return matching.name_matches(first, last, "first_uri", "last_uri", "first_uri", "last_uri", 24)
+    """Pairs of page names, each name once with the number of its pages on either side."""
+    name = lambda c: F.lower(F.trim(F.substring_index(F.col(c), "/", -1)))
+    first, last = (df.groupBy(name(c).alias(c)).agg(F.count("*").alias(n)) for df, c, n in zip(_page_lists(spark, base), ("first_uri", "last_uri"), ("first_pages", "last_pages"), strict=True))
+    pairs = matching.name_matches(first, last, "first_uri", "last_uri", "first_uri", "last_uri", 24)
+    return pairs.join(first, "first_uri").join(last, "last_uri").select(F.col("first_uri").alias("first_name"), F.col("last_uri").alias("last_name"), "tier", "first_pages", "last_pages")
 
 
 def match_status(spark: SparkSession, base: str) -> DataFrame:
-    return matching.classify_matches(tiered_name_match(spark, base), _page_lists(spark, base)[0], "first_uri", "last_uri")
+    first, last = _page_lists(spark, base)
+    links = matching.name_links(first, last, "first_uri", "last_uri", "first_uri", "last_uri")
+    return links.select("first_uri", matching.status_of(F.col("pages")).alias("status"), "pages")
 
 
 def _page_files(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
@@ -90,12 +95,17 @@ def _page_files(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
 
 
 def tiered_file_match(spark: SparkSession, base: str) -> DataFrame:
+    """Per page of the first runs its classes and how many later pages each tier links it to."""
     first, later = _page_files(spark, base)
-    return matching.file_matches(first, later, "first_uri", "later_uri", "first_uri", "later_uri")
+    links = matching.file_links(first, later, "first_uri", "later_uri", "first_uri", "later_uri")
+    return links.select("first_uri", "name", F.array_join("forms", "|").alias("forms"), "exact", "stem", "folded", "truncated")
 
 
 def file_match_status(spark: SparkSession, base: str) -> DataFrame:
-    return matching.classify_matches(tiered_file_match(spark, base), _page_files(spark, base)[0], "first_uri", "later_uri")
+    first, later = _page_files(spark, base)
+    links = matching.file_links(first, later, "first_uri", "later_uri", "first_uri", "later_uri")
+    pages = F.coalesce(F.greatest("exact", "stem", "folded"), F.lit(0))
+    return first.join(links, "first_uri", "left").select("first_uri", matching.status_of(pages).alias("status"), pages.alias("pages"))
 
 
 def file_name_forms(spark: SparkSession, base: str) -> DataFrame:
@@ -110,7 +120,7 @@ def ancestor_walk(spark: SparkSession, base: str) -> DataFrame:
         nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(key("n", "n_nationkey").alias("child"), key("r", "r_regionkey").alias("parent"))
     )
     start = supplier.select(key("s", "s_suppkey").alias("id"))
-    return matching.ancestors(edges, start, 4).select("id", "ancestor", "depth", F.array_join("path", ">").alias("path"))
+    return matching.ancestors(edges, start).select("id", "ancestor", "depth", F.array_join("path", ">").alias("path"))
 
 
 def text_references(spark: SparkSession, base: str) -> DataFrame:
@@ -162,7 +172,24 @@ _MATCH = r"""
           where length(fa.folded) >= 24 and length(fb.folded) >= 24 and (starts_with(fa.folded, fb.folded) or starts_with(fb.folded, fa.folded))),
   matches as (select first_uri, last_uri, ['exact', 'stem', 'folded', 'truncated'][min(t) + 1] as tier from m group by 1, 2)"""
 
+_FOLD = r"lower(regexp_replace(regexp_replace({}, '[-_\s]+', '_', 'g'), '^_|_$', '', 'g'))"
+_FILES = rf"""
+  ends as (select source_scope, min(run_id) as first_run from runs group by 1),
+  fst as (select distinct canonical_uri as uri from contract join ends using (source_scope) where run_id = first_run),
+  ltr as (select distinct canonical_uri as uri from contract join ends using (source_scope) where run_id > first_run),
+  n as (select uri, url_decode(replace(split_part(uri, '/', -1), '+', '%2B')) as name from (select uri from fst union select uri from ltr)),
+  t as (select uri, name, regexp_replace(name, '\.[A-Za-z0-9]+$', '') as stem from n where name <> ''),
+  k as (select uri, name, stem, list_sort(list_distinct(list_filter([{_FOLD.format('stem')}, {_FOLD.format("regexp_replace(stem, '_[A-Za-z0-9]{7}$', '')")}], lambda f: f <> ''))) as forms from t),
+  p as (select a.uri as first_uri, a.name, a.forms, coalesce(a.name = b.name, false) as exact, coalesce(a.stem = b.stem and a.stem <> '', false) as same_stem, coalesce(len(list_intersect(a.forms, b.forms)) > 0, false) as folded,
+               coalesce(list_sum(list_transform(a.forms, lambda x: len(list_filter(b.forms, lambda y: x <> y and least(length(x), length(y)) >= 20 and (starts_with(x, y) or starts_with(y, x)))))), 0) as cut
+        from k a semi join fst using (uri) left join (select * from k semi join ltr using (uri)) b on true),
+  links as (select first_uri, name, array_to_string(forms, '|') as forms, count(*) filter (where exact) as exact, count(*) filter (where same_stem) as stem, count(*) filter (where folded) as folded, sum(cut)::bigint as truncated
+            from p group by 1, 2, 3)"""
+
 SQL = {
+    "tiered_file_match": f"with {_FILES} select first_uri, name, coalesce(forms, '') as forms, exact, stem, folded, truncated from links",
+    "file_match_status": f"""with {_FILES}, s as (select uri as first_uri, coalesce(greatest(exact, stem, folded), 0) as pages from fst left join links on uri = first_uri)
+      select first_uri, case when pages = 1 then 'matched' when pages > 1 then 'ambiguous' else 'unmatched' end as status, pages from s""",
     "left_join_metadata": "select c_custkey, n_name, nullif(c_mktsegment, 'MACHINERY') as segment from customer left join (select * from nation where n_regionkey < 3) on c_nationkey = n_nationkey",
     "m2m_ordered_items": "select l_orderkey, string_agg(p_name, '|' order by l_linenumber, l_partkey) as items from lineitem join part on l_partkey = p_partkey group by 1",
     "distinct_items_dropped": """select l_orderkey, string_agg(distinct l_linenumber::varchar, '|' order by l_linenumber::varchar) as kept, (count(*) - count(distinct l_linenumber))::int as dropped from lineitem group by 1""",
@@ -173,7 +200,8 @@ SQL = {
       select c_custkey, c_name, n_name, items, case when n_nationkey is null then 'nation' else '' end as missing_sections from customer left join s on c_nationkey = n_nationkey""",
     "full_outer_compare": """with a as (select c_nationkey as k, count(*) % 4 as n from customer group by 1), b as (select s_nationkey as k, count(*) % 4 as n from supplier where s_nationkey <> 7 group by 1)
       select k, case when b.n is null then 'missing' when a.n is null then 'extra' when a.n = b.n then 'matches' else 'differs' end as status from a full join b using (k)""",
-    "tiered_name_match": f"with {_MATCH} select first_uri, last_uri, tier from matches",
+    "tiered_name_match": f"""with {_MATCH} select first_name, last_name, any_value(tier) as tier, count(distinct first_uri) as first_pages, count(distinct last_uri) as last_pages
+      from (select m.*, a.exact as first_name, b.exact as last_name from matches m join a using (first_uri) join b using (last_uri)) group by 1, 2""",
     "match_status": f"""with {_MATCH}, s as (select first_uri, count(distinct last_uri) as pages from matches where tier <> 'truncated' group by 1)
       select first_uri, case when pages = 1 then 'matched' when pages > 1 then 'ambiguous' else 'unmatched' end as status, coalesce(pages, 0) as pages from fst left join s using (first_uri)""",
     "file_name_forms": r"""
@@ -184,7 +212,7 @@ SQL = {
     "ancestor_walk": """
       with recursive edges as (select 's' || s_suppkey as child, 'n' || s_nationkey as parent from supplier union all select 'n' || n_nationkey, 'r' || r_regionkey from nation join region on n_regionkey = r_regionkey),
       walk as (select 's' || s_suppkey as id, 's' || s_suppkey as ancestor, 0 as depth, 's' || s_suppkey as path from supplier
-               union all select w.id, e.parent, w.depth + 1, w.path || '>' || e.parent from walk w join edges e on e.child = w.ancestor where w.depth < 4)
+               union all select w.id, e.parent, w.depth + 1, w.path || '>' || e.parent from walk w join edges e on e.child = w.ancestor)
       select id, ancestor, depth, path from walk""",
     "text_references": """
       with c as (select 'documents' as table_name, 'text' as column_name, text as cell from documents union all select 'documents', 'canonical_uri', canonical_uri from documents

@@ -117,6 +117,14 @@ def test_block_texts(html, wanted):
     assert [b.get("text") for b in markup.convert(html)[0]] == wanted
 
 
+@pytest.mark.parametrize("start", ["<div>", "<b>", "<ul><li>", "<table><tr><td>", "<figure>", "<p><span>", "<section hidden>", "<a href='/x'>"])
+def test_nesting_of_any_depth_takes_linear_time(start):
+    begin = time.process_time()
+    found, _ = markup.convert(start * 100_000 + "deep", "https://e.com/") if "href" not in start else markup.convert(start * 3_000 + "deep", "https://e.com/")
+    assert time.process_time() - begin < 30
+    assert len(found) == (0 if "hidden" in start else 1)
+
+
 def test_unmarked_header():
     head = "<tr><td><b>a</b></td><td><p><strong>b</strong></p></td></tr>"
     assert markup.unmarked_headers(markup.parse(f"<table>{head}<tr><td>1</td><td>2</td></tr></table>")) == 1
