@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 
-    Only an input too small to be split by its files is redistributed; a large one has more
-    partitions than that and is left where it is.
+    Only an input too small to be split by its files is redistributed: one whose size, by the
+    optimizer's statistics, gives each core less than one split. Nothing is planned or run for that.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if size >= cores * split else df.repartition(cores)

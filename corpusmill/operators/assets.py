@@ -62,6 +62,43 @@ def proven_mappings(mapping: DataFrame, proofs: DataFrame) -> DataFrame:
     return joined.select("item", F.when(F.col("__ok"), F.col("page")).alias("page"), F.when(F.col("__ok"), "confirmed").otherwise("unresolved").alias("status"))
 
 
+def final_mapping(active: DataFrame, matched: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(item, page, verification_status, source): mappings made before, kept whatever their outcome, and new ones that a comparison confirmed.
+
+    ``active``: (item); ``matched``: (item, page); ``outcomes``: (item, status, page), page being that of the proof.
+    """
+    kept = matched.select("item", F.col("page").alias("__own"))
+    found = active.join(outcomes.select("item", "status", F.col("page").alias("__proof")), "item", "left").join(kept, "item", "left")
+    rows = found.where(F.col("__own").isNotNull() | F.col("__proof").isNotNull())
+    return rows.select("item", F.coalesce("__own", "__proof").alias("page"), F.col("status").alias("verification_status"), F.when(F.col("__own").isNotNull(), "matched").otherwise("proof").alias("source"))
+
+
+def mapping_problems(
+    active: DataFrame, skipped: DataFrame, matched: DataFrame, outcomes: DataFrame, final: DataFrame, public: str, confirmed: Sequence[str], before: DataFrame | None = None, after: DataFrame | None = None
+) -> DataFrame:
+    """(problem, item) of a final mapping; none means it stands.
+
+    An active item without outcome, an outcome of none, a skipped item that is mapped, a page not
+    below ``public``, a mapping made before and lost, a new one without a confirming status, and
+    input files, (item, digest) ``before`` and ``after``, that changed meanwhile.
+    """
+    parts = [
+        active.join(outcomes, "item", "left_anti").select(F.lit("no outcome").alias("problem"), "item"),
+        outcomes.join(active, "item", "left_anti").select(F.lit("outcome of no active item").alias("problem"), "item"),
+        final.join(skipped, "item", "left_semi").select(F.lit("skipped item is mapped").alias("problem"), "item"),
+        final.where(~F.coalesce(F.col("page").startswith(public), F.lit(False))).select(F.lit("not a public page").alias("problem"), "item"),
+        matched.join(final, "item", "left_anti").select(F.lit("mapping lost").alias("problem"), "item"),
+        final.where((F.col("source") == "proof") & ~F.coalesce(F.col("verification_status").isin(*confirmed), F.lit(False))).select(F.lit("mapping without proof").alias("problem"), "item"),
+    ]
+    if before is not None and after is not None:
+        both = before.select("item", F.col("digest").alias("b")).join(after.select("item", F.col("digest").alias("a")), "item", "full_outer")
+        parts.append(both.where(~F.col("a").eqNullSafe(F.col("b"))).select(F.lit("input changed").alias("problem"), "item"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def disjoint_problems(states: Sequence[DataFrame], key: str) -> DataFrame:
     """Keys that are in none or in several of the states a key should be in exactly one of."""
     every = states[0].select(key)

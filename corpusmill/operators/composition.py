@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.blocks import BLOCK, BLOCKS, LEAF, document_hash, has_text
 from corpusmill.functions.markup import html_blocks
-from corpusmill.functions.text import content_text, headed, paragraphs
+from corpusmill.functions.text import composed, content_text, headed, paragraphs
 from corpusmill.functions.urls import canonical_url
 from corpusmill.operators.hierarchy import ListSpec, ordered_children
 from corpusmill.operators.synchronize import acceptance_gate, raw_gate
@@ -266,8 +266,8 @@ def pair_list_records(faq: DataFrame, scope: str = "service_faq", suffix: str =
 
     A record's page is its parent's with the fragment ``faq``; half pairs are counted and left out.
     """
-    flat = faq.withColumn("__json", F.to_json("pairs"))
-    tidy = flat.withColumn("__json", content_text(F.col("__json"))).withColumn("__pairs", F.from_json("__json", "array<struct<question:string,answer:string>>"))
+    # composed in one pass as JSON; folding waits for the single texts, as quotes would not survive it here
+    tidy = faq.withColumn("__pairs", F.from_json(composed(F.to_json("pairs")), "array<struct<question:string,answer:string>>"))
     clean = lambda text: F.coalesce(content_text(text, compose_unicode=False), F.lit(""))
     own = F.coalesce("__pairs", F.array().cast("array<struct<question:string,answer:string>>"))
     blocks = F.flatten(F.transform(own, lambda p: pair(clean(p["question"]), clean(p["answer"]))))

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of a group's values whose counts locate a percentile.
+PERCENTILE_RANGES = 4096
+
+
 def first_hits(rows: DataFrame, case: str, score: str, tie: str, wanted: dict[str, Column]) -> DataFrame:
     """(case, a rank per name of ``wanted``): where the best row of each condition stands among all of the case; null for a miss.
 
@@ -46,10 +50,32 @@ def document_positions(returned: DataFrame, case: str, document: str) -> DataFra
 
 
 def distribution(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Count, nearest-rank percentiles, greatest value and mean; nulls and NaN are left out."""
-    kept = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    parts = [F.expr(f"percentile_disc({p}) within group (order by `{value}`)").alias(f"p{int(p * 100)}") for p in (0.5, 0.95)]
-    return kept.groupBy(*(by or [])).agg(F.count("*").alias("n"), *parts, F.max(value).alias("greatest"), F.round(F.avg(value), 6).alias("mean"))
+    """Count, nearest-rank percentiles, greatest value and mean; nulls and NaN are left out.
+
+    Percentiles come from counts per value, summed in two steps: over ranges of values, then over the
+    values of the one range that holds the percentile. So a group of any number of distinct values
+    needs no buffer of its own, and no task sorts a whole group.
+    """
+    by, keys = list(by or []), ["__key"]
+    # a struct is equal to itself also where a column in it is null
+    key = (F.struct(*by) if by else F.lit(1)).alias("__key")
+    kept = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("__v", F.col(value).cast("double"))
+    ends = kept.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.max(value).alias("greatest"), F.round(F.avg(value), 6).alias("mean"))
+    ends = ends.select("*", key)
+    counts = kept.groupBy(*by, "__v", value).agg(F.count("*").alias("__c")).select("__v", value, "__c", key).join(ends.select(*keys, "n", "__low", "__high"), keys)
+    width = F.col("__high") - F.col("__low")
+    counts = counts.withColumn("__range", F.when(width > 0, F.floor((F.col("__v") - F.col("__low")) / width * (PERCENTILE_RANGES - 1))).otherwise(0))
+    ranges = counts.groupBy(*keys, "__range", "n").agg(F.sum("__c").alias("__c"))
+    order = Window.partitionBy(*keys).orderBy("__range")
+    ranges = ranges.withColumn("__upto", F.sum("__c").over(order)).withColumn("__before", F.col("__upto") - F.col("__c"))
+    out = ends.drop("__low", "__high")
+    for p in (0.5, 0.95):
+        name, place = f"p{int(p * 100)}", F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p) - F.lit(1e-9)))
+        holding = ranges.where((F.col("__before") < place) & (F.col("__upto") >= place)).select(*keys, "__range", "__before")
+        within = Window.partitionBy(*keys).orderBy("__v")
+        inside = counts.join(holding, [*keys, "__range"]).withColumn("__at", F.col("__before") + F.sum("__c").over(within))
+        out = out.join(inside.where(F.col("__at") >= place).groupBy(*keys).agg(F.min(value).alias(name)), keys, "left")
+    return out.select(*by, "n", "p50", "p95", "greatest", "mean")
 
 
 def threshold_report(top: DataFrame, score: str, correct: str, answerable: str) -> DataFrame:
@@ -122,3 +148,44 @@ def setup_problems(cases: DataFrame, documents: DataFrame) -> DataFrame:
     known = documents.select(F.col("canonical_uri").alias("expected_document_uri"))
     missing = cases.where("expected_document_uri is not null").join(known, "expected_document_uri", "left_anti").select(F.lit("missing_document").alias("rule"), "case_id")
     return empty.unionByName(repeated).unionByName(without).unionByName(needless).unionByName(missing)
+
+
+def setup_report(cases: DataFrame, expected: DataFrame, chunks: DataFrame, model: str, dim: int, profiles: dict[str, int], expected_chunks: int) -> DataFrame:
+    """(rule, subject): every reason why an evaluation must not start; none means go.
+
+    ``cases``: (case_id, answerable, expected_document_uri); ``expected``: (case_id, content_hash) of
+    expected chunks; ``chunks``: (canonical_uri, content, content_hash, embedded) of the active
+    corpus. Rules on the corpus name how many chunks they hold for, those on cases the case and what
+    it expects. ``profiles`` are the supported models with their dimensions.
+    """
+    spark = cases.sparkSession
+    fixed = []
+    if model not in profiles:
+        fixed.append(("unsupported_model", model))
+    elif profiles[model] != dim:
+        fixed.append(("dimension", f"{dim}, expected {profiles[model]}"))
+    rules = spark.createDataFrame(fixed, "rule string, subject string")
+    blank = F.trim(F.regexp_replace("content", r"\s+", " ")) == ""
+    corpus = chunks.agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce(blank, F.lit(True))).alias("empty_chunks"),
+        F.count_if(~F.sha2("content", 256).eqNullSafe(F.col("content_hash"))).alias("hash_mismatch"), F.count_if("embedded").alias("already_embedded"),
+    ).withColumn("chunk_count", F.when(F.col("n") != expected_chunks, F.col("n")).otherwise(0))
+    counted = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("k")) for r in ("chunk_count", "empty_chunks", "hash_mismatch", "already_embedded")])
+    of_corpus = corpus.select(F.explode(counted).alias("c")).where("c.k > 0").select("c.rule", F.col("c.k").cast("string").alias("subject"))
+    none = cases.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no_cases").alias("rule"), F.lit("").alias("subject"))
+    name = lambda what: F.concat(F.col("case_id").cast("string"), F.lit(": "), what)
+    uris = chunks.select(F.col("canonical_uri").alias("expected_document_uri")).distinct()
+    wanted = cases.where("expected_document_uri is not null")
+    parts = [
+        wanted.join(uris, "expected_document_uri", "left_anti").select(F.lit("document_not_active").alias("rule"), name(F.col("expected_document_uri")).alias("subject")),
+        expected.join(chunks.select("content_hash").distinct(), "content_hash", "left_anti").select(F.lit("hash_not_in_corpus").alias("rule"), name(F.col("content_hash")).alias("subject")),
+        cases.where("answerable and expected_document_uri is null").select(F.lit("answerable_without_document").alias("rule"), F.col("case_id").cast("string").alias("subject")),
+        cases.where("not answerable").join(expected.select("case_id").distinct().withColumn("__e", F.lit(True)), "case_id", "left")
+        .where("expected_document_uri is not null or __e").select(F.lit("unanswerable_with_evidence").alias("rule"), F.col("case_id").cast("string").alias("subject")),
+    ]
+    owned = chunks.select(F.col("canonical_uri").alias("expected_document_uri"), "content_hash").distinct()
+    asked = expected.join(cases.select("case_id", "expected_document_uri"), "case_id")
+    parts.append(asked.join(owned, ["expected_document_uri", "content_hash"], "left_anti").select(F.lit("hash_not_in_document").alias("rule"), name(F.col("content_hash")).alias("subject")))
+    for part in (of_corpus, none, *parts):
+        rules = rules.unionByName(part)
+    return rules

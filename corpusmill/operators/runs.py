@@ -6,6 +6,7 @@ chunks as new snapshots. Whatever fails leaves the old snapshots current and clo
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
@@ -83,12 +84,13 @@ def _deliver(spark: SparkSession, snapshots: Snapshots, scope: str, records: Dat
 
 
 def backfill_store(
-    spark: SparkSession, root: str, identity: str, dim: int, embedder: Callable[[list[str]], Sequence[Sequence[float]]] | None = None, scopes: Sequence[str] | None = None, limit: int | None = None
-) -> dict[str, int]:
+    spark: SparkSession, root: str, identity: str, dim: int, embedder: Callable[[list[str]], Sequence[Sequence[float]]] | None = None, scopes: Sequence[str] | None = None, limit: int | None = None, batch_size: int = 128, pause: float = 2.0
+) -> dict[str, object]:
     """Embed what is pending in active documents; without an embedder only say what would be done.
 
     Each text is embedded once however many chunks hold it, vectors are kept in the store's own
-    vector table, and a second call finds nothing left to do.
+    vector table, and a second call finds nothing left to do. Vectors of the batches that succeeded
+    are stored also where others failed; the run is then closed as failed with its counters.
     """
     snapshots = Snapshots(spark, root)
     with single_run(spark, root) as run:
@@ -107,7 +109,9 @@ def backfill_store(
             return {"texts": texts, "written": 0}
         _ledger(spark, root, run, "backfill", "running")
         try:
-            vectors = durable(fill.embed(planned, embedder, dim))
+            began = time.monotonic()
+            embedded = durable(fill.embed_batches(fill.in_batches(planned, batch_size), embedder, dim, pause=pause))
+            vectors = embedded.where("status = 'embedded'").select("content_hash", "embedding")
             # only chunks of eligible documents may change
             inside = eligible.select("canonical_uri", "chunk_index").withColumn("__in", F.lit(True))
             marked = chunks.join(inside, ["canonical_uri", "chunk_index"], "left")
@@ -117,5 +121,8 @@ def backfill_store(
         except BaseException as error:
             _ledger(spark, root, run, "backfill", "failed", reason=type(error).__name__)
             raise
-        _ledger(spark, root, run, "backfill", "succeeded", {"texts": texts})
-        return {"texts": texts, "written": vectors.count()}
+        left = fill.pending(keyed, identity).count()
+        done = fill.pending(keyed, identity).select("content_hash").join(vectors, "content_hash", "left_semi").count()
+        counts = fill.counters(left if limit is None else min(left, limit), embedded, done, left - done, round(time.monotonic() - began, 2))
+        _ledger(spark, root, run, "backfill", "failed" if counts["stop_reason"] else "succeeded", counts, counts["stop_reason"])
+        return {"texts": texts, "written": counts["embedded_texts"]} | counts

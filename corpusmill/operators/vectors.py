@@ -199,15 +199,17 @@ def search(chunks: DataFrame, queries: DataFrame, dim: int, public: list[str], s
 
     ``queries``: (query_id, query_text, query_embedding). A query without 1 to 2,000 characters
     after trimming, or with an unusable vector, has no evidence. ``chunks``: (canonical_uri,
-    source_scope, chunk_index, content_hash, embedding, ...). Equal scores: content_hash, then
-    canonical_uri, then chunk_index.
+    source_scope, chunk_index, content_hash, embedding, ...); with mapping_status and parent_uri an
+    image is cited by its confirmed parent. Equal scores: content_hash, then canonical_uri, then
+    chunk_index.
     """
     if documents < 1:
         raise ValueError("at least one document")
     asked = queries.where(F.length(F.trim("query_text")).between(1, 2000)).select("query_id", "query_embedding")
     ties = ["content_hash", "canonical_uri", "chunk_index"]
-    rows = nearest_chunks(narrowed(chunks, public, scopes), asked, dim, pool, ties, ["source_scope"])
+    proven = [c for c in ("mapping_status", "parent_uri") if c in chunks.columns]
+    rows = nearest_chunks(narrowed(chunks, public, scopes), asked, dim, pool, ties, ["source_scope", *proven])
     best = group_by_document(rows.drop("rank"), ["query_id"], "canonical_uri", ties, documents, per_document)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("document_rank", "chunk_rank"))
-    nothing = F.lit(None).cast("string")
-    return best.withColumn("rank", rank).withColumn("citation_uri", citation(F.col("canonical_uri"), F.col("source_scope"), nothing, nothing))
+    told = lambda c: F.col(c) if c in proven else F.lit(None).cast("string")
+    return best.withColumn("rank", rank).withColumn("citation_uri", citation(F.col("canonical_uri"), F.col("source_scope"), told("mapping_status"), told("parent_uri")))

@@ -21,6 +21,13 @@ def hashed_text(text: str) -> str:
     return rf"regexp_replace(regexp_replace({folded(text)}, '[ \n\x{{1680}}\x{{2028}}\x{{2029}}]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
+def content_text(text: str) -> str:
+    return (
+        rf"regexp_replace(regexp_replace(regexp_replace({folded(text)}, '[ \x{{1680}}]+', ' ', 'g'), "
+        r"' ?[\n\x{2028}\x{2029}][ \n\x{1680}\x{2028}\x{2029}]*', chr(10), 'g'), '^[ \n\x{1680}\x{2028}\x{2029}]+|[ \n\x{1680}\x{2028}\x{2029}]+$', '', 'g')"
+    )
+
+
 # --- URLs --------------------------------------------------------------------------------
 
 
@@ -135,6 +142,14 @@ ACCEPTANCE_GATE = f"""
     when trim(title) = '' then 'empty title' when json_type(blocks) <> 'ARRAY' or json_array_length(blocks) = 0 then 'no content blocks'
     when not list_bool_or(list_transform(blocks::JSON[], lambda b: {_SAYS})) then 'no textual content' when extractor_version < 1 then 'invalid extractor_version' end as reason from contract"""
 
+FAQ_RECORDS = f"""
+  with b as (select dictionary_name, faq_key, parent_canonical_uri || '#faq' as canonical_uri, {content_text("(parent_title || ' — FAQ')")} as title, coalesce(pairs, []) as ps from service_faq_data),
+  c as (select *, list_filter(ps, lambda p: coalesce({hashed_text('p.question')} <> '' and {hashed_text('p.answer')} <> '', false)) as kept, {CANONICAL_URL} as url from b)
+  select url as canonical_uri, title,
+         sha256('DOC' || {FIELD} || {hashed_text('title')} || {RECORD} || {_joined(f"list_transform(kept, lambda x: 'FAQ' || {FIELD} || {hashed_text('x.question')} || {RECORD} || 'P' || {FIELD} || {hashed_text('x.answer')} || {RECORD} || 'ENDFAQ' || {RECORD})")}) as content_hash,
+         len(kept)::int as n_blocks, (len(ps) - len(kept))::int as half_pairs, dictionary_name || ':' || faq_key as source_ref,
+         case when url is null then 'unusable_identity' when trim(title) = '' then 'empty title' when len(kept) = 0 then 'no content blocks' end as reason from c"""
+
 # --- snapshots ---------------------------------------------------------------------------
 
 _FOLD = r"trim(regexp_replace(nfc_normalize({}), '[\s\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"

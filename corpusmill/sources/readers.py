@@ -161,10 +161,28 @@ def read_dictionaries(spark: SparkSession, path: str, names: Sequence[str]) -> D
 # --- files and vectors ---------------------------------------------------------------------
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 25 << 20) -> DataFrame:
-    """(path, content, length, digest) of files up to a size."""
+def read_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 25 << 20) -> tuple[DataFrame, DataFrame]:
+    """Files as (path, content, length, digest), and those over the size as (path, length, problem), whose content is never read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.where(F.col("length") <= most_bytes).select("path", "content", "length", F.sha2("content", 256).alias("digest"))
+    kept = files.where(F.col("length") <= most_bytes).select("path", "content", "length", F.sha2("content", 256).alias("digest"))
+    return kept, files.where(F.col("length") > most_bytes).select("path", "length", F.lit("too large").alias("problem"))
+
+
+def object_requests(urls: DataFrame, column: str) -> DataFrame:
+    """(url, cache_name, problem) of the distinct URLs to fetch: the name under which each is kept, and why one is not fetched."""
+    one = urls.select(F.trim(column).alias("url")).where("url <> ''").distinct()
+    suffix = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]{1,5})(?:[?#]|$)", 1))
+    name = F.concat(F.sha2("url", 256), F.when(suffix != "", F.concat(F.lit("."), suffix)).otherwise(""))
+    return one.select("url", name.alias("cache_name"), F.when(~F.lower("url").startswith("https://"), "not https").alias("problem"))
+
+
+def vector_store_problems(store: DataFrame, manifest: dict[str, object], model: str, dim: int) -> DataFrame:
+    """(problem, n) of a vector store: another model or dimension in its manifest, fewer vectors than it says, vectors cut short, repeated keys."""
+    said = [("model", 1)] * (manifest.get("model") != model) + [("dimension", 1)] * (manifest.get("dimensions") != dim)
+    found = store.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("embedding") != dim, F.lit(True))).alias("cut"), (F.count("*") - F.count_distinct("content_hash")).alias("repeated")).first()
+    short = int(manifest.get("vectors", found["n"])) - found["n"]
+    rows = [*said, ("truncated store", short), ("vector length", found["cut"]), ("repeated key", found["repeated"])]
+    return store.sparkSession.createDataFrame([r for r in rows if r[1] > 0], "problem string, n bigint")
 
 
 def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:

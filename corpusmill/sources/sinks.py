@@ -106,9 +106,53 @@ def append_vectors(vectors: DataFrame, path: str, dim: int) -> None:
     checked.write.mode("append").parquet(path)
 
 
+def write_json_lines(rows: DataFrame, path: str, order: list[str], overwrite: bool = False) -> None:
+    """A dataset of any size as JSON lines: keys as the columns stand, nulls kept, no time stamps, rows in ``order``.
+
+    Executors write the parts; their names and the rows in them follow the order, so equal rows give equal text.
+    """
+    ordered = rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    ordered.write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+#: Rows up to which a result is small enough for a file written by the driver.
+REPORT_ROWS = 10_000
+
+
+def _small(rows: DataFrame, order: list[str]) -> list:
+    found = (rows.orderBy(*order) if order else rows).limit(REPORT_ROWS + 1).collect()
+    if len(found) > REPORT_ROWS:
+        raise ValueError("too many rows for a report; write them as JSON lines")
+    return found
+
+
+def report_json(title: str, parts: dict[str, tuple[DataFrame, list[str]]]) -> str:
+    """A report of small tables: per name its rows in order, keys as the columns stand."""
+    body = {name: [r.asDict(recursive=True) for r in _small(rows, order)] for name, (rows, order) in parts.items()}
+    return json.dumps({"title": title, **body}, indent=2, ensure_ascii=False, default=str) + "\n"
+
+
+def report_markdown(title: str, parts: dict[str, tuple[DataFrame, list[str]]]) -> str:
+    """The same for reading: a heading and a table each; bars in cells are escaped, nulls are empty."""
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}"]
+    for name, (rows, order) in parts.items():
+        lines += ["", f"## {name}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
+        lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in _small(rows, order)]
+    return "\n".join(lines) + "\n"
+
+
+def evolve(rows: DataFrame, column: str, kind: str, default: object = None) -> DataFrame:
+    """A snapshot with one more column; ``default`` fills the rows there are and is no default of later ones."""
+    if column in rows.columns:
+        raise ValueError(f"there is a column {column}")
+    return rows.withColumn(column, F.lit(default).cast(kind))
+
+
 def render_json(rows: DataFrame, order: list[str], head: dict[str, object], items: str) -> str:
     """A dataset file's text: fixed key order, no time stamps, rows in ``order``. For results small enough to ship as a file."""
-    ordered = [json.loads(r["j"]) for r in rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
+    texts = rows.select(*order, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("__json"))
+    ordered = [json.loads(r["__json"]) for r in _small(texts, order)]
     return json.dumps(head | {items: ordered}, indent=2, ensure_ascii=False) + "\n"
 
 

@@ -61,7 +61,8 @@ def test_runs_and_backfill(spark, tmp_path):
     report = runs.synchronize_scope(spark, root, "blog", records, pages)
     assert (report["new"], report["refused"], report["missing"]) == (2, {"placeholder_record": 1}, 0)
     assert runs.backfill_store(spark, root, "m", 8) == {"texts": 2, "written": 0}
-    assert runs.backfill_store(spark, root, "m", 8, backfill.hashing_embedder(8)) == {"texts": 2, "written": 2}
+    done = runs.backfill_store(spark, root, "m", 8, backfill.hashing_embedder(8))
+    assert (done["texts"], done["written"], done["embedded_texts"], done["batches"], done["pending_after"], done["stop_reason"]) == (2, 2, 2, 1, 0, None)
     assert runs.backfill_store(spark, root, "m", 8, backfill.hashing_embedder(8))["texts"] == 0
     second = posts(spark, [(1, "one", "One", "<p>alpha beta</p>", None, None), (4, "four", "Four", "<p>delta</p>", None, None)])
     records = C.post_records(second, "https://e.com/").withColumn("ordinal", F.lit(1).cast("bigint"))
