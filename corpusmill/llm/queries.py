@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return similar_vectors.similar_pairs(read_table(spark, base, "evaluate_embeddings"))
+    return similar_vectors.similar_pairs(read_table(spark, base, "evaluate_embeddings"), "certhaven-embed-64", 64)
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:

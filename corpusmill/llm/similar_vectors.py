@@ -346,8 +346,8 @@ def _searcher(dim: int, k: int, least: float, turn: np.ndarray):
 
 def similar_pairs(
     chunks: DataFrame,
-    model: str = "certhaven-embed-64",
-    dim: int = 64,
+    model: str,
+    dim: int,
     k: int = 5,
     least: float = 0.85,
     probes: int = PROBES,

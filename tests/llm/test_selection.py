@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import functools
 import math
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -56,6 +58,9 @@ def test_top_hits(spark):
     assert few.groupBy("document_uri").count().where("count > 1").count() == 0
 
 
+pairs_of = functools.partial(similar_vectors.similar_pairs, model="certhaven-embed-64", dim=64)
+
+
 def exact_pairs(ids, x, k=5, least=0.85):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     out = set()
@@ -78,7 +83,7 @@ def test_similar_vectors(spark):
     rows += [(100_000 + i, f"b{i}", v, "certhaven-embed-64", 0, "x") for i, v in enumerate(bad)]
     rows += [(200_000, "other", rows[0][2], "trial", 0, "x"), (200_001, "h5", rows[0][2], "certhaven-embed-64", 0, "x"), (200_002, None, rows[0][2], "certhaven-embed-64", 0, "x"), (200_003, "m", rows[0][2], None, 0, "x")]
     df = spark.createDataFrame(rows, CHUNKS).repartition(5)
-    got = {tuple(r) for r in similar_vectors.similar_pairs(df).collect()}
+    got = {tuple(r) for r in pairs_of(df).collect()}
     want = exact_pairs([i * 3 for i in range(6000)], x.astype(np.float64))
     assert len(got & want) / len(want) >= 0.97 and len(got & want) / len(got) >= 0.97
     assert all(a < b for a, b in got)
@@ -88,17 +93,17 @@ def test_similar_vectors_on_the_tables(spark, base):
     chunks = read_table(spark, base, "evaluate_embeddings")
     reps = similar_vectors.usable_vectors(chunks, "certhaven-embed-64", 64).toPandas()
     want = exact_pairs(reps["chunk_id"].tolist(), np.stack(reps["embedding"]).astype(np.float64))
-    assert {tuple(r) for r in similar_vectors.similar_pairs(chunks).collect()} == want
+    assert {tuple(r) for r in pairs_of(chunks).collect()} == want
 
 
 def test_one_vector_under_many_texts(spark):
     rng = np.random.default_rng(6)
     hot = list(map(float, rng.standard_normal(64)))
     rows = [(i, f"h{i}", hot if i % 3 == 0 else list(map(float, rng.standard_normal(64))), "certhaven-embed-64", 0, "x") for i in range(300)]
-    got = {tuple(r) for r in similar_vectors.similar_pairs(spark.createDataFrame(rows, CHUNKS)).collect()}
+    got = {tuple(r) for r in pairs_of(spark.createDataFrame(rows, CHUNKS)).collect()}
     assert got == exact_pairs([r[0] for r in rows], np.array([r[2] for r in rows]).astype(np.float32).astype(np.float64))
     for n in (0, 1):
-        assert similar_vectors.similar_pairs(spark.createDataFrame(rows[:n], CHUNKS)).count() == 0
+        assert pairs_of(spark.createDataFrame(rows[:n], CHUNKS)).count() == 0
 
 
 def chunks_of(spark, x):
@@ -112,7 +117,7 @@ def test_divided_buckets(spark, monkeypatch):
     x = (centres[rng.integers(0, 200, 4000)] + 0.25 * rng.standard_normal((4000, 64))).astype(np.float32)
     monkeypatch.setattr(similar_vectors, "TASK_ROWS", 300)
     df, want = chunks_of(spark, x), exact_pairs(list(range(4000)), x.astype(np.float64))
-    got = {tuple(r) for r in similar_vectors.similar_pairs(df, sample_rows=500, block_rows=150, own_rows=50).collect()}
+    got = {tuple(r) for r in pairs_of(df, sample_rows=500, block_rows=150, own_rows=50).collect()}
     assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
 
 
@@ -121,7 +126,7 @@ def test_bucket_that_cannot_be_divided(spark, monkeypatch):
     x = rng.standard_normal(64) + 0.02 * rng.standard_normal((700, 64))
     monkeypatch.setattr(similar_vectors, "TASK_ROWS", 250)
     monkeypatch.setattr(similar_vectors, "LEVELS", 0)
-    got = {tuple(r) for r in similar_vectors.similar_pairs(chunks_of(spark, x), sample_rows=60, block_rows=100).collect()}
+    got = {tuple(r) for r in pairs_of(chunks_of(spark, x), sample_rows=60, block_rows=100).collect()}
     want = exact_pairs(list(range(700)), x.astype(np.float32).astype(np.float64))
     assert len(got & want) / len(want) >= 0.98 and len(got & want) / len(got) >= 0.98
 
@@ -240,3 +245,9 @@ def test_prefix_of_a_hot_source(spark):
     targets = spark.createDataFrame([("hot", 0.6, 1), ("cold", 0.4, 1)], TARGETS)
     shares = {r["source"]: r for r in mixing.mix_shares(df, targets).collect()}
     assert shares["cold"]["tokens"] == shares["cold"]["available"] and abs(shares["hot"]["tokens"] - shares["hot"]["budget"]) <= 3
+
+
+def test_readme_names_the_bounds_of_the_code():
+    text = (Path(__file__).resolve().parents[2] / "README.md").read_text()
+    assert f"at most {similar_vectors.SAMPLE_ROWS:,} rows (`SAMPLE_ROWS`)" in text
+    assert f"at most {similar_vectors.SAMPLE_ROWS // similar_vectors.SAMPLE_PER_LIST:,} lists" in text
