@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.errors import NotPublic
+
 #: Leading chunks of a page that make up a profile.
 PROFILE_CHUNKS = 2
 
@@ -32,7 +34,7 @@ def in_order(rows: DataFrame) -> DataFrame:
 def scope_documents(chunks: DataFrame, documents: DataFrame, public: Sequence[str], scope: str) -> DataFrame:
     """Every chunk of a scope's active documents, as office locations are read."""
     if scope not in public:
-        raise ValueError(f"not a public scope: {scope}")
+        raise NotPublic(f"not a public scope: {scope}")
     return structured_read(chunks, documents, public, F.col("source_scope") == scope)
 
 

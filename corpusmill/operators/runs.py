@@ -13,6 +13,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.errors import BrokenStore, InvalidRequest
 from corpusmill.functions.blocks import BLOCKS, HASH_VERSION
 from corpusmill.functions.text import NORMALIZER_VERSION
 from corpusmill.operators import backfill as fill
@@ -32,23 +33,26 @@ def _ledger(spark: SparkSession, root: str, run: str, mode: str, status: str, co
     append_ledger(spark, root, {"run_id": run, "run_mode": mode, "run_status": status, "at": datetime.now(UTC), "counts": counts, "abort_reason": reason})
 
 
-def synchronize_scope(spark: SparkSession, root: str, scope: str, records: DataFrame, inventory: DataFrame, complete: bool = True) -> dict[str, object]:
+def synchronize_scope(spark: SparkSession, root: str, scope: str, records: DataFrame, inventory: DataFrame, complete: bool = True, mode: str = "sync") -> dict[str, object]:
     """Deliver records of a scope into the store under ``root``; returns the run's counters.
 
     ``records``: (canonical_uri, title, blocks, content_hash, content_type, extractor_version,
     ordinal, reason); those with a reason are refused and counted as failures of their page, which
     keeps what it holds. Pages of the scope that a complete inventory lacks count as missing, after
-    the records; nothing is removed. The run is a failure if anything raises.
+    the records; nothing is removed. The run is a failure if anything raises. ``mode`` is that of the
+    ledger; a backfill is no delivery and is refused before anything is read.
     """
+    if mode == "backfill":
+        raise InvalidRequest("a backfill delivers no records")
     snapshots = Snapshots(spark, root)
     with single_run(spark, root) as run:
-        _ledger(spark, root, run, "sync", "running")
+        _ledger(spark, root, run, mode, "running")
         try:
             counts = _deliver(spark, snapshots, scope, records, inventory, complete, run)
         except BaseException as error:
-            _ledger(spark, root, run, "sync", "failed", reason=type(error).__name__)
+            _ledger(spark, root, run, mode, "failed", reason=type(error).__name__)
             raise
-        _ledger(spark, root, run, "sync", "succeeded", counts)
+        _ledger(spark, root, run, mode, "succeeded", counts)
         return {"run_id": run} | counts
 
 
@@ -102,7 +106,7 @@ def backfill_store(
         eligible = eligible.where(F.col("source_scope").isin(*scopes)) if scopes else eligible
         keyed = eligible.withColumn("chunk_id", F.xxhash64("canonical_uri", "chunk_index"))
         if not fill.broken_hashes(keyed).isEmpty():
-            raise ValueError("a stored chunk is not what its hash says")
+            raise BrokenStore("a stored chunk is not what its hash says")
         planned = durable(fill.plan(keyed, identity, limit))
         texts = planned.count()
         if embedder is None or not texts:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.errors import InvalidRequest, NotEmbedded
 from corpusmill.functions.urls import citation
 
 
@@ -190,7 +191,7 @@ def covered(chunks: DataFrame, identity: str) -> DataFrame:
     """Chunks embedded under an identity; having none at all is an error, unlike a search that finds nothing."""
     rows = chunks.where(F.col("embedding").isNotNull() & (F.col("embedding_model") == identity))
     if rows.isEmpty():
-        raise LookupError(f"no chunk is embedded as {identity}")
+        raise NotEmbedded(f"no chunk is embedded as {identity}")
     return rows
 
 
@@ -204,7 +205,7 @@ def search(chunks: DataFrame, queries: DataFrame, dim: int, public: list[str], s
     chunk_index.
     """
     if documents < 1:
-        raise ValueError("at least one document")
+        raise InvalidRequest("at least one document")
     asked = queries.where(F.length(F.trim("query_text")).between(1, 2000)).select("query_id", "query_embedding")
     ties = ["content_hash", "canonical_uri", "chunk_index"]
     proven = [c for c in ("mapping_status", "parent_uri") if c in chunks.columns]

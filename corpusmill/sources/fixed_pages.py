@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.markup import tidy
 from corpusmill.functions.text import content_text
+from corpusmill.functions.urls import canonical
 from corpusmill.operators.composition import Page, Section, Step, compose_pages
 from corpusmill.sources import declarations
 from corpusmill.sources.declarations import badges, bullets, cards, grid, h2, h3, img, linked, owned, p, pairs, section, text, title, whole
@@ -243,6 +244,23 @@ def allow_list(page: FixedPage) -> dict[str, T.StructType]:
     return found
 
 
+def inventory(tables: Mapping[str, DataFrame], site: str) -> DataFrame:
+    """(canonical_uri) of the fixed pages that exist, from the ids of their anchors alone."""
+    found = None
+    for page in FIXED_PAGES:
+        anchors = [tables[a].select("id") for a in (page.anchors or dict.fromkeys(s.table for s in page.sections)) if a in tables]
+        if not anchors:
+            continue
+        any_row = anchors[0].limit(1)
+        for more in anchors[1:]:
+            any_row = any_row.unionByName(more.limit(1))
+        here = any_row.limit(1).select(F.lit(canonical(page.route, site.rstrip("/") + "/")).alias("canonical_uri"))
+        found = here if found is None else found.unionByName(here)
+    if found is None:
+        raise ValueError("no table of a fixed page")
+    return found
+
+
 def compose_fixed(tables: Mapping[str, DataFrame], page: FixedPage, site: str, texts: Mapping[str, str] | None = None, headers: Sequence[str] = (), hidden: Mapping[tuple[str, str], Sequence[str]] | None = None) -> DataFrame:
     """The record of a fixed page, or none while its anchors are empty, with ``locations`` and ``unnamed_locations`` beside it.
 

@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.errors import RunConflict
+
 
 class _Files:
     """Hadoop's file system under a root, so that any store Spark can reach will do."""
@@ -68,7 +70,7 @@ class Snapshots:
         self.files.delete(f"{name}/{version}")
 
 
-class RunIsActive(RuntimeError):
+class RunIsActive(RunConflict):
     """Another run holds the lock; nothing was done."""
 
 

@@ -108,3 +108,12 @@ def test_source_refs_and_declared_tables(spark):
     assert refs["resources/certification-guideline"] == "subone_cmgsubpage#1" and refs["/#faq"] == "subone_faq#collection"
     assert refs["resources/certification-process"] == "certification-process#composed"
     assert fixed_pages.allow_list(offices := next(p for p in fixed_pages.FIXED_PAGES if p.offices))[offices.offices].names == ["id", "name", "address", "latitude", "longitude"]
+
+
+def test_inventory_of_fixed_pages(spark):
+    tables = everything(spark)
+    found = {r[0] for r in fixed_pages.inventory(tables, "https://site.example").collect()}
+    assert found == {fixed_pages.compose_fixed(tables, p, "https://site.example").first()["canonical_uri"] for p in fixed_pages.FIXED_PAGES}
+    few = tables | {"subone_cmgsubpage": tables["subone_cmgsubpage"].where("false"), "subone_faq": tables["subone_faq"].where("false")}
+    gone = found - {r[0] for r in fixed_pages.inventory(few, "https://site.example").collect()}
+    assert gone == {"https://site.example/resources/certification-guideline", "https://site.example/#faq"}

@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill import commands
+from corpusmill import commands, errors
 from corpusmill.operators import backfill, composition as C, runs
 from corpusmill.operators.hierarchy import ListSpec
+from corpusmill.sources import sinks
 from corpusmill.sources.sinks import Snapshots, single_run
 
 
@@ -90,3 +91,10 @@ def test_commands(spark, tmp_path, base, capsys):
         assert commands.main(["backfill", "--store", root], spark) == 2
     assert commands.main(["sync", "--base", "/nowhere", "--store", root], spark) == 1
     assert commands.main(["query", "chunk_windows", "--base", base, "--to", str(tmp_path / "out")], spark) == 0
+
+
+def test_a_backfill_is_no_delivery(spark, tmp_path):
+    with pytest.raises(errors.InvalidRequest) as caught:
+        runs.synchronize_scope(spark, str(tmp_path), "s", spark.range(0), spark.range(0), mode="backfill")
+    assert caught.value.problem() == {"title": "Invalid Request", "status": 400, "detail": "a backfill delivers no records"}
+    assert issubclass(errors.NotEmbedded, LookupError) and issubclass(sinks.RunIsActive, errors.RunConflict)
