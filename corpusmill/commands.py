@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill import settings
+from corpusmill import scratch, settings
 from corpusmill.operators import backfill, composition, runs
 from corpusmill.session import build_session, ship
 from corpusmill.sources import families, fixed_pages, sinks
@@ -97,7 +97,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "query":
         from corpusmill.plans import registry
 
-        registry.QUERIES[args.name](spark, args.base).write.parquet(args.to)
+        with scratch.scope():
+            registry.QUERIES[args.name](spark, args.base).write.parquet(args.to)
         return 0
     if args.command in REPORTS:
         return write_report(spark, args.command, args.base, args.to)

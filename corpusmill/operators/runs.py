@@ -20,6 +20,7 @@ from corpusmill.operators import backfill as fill
 from corpusmill.operators import synchronize as sync
 from corpusmill.operators.chunking import CHUNKER_VERSION, document_chunks
 from corpusmill.scratch import durable
+from corpusmill.scratch import scope as scope_of_tables
 from corpusmill.sources.sinks import Snapshots, append_ledger, single_run
 
 STORE = (
@@ -45,7 +46,7 @@ def synchronize_scope(spark: SparkSession, root: str, scope: str, records: DataF
     if mode == "backfill":
         raise InvalidRequest("a backfill delivers no records")
     snapshots = Snapshots(spark, root)
-    with single_run(spark, root) as run:
+    with scope_of_tables(), single_run(spark, root) as run:
         _ledger(spark, root, run, mode, "running")
         try:
             counts = _deliver(spark, snapshots, scope, records, inventory, complete, run)
@@ -97,7 +98,7 @@ def backfill_store(
     are stored also where others failed; the run is then closed as failed with its counters.
     """
     snapshots = Snapshots(spark, root)
-    with single_run(spark, root) as run:
+    with scope_of_tables(), single_run(spark, root) as run:
         chunks, documents = snapshots.read("chunks"), snapshots.read("documents")
         if chunks is None or documents is None:
             return {"texts": 0, "written": 0}

@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +44,20 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep() -> int:
-    """Delete the tables written so far; only for when no frame over them is still to run."""
+@contextmanager
+def scope() -> Iterator[None]:
+    """Delete what is written inside when it is left; for work whose results are stored inside it."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        sweep(before)
+
+
+def sweep(keep: int = 0) -> int:
+    """Delete the tables written so far, but for the first ``keep``; only for when no frame over them is still to run."""
     removed = 0
-    while _written:
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark._jvm

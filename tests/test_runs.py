@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill import commands, errors
+from corpusmill import commands, errors, scratch
 from corpusmill.operators import backfill, composition as C, runs
 from corpusmill.operators.hierarchy import ListSpec
 from corpusmill.sources import sinks
@@ -98,3 +98,13 @@ def test_a_backfill_is_no_delivery(spark, tmp_path):
         runs.synchronize_scope(spark, str(tmp_path), "s", spark.range(0), spark.range(0), mode="backfill")
     assert caught.value.problem() == {"title": "Invalid Request", "status": 400, "detail": "a backfill delivers no records"}
     assert issubclass(errors.NotEmbedded, LookupError) and issubclass(sinks.RunIsActive, errors.RunConflict)
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    kept = scratch.durable(spark.range(2))
+    with pytest.raises(RuntimeError), scratch.scope():
+        gone = scratch.durable(spark.range(3))
+        assert gone.count() == 3
+        raise RuntimeError
+    path = gone.inputFiles()[0] if gone.rdd.getNumPartitions() else ""
+    assert kept.count() == 2 and not (path and spark._jvm.java.io.File(path.removeprefix("file:")).exists())
