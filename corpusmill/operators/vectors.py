@@ -60,7 +60,7 @@ def nearest_chunks(
     ties are settled by ``ties``, ascending. Unusable vectors take no part. With ``half`` both sides
     are held to half precision first, as a store of half vectors would.
 
-    The search is exact: queries are a stated set, counted first and held by every task, the
+    The search is exact: queries are a stated set, measured first and held by every task, the
     chunks stream past in Arrow batches, one matrix product each. A batch hands on only what can
     still be among the ``k`` best, ties at its edge included, so the shuffle carries about ``k``
     rows per query and batch instead of a row per pair. More than ``QUERY_BYTES`` of queries are
@@ -71,17 +71,20 @@ def nearest_chunks(
     kinds = dict(chunks.dtypes)
     schema = ", ".join(["query_id bigint", *(f"`{c}` {kinds[c]}" for c in columns), "score double"])
     passing = chunks.where(usable(F.col(vector), dim)).select(*columns, vector)
-    slices = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
-    best = None
-    for at in range(slices):
-        part = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == at)
-        found = passing.mapInPandas(_scorer(chunks.sparkSession, part, dim, k, columns, lane, vector, digits, half), schema)
-        best = found if best is None else best.unionByName(found)
+    score = lambda held: _scorer(chunks.sparkSession, held, dim, k, columns, lane, vector, digits, half)
+    most = max(1, QUERY_BYTES // (dim * 8))
+    held = asked.limit(most + 1).toPandas()
+    if len(held) <= most:
+        best = passing.mapInPandas(score(held), schema)
+    else:
+        slices, best = -(-asked.count() // most), None
+        for at in range(slices):
+            found = passing.mapInPandas(score(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == at).toPandas()), schema)
+            best = found if best is None else best.unionByName(found)
     return nearest(best, ["query_id", *([lane] if lane else [])], list(ties), k)
 
 
-def _scorer(spark: SparkSession, asked: DataFrame, dim: int, k: int, columns: list[str], lane: str | None, vector: str, digits: int, half: bool):
-    held = asked.toPandas()
+def _scorer(spark: SparkSession, held: pd.DataFrame, dim: int, k: int, columns: list[str], lane: str | None, vector: str, digits: int, half: bool):
     matrix = np.stack(held["query_embedding"].to_numpy()).astype(np.float64) if len(held) else np.zeros((0, dim))
     matrix = matrix.astype(np.float16).astype(np.float64) if half else matrix
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
