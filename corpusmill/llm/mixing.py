@@ -106,6 +106,21 @@ def _plan(sums: list, wanted: dict) -> tuple[list[tuple], list[tuple]]:
     return leaves, sources
 
 
+def _round_up(ends: list) -> list[tuple]:
+    """Per leaf whether the document across its budget's end is taken, so that what a source gives stays nearest to its budget leaf by leaf.
+
+    ``ends`` holds one row a leaf: the tokens wanting without that document, and those over with it.
+    """
+    off: dict[str, int] = {}
+    found = []
+    for r in sorted(ends, key=lambda r: (r["source"], r["domain"], r["language"])):
+        so_far = off.get(r["source"], 0)
+        up = abs(so_far + r["over"]) <= abs(so_far - r["short"])
+        off[r["source"]] = so_far + r["over"] if up else so_far - r["short"]
+        found.append((r["source"], r["domain"], r["language"], up))
+    return found
+
+
 _LEAVES = "source string, domain string, language string, available bigint, budget bigint, epochs int, rest bigint"
 _SOURCES = "source string, target_share double, max_repeats int, available bigint, budget bigint"
 _LEAF = ["source", "domain", "language"]
@@ -155,8 +170,12 @@ def _select(documents: DataFrame, targets: DataFrame, seed: int, tokenizer: dict
         if (ends.agg(F.max("n")).first()[0] or 0) <= SORT_ROWS:
             break
     running = F.sum("n_tokens").over(Window.partitionBy(*_LEAF).orderBy("h", "g").rowsBetween(Window.unboundedPreceding, 0))
-    last = open_.withColumn("running", running)
-    done.append(last.withColumn("extra", (F.col("running") - F.col("n_tokens") / 2 <= F.col("left")).cast("int")))
+    last = durable(open_.withColumn("running", running))
+    crosses = (F.col("running") > F.col("left")) & (F.col("running") - F.col("n_tokens") < F.col("left"))
+    ends_at = last.where(crosses).select(*_LEAF, (F.col("left") - F.col("running") + F.col("n_tokens")).alias("short"), (F.col("running") - F.col("left")).alias("over")).collect()
+    taken = spark.createDataFrame(_round_up(ends_at), ", ".join(f"{c} string" for c in _LEAF) + ", up boolean")
+    joined = last.join(_few(taken), _LEAF, "left")
+    done.append(joined.withColumn("extra", F.when(F.col("running") <= F.col("left"), 1).when(crosses & F.col("up"), 1).otherwise(0)))
     columns = ["doc_id", *_LEAF, "n_tokens", (F.col("epochs") + F.col("extra")).alias("copies")]
     chosen = done[0].select(*columns)
     for more in done[1:]:
@@ -172,8 +191,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 17, **toke
     share is its weight, split over the places where it has tokens in proportion to them. No leaf
     gives more than max_repeats times its tokens; what it cannot give goes to sources of the same
     domain and language first, then of the domain, then to all, by their weights. A leaf's budget
-    is spent in whole epochs and the prefix, in seeded hash order, of one more; a prefix ends with
-    the document that brings it nearest to the budget. Documents without text or source, and
+    is spent in whole epochs and the prefix, in seeded hash order, of one more; a prefix ends before or
+    behind the document across its end, whichever keeps the source nearest to its budget over the
+    leaves so far. Documents without text or source, and
     sources without a positive target, are left out; a target without documents has none to give;
     several targets of one source are added. Repeated rows are documents each by themselves.
 
