@@ -215,6 +215,12 @@ SQL = {
       k as (select *, row_number() over (partition by label order by score desc, vec_id) as chunk_rank from p),
       d as (select label, row_number() over (order by score desc, vec_id, label) as document_rank from k where chunk_rank = 1)
       select vec_id, label, score, document_rank::int as document_rank, chunk_rank::int as chunk_rank from k join d using (label) where chunk_rank <= 2 and document_rank <= 8""",
+    "exact_topk_grouped_all": f"""
+      with s as (select q.vec_id as query_id, e.vec_id, e.label, {_cos('e.embedding', 'q.embedding')} as score from embeddings e, (select vec_id, embedding from embeddings where vec_id % 50 = 0) q),
+      p as (select * from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 50),
+      k as (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as chunk_rank from p),
+      d as (select query_id, label, row_number() over (partition by query_id order by score desc, vec_id, label) as document_rank from k where chunk_rank = 1)
+      select query_id, vec_id, label, score, document_rank::int as document_rank, chunk_rank::int as chunk_rank from k join d using (query_id, label) where chunk_rank <= 2 and document_rank <= 8""",
     "knn_ranks": f"""
       with s as (select q.vec_id as query_id, e.vec_id, {_cos('e.embedding', 'q.embedding')} as score from embeddings e, (select vec_id, embedding from embeddings where vec_id % 50 = 0) q),
       r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
@@ -282,3 +288,17 @@ SQL = {
       x as (select g.strategy, k.* from k join d using (case_id, lane, document_uri) join g using (lane) where chunk_rank <= 2 and document_rank <= g.quota)
       select strategy, count(*) as chunks, count(distinct case_id) filter (where document_uri = expected_document_uri) as cases_hit from x group by 1""",
 }
+SQL["strategy_report"] = f"""
+      with {_HITS}, l as (select hit_id, case_id, document_uri, expected_document_uri, top_score, case when lane = 'blog' then 'blog' else 'own' end as lane from ranked),
+      lanes as (select distinct document_uri as page, case when lane = 'blog' then 'blog' else 'own' end as lane from evaluate_retrieval where document_uri is not null),
+      p as (select * from l qualify row_number() over (partition by case_id, lane order by top_score desc, hit_id) <= 50),
+      home as (select * from p where (expected_document_uri, lane) in (select page, lane from lanes) or expected_document_uri is null or expected_document_uri not in (select page from lanes)),
+      hk as (select *, row_number() over (partition by case_id, lane, document_uri order by top_score desc, hit_id) as chunk_rank from home),
+      hd as (select case_id, lane, document_uri, row_number() over (partition by case_id, lane order by top_score desc, hit_id, document_uri) as document_rank from hk where chunk_rank = 1),
+      one as (select * from l qualify row_number() over (partition by case_id order by top_score desc, hit_id) <= 50),
+      uk as (select *, row_number() over (partition by case_id, document_uri order by top_score desc, hit_id) as chunk_rank from one),
+      ud as (select case_id, document_uri, row_number() over (partition by case_id order by top_score desc, hit_id, document_uri) as document_rank from uk where chunk_rank = 1),
+      x as (select 'home' as strategy, case_id, document_uri = expected_document_uri as hit from hk join hd using (case_id, lane, document_uri) where chunk_rank <= 2 and document_rank <= case lane when 'blog' then 2 else 5 end
+            union all select 'unlaned', case_id, document_uri = expected_document_uri from uk join ud using (case_id, document_uri) where chunk_rank <= 2 and document_rank <= 8)
+      select strategy, chunks, cases_hit from ({SQL["strategy_grid"]})
+      union all select strategy, count(*), count(distinct case_id) filter (where hit) from x group by 1"""
