@@ -192,9 +192,9 @@ def _pack_group(turn: int, capacity: int, search: bool):
     return packed
 
 
-def items_of(documents: DataFrame, capacity: int, **tokenizer: str) -> DataFrame:
-    """(doc_id, part_no, token_start, n_tokens, item): what is packed, each part of a text with a number of its own."""
-    counted = count_tokens(documents, ["doc_id"], **tokenizer).where("n_tokens > 0")
+def items_of(counted: DataFrame, capacity: int) -> DataFrame:
+    """(doc_id, part_no, token_start, n_tokens, item) of (doc_id, n_tokens): what is packed, each part of a text with a number of its own."""
+    counted = counted.where("n_tokens > 0")
     part = F.explode(F.sequence(F.lit(1), F.ceil(F.col("n_tokens") / capacity).cast("int")))
     parts = counted.select("doc_id", F.col("n_tokens").alias("all_tokens"), part.alias("part_no")).select(
         "doc_id",
@@ -253,7 +253,7 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, group_items: int
     lower; a group wastes about one bin, so the later turns handle few rows. A turn that needs
     more bins for its rows than the one before is not kept.
     """
-    return pack_items(items_of(documents, capacity, **tokenizer), capacity, group_items)
+    return pack_items(items_of(count_tokens(documents, ["doc_id"], **tokenizer), capacity), capacity, group_items)
 
 
 def container_fill(documents: DataFrame, capacity: int = 2048, **tokenizer: str) -> DataFrame:
@@ -276,9 +276,9 @@ def search_gain(documents: DataFrame, capacities: tuple[int, ...] = (512, 1024,
 
     (capacity, best_fit, searched, least_containers, best_fit_share, searched_share)
     """
-    rows = None
+    rows, counted = None, durable(count_tokens(documents, ["doc_id"], **tokenizer))
     for capacity in capacities:
-        items = items_of(documents, capacity, **tokenizer)
+        items = items_of(counted, capacity)
         plain, searched = (_fill(pack_items(items, capacity, search=search), capacity) for search in (False, True))
         row = plain.select(F.lit(capacity).alias("capacity"), F.col("containers").alias("best_fit"), F.col("fill_share").alias("best_fit_share")).crossJoin(
             searched.select(F.col("containers").alias("searched"), "least_containers", F.col("fill_share").alias("searched_share"))

@@ -248,6 +248,6 @@ def test_prefix_of_a_hot_source(spark):
 
 
 def test_readme_names_the_bounds_of_the_code():
-    text = (Path(__file__).resolve().parents[2] / "README.md").read_text()
+    text = " ".join((Path(__file__).resolve().parents[2] / "README.md").read_text().split())
     assert f"at most {similar_vectors.SAMPLE_ROWS:,} rows (`SAMPLE_ROWS`)" in text
     assert f"at most {similar_vectors.SAMPLE_ROWS // similar_vectors.SAMPLE_PER_LIST:,} lists" in text
