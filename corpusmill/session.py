@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import zipfile
@@ -42,12 +43,15 @@ def build_session(
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors of a cluster, once per application.
 
-    Executors that already have it on their path are unaffected; a local master needs nothing.
+    Executors that already have it on their path are unaffected; a local master needs nothing where
+    its workers find the package by the working folder or the path.
     """
     context = spark.sparkContext
-    if re.fullmatch(r"local(\[.*\])?", context.master) or getattr(context, "_corpusmill_shipped", False):
-        return
     root = Path(__file__).resolve().parent
+    found = {Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))}
+    at_hand = re.fullmatch(r"local(\[.*\])?", context.master) and root.parent in {p.resolve() for p in found}
+    if at_hand or getattr(context, "_corpusmill_shipped", False):
+        return
     folder = Path(tempfile.mkdtemp(prefix="corpusmill-ship-"))
     archive = folder / "corpusmill.zip"
     with zipfile.ZipFile(archive, "w") as out:
