@@ -123,6 +123,9 @@ def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     want = sorted((r["post_id"], r["line_no"]) for r in repeated_lines.repeated_lines(df).collect())
     monkeypatch.setattr(repeated_lines, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(repeated_lines, "TREE_TEMPLATES", 2)
+    monkeypatch.setattr(repeated_lines, "LEAF_LINES", 0)
+    assert sorted((r["post_id"], r["line_no"]) for r in repeated_lines.repeated_lines(df.where("post_id < 0")).collect()) == []
+    monkeypatch.setattr(repeated_lines, "LEAF_LINES", 1)
     assert sorted((r["post_id"], r["line_no"]) for r in repeated_lines.repeated_lines(df).collect()) == want == brute(rows)
 
 
