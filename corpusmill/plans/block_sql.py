@@ -150,6 +150,16 @@ FAQ_RECORDS = f"""
          len(kept)::int as n_blocks, (len(ps) - len(kept))::int as half_pairs, dictionary_name || ':' || faq_key as source_ref,
          case when url is null then 'unusable_identity' when trim(title) = '' then 'empty title' when len(kept) = 0 then 'no content blocks' end as reason from c"""
 
+IMAGE_RECORDS = rf"""
+  with r as (select doc_id, {content_text("coalesce(content_type, '')")} as framework, {content_text("coalesce(lang, '')")} as summary, coalesce(text, '') as body from documents where source = 'image_descriptions'),
+  p as (select *, list_filter(list_transform(list_transform(regexp_split_to_array(body, '\n[ \t]*\n\s*'), lambda x: trim(replace(x, chr(13), ''), ' ')), lambda x: {content_text('x')}), lambda x: x <> '') as ps from r)
+  select 'https://www.certhaven.example/images/' || doc_id || '.png' as canonical_uri, framework as title,
+         sha256('DOC' || {FIELD} || {hashed_text('framework')} || {RECORD} || case when framework <> '' then 'H' || {FIELD} || '2' || {FIELD} || {hashed_text('framework')} || {RECORD} else '' end
+                || case when summary <> '' then 'P' || {FIELD} || {hashed_text('summary')} || {RECORD} else '' end
+                || {_joined(f"list_transform(ps, lambda x: 'P' || {FIELD} || {hashed_text('x')} || {RECORD})")}) as content_hash,
+         ((framework <> '')::int + (summary <> '')::int + len(ps))::int as n_blocks, 'images/' || doc_id || '.png' as source_ref,
+         case when trim(framework) = '' then 'empty title' when framework = '' and summary = '' and len(ps) = 0 then 'no content blocks' end as reason from p"""
+
 # --- snapshots ---------------------------------------------------------------------------
 
 _FOLD = r"trim(regexp_replace(nfc_normalize({}), '[\s\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"

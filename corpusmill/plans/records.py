@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.spread import spread
 from corpusmill.operators import composition as C
 from corpusmill.operators.hierarchy import ListSpec
-from corpusmill.plans.block_sql import FAQ_RECORDS
+from corpusmill.plans.block_sql import FAQ_RECORDS, IMAGE_RECORDS
 from corpusmill.sources.tables import read_table
 
 SUPPLIERS = ListSpec("link", "s_nationkey", "s_suppkey", "supplier", ("s_name",), order=("s_suppkey",))
@@ -62,6 +62,7 @@ QUERIES = {f.__name__: f for f in (composed_pages, blog_records, faq_records, im
 
 SQL = {
     "faq_records": FAQ_RECORDS,
+    "image_records": IMAGE_RECORDS,
     "composed_pages": """
       with l as (select s_nationkey, string_agg(s_name, chr(31) order by s_suppkey) as items from supplier group by 1),
       n as (select n_nationkey, 'H' || chr(31) || '2' || chr(31) || n_name || chr(30)
