@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.keys import sampled
-from corpusmill.scratch import durable
+from corpusmill.scratch import durable, release
 
 #: Mean rows of a list, lists that are searched together as one bucket, rows beyond which a bucket is divided into lists of its own.
-LIST_ROWS, BUCKET_LISTS, BLOCK_ROWS = 16, 16, 4096
+LIST_ROWS, BUCKET_LISTS, BLOCK_ROWS = 16, 16, 32_768
+#: Rows that a bucket of several lists is meant to have at most, and mean rows of a bucket of the second round.
+BUCKET_ROWS, ROUND_ROWS = 8192, 2048
 #: The lists are fitted on at most so many rows; every row is then indexed.
 SAMPLE_ROWS, SAMPLE_PER_LIST = 262_144, 12
 #: Rows of a bucket on which its own lists are fitted, mean rows of these, and how often buckets are divided.
@@ -26,7 +28,9 @@ TASK_ROWS = 32_768
 #: Divided buckets up to which they are sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_BUCKETS = 200_000
 #: Lists that a row is looked up in, its own included, and groups of lists that are looked at for them.
-PROBES, GROUP_PROBES = 4, 8
+PROBES, GROUP_PROBES = 6, 24
+#: A row looks for so many times ``k`` rows, since what it finds is also found by the other side, which may rank it higher.
+BOTH_SIDES = 3
 #: Columns after which partial distances are tested, and the width of the test in standard deviations.
 COLUMN_BLOCKS, EPSILON = (16, 32), 2.1
 
@@ -93,12 +97,12 @@ def _groups(centroids: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray
     return _cluster(centroids, max(1, int(np.sqrt(len(centroids)) / 2)), rng)
 
 
-def _buckets(centroids: np.ndarray, group_of: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Similar lists of one group share a bucket of about ``BUCKET_LISTS``."""
+def _buckets(centroids: np.ndarray, group_of: np.ndarray, rng: np.random.Generator, most: int) -> np.ndarray:
+    """Similar lists of one group share a bucket of about ``most``."""
     bucket_of, made = np.zeros(len(centroids), dtype=np.int64), 0
     for group in np.unique(group_of):
         own = np.flatnonzero(group_of == group)
-        parts, _ = _cluster(centroids[own], -(-len(own) // BUCKET_LISTS), rng)
+        parts, _ = _cluster(centroids[own], -(-len(own) // most), rng)
         bucket_of[own] = made + parts
         made += int(parts.max()) + 1
     return bucket_of
@@ -114,7 +118,7 @@ def fit_lists(sample: np.ndarray, rows: int, seed: int, list_rows: int = LIST_RO
         lists = Lists(centroids, *_groups(centroids, rng), one, one).nearest(sample, 1)[:, 0]
         centroids = _means(sample, lists, centroids).astype(np.float32)
     group_of, heads = _groups(centroids, rng)
-    fitted = Lists(centroids, group_of, heads.astype(np.float32), _buckets(centroids, group_of, rng), one)
+    fitted = Lists(centroids, group_of, heads.astype(np.float32), _buckets(centroids, group_of, rng, max(1, min(BUCKET_LISTS, BUCKET_ROWS * count // max(1, rows)))), one)
     own = np.bincount(fitted.bucket_of[fitted.nearest(sample, 1)[:, 0]], minlength=int(fitted.bucket_of.max()) + 1)
     fitted.rows = np.ceil(own * (rows / max(1, len(sample)))).astype(np.int64)
     return fitted
@@ -308,12 +312,13 @@ def _divide(copies: DataFrame, dim: int, seed: int, block_rows: int, own_rows: i
     return current
 
 
-def _in_blocks(copies: DataFrame, block_rows: int) -> DataFrame:
+def _in_blocks(copies: DataFrame, block_rows: int, placed: DataFrame | None = None) -> DataFrame:
     """Buckets as (bucket, m, q): members of block m against what is looked up in block q.
 
     Only a bucket that could not be divided, its rows being too much alike, has several blocks of members.
+    ``placed``: the copies' (bucket, home), where these are at hand without the vectors.
     """
-    sizes = durable(copies.groupBy("bucket").agg(F.count_if("home").alias("own"), F.count("*").alias("all")).where((F.col("own") > block_rows) | (F.col("all") > TASK_ROWS)))
+    sizes = durable((copies if placed is None else placed).groupBy("bucket").agg(F.count_if("home").alias("own"), F.count("*").alias("all")).where((F.col("own") > block_rows) | (F.col("all") > TASK_ROWS)))
     many = sizes.count()
     plain = [F.lit(0).alias("m"), F.lit(0).alias("q"), F.col("home").alias("member"), F.lit(True).alias("asks")]
     if not many:
@@ -330,20 +335,80 @@ def _in_blocks(copies: DataFrame, block_rows: int) -> DataFrame:
 
 def _searcher(dim: int, k: int, least: float, turn: np.ndarray):
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(_stacked(group["vector"], dim).astype(np.float64)) @ turn
+        turned = lambda x: _unit(x.astype(np.float64)) @ turn
+        raw = _stacked(group["vector"], dim)
         ids, member, asks = group["chunk_id"].to_numpy(), group["member"].to_numpy(), np.flatnonzero(group["asks"].to_numpy())
-        members, named = x[member], ids[member]
+        members, named = turned(raw[member]), ids[member]
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for at in range(0, len(asks), 1024):
             own = asks[at : at + 1024]
-            a, b, cosine = scan(x[own], members, least, k, named, ids[own])
-            found.append((ids[own[a]], named[b], cosine))
+            a, b, cosine = scan(turned(raw[own]), members, least, BOTH_SIDES * k, named, ids[own])
+            found.append((ids[own[a]], named[b], np.round(cosine, 12)))
         a, b, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pd.DataFrame({"chunk_id": a, "other": b, "cosine": cosine})
+        a, b, cosine = np.r_[a, b], np.r_[b, a], np.r_[cosine, cosine]
+        order = np.lexsort((b, -cosine, a))
+        a, b, cosine = a[order], b[order], cosine[order]
+        stay = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        a, b, cosine = a[stay], b[stay], cosine[stay]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        return pd.DataFrame({"chunk_id": a, "other": b, "cosine": cosine})[rank < k]
 
     return search
 
 
+_FOUND = "chunk_id bigint, other bigint, cosine double"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most similar of every row among what was found, each once; one shuffle by the row."""
+    once = found.repartition("chunk_id").groupBy("chunk_id", "other").agg(F.max("cosine").alias("cosine"))
+    best = Window.partitionBy("chunk_id").orderBy(F.col("cosine").desc(), "other")
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+
+
+def _first_round(indexed: DataFrame, rows: int, dim: int, k: int, least: float, probes: int, list_rows: int, seed: int, sample_rows: int, block_rows: int, own_rows: int) -> DataFrame:
+    """What the probed lists give: (chunk_id, other, cosine), up to ``k`` of each row."""
+    wanted = min(sample_rows, max(4096, SAMPLE_PER_LIST * (rows // list_rows)))
+    # no vector is left more than k + 1 times, so a sample by vectors is as bounded as it is meant to be
+    sample = _collected(indexed.where(sampled(wanted / rows, seed, "embedding")), dim)
+    if len(sample) < 2:
+        sample = _collected(indexed.limit(4096), dim)
+    lists = fit_lists(sample, rows, seed, list_rows)
+    shared = indexed.sparkSession.sparkContext.broadcast(lists)
+    copies = indexed.mapInPandas(_assigner(shared, dim, probes), _COPIES)
+    if lists.rows.max() > block_rows:
+        blocks = _in_blocks(_divide(copies, dim, seed, block_rows, own_rows), block_rows)
+    else:
+        blocks = copies.select("bucket", F.lit(0).alias("m"), F.lit(0).alias("q"), F.col("home").alias("member"), F.lit(True).alias("asks"), "chunk_id", "vector")
+    found = blocks.groupBy("bucket", "m", "q").applyInPandas(_searcher(dim, k, least, rotation(dim, seed)), _FOUND)
+    return durable(_best(found, k))
+
+
+def _second_round(indexed: DataFrame, near: DataFrame, rows: int, dim: int, k: int, least: float, seed: int, block_rows: int) -> DataFrame:
+    """What rows find among those that share a label with them, the smallest chunk_id two steps away along ``near``.
+
+    Rows of one neighbourhood that lists kept apart mostly have neighbours in common, and so one label.
+    """
+    both = near.select("chunk_id", "other").unionByName(near.select(F.col("other").alias("chunk_id"), F.col("chunk_id").alias("other")))
+    label = F.least("chunk_id", "other")
+    one = durable(both.groupBy("chunk_id").agg(F.min(label).alias("label"))).select(F.col("chunk_id").alias("other"), "label")
+    bins = -(-rows // ROUND_ROWS)
+    two = both.join(one, "other").groupBy("chunk_id").agg(F.min("label").alias("label"))
+    placed = durable(two.select("chunk_id", F.pmod(F.xxhash64(F.lit(seed), "label"), F.lit(bins)).cast("bigint").alias("bucket"), F.lit(True).alias("home")))
+    copies = indexed.mapInPandas(_plain(dim), "chunk_id bigint, vector binary").join(placed, "chunk_id")
+    blocks = _in_blocks(copies, block_rows, placed)
+    return blocks.groupBy("bucket", "m", "q").applyInPandas(_searcher(dim, k, least, rotation(dim, seed)), _FOUND)
+
+
+def _plain(dim: int):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            every = np.arange(len(batch))
+            yield _copies(_vectors(batch["embedding"], dim), batch["chunk_id"].to_numpy(), every, every, every >= 0)[["chunk_id", "vector"]]
+
+    return pack
+
+
 def similar_pairs(
     chunks: DataFrame,
     model: str,
@@ -368,7 +433,10 @@ def similar_pairs(
     looked up in its ``probes`` nearest ones. Similar lists form buckets, each searched as a
     whole by the adaptive dimension scan of ``scan``, so a row travels once to each bucket
     that holds a probed list. Where the sample shows buckets of more than ``block_rows`` rows,
-    these are counted and divided into lists of their own, see ``_divide``. Rows sharing one
+    these are counted and divided into lists of their own, see ``_divide``. What one row finds is
+    found by the other too. A list is far wider than a neighbourhood once there are many more rows
+    than the sample has, so neighbours are then kept apart: a second round compares all rows that
+    reach one smallest chunk_id over the neighbours found so far. Rows sharing one
     vector beyond the first ``k`` + 1 are not indexed: their neighbours are the first ``k`` of
     their vector, exactly.
     """
@@ -390,20 +458,8 @@ def similar_pairs(
         behind = crowd.select("h1", "h2", "chunk_id").join(first.select("chunk_id"), "chunk_id", "left_anti")
         direct = behind.join(heads, ["h1", "h2"]).select(F.explode("heads").alias("chunk_id_a"), F.col("chunk_id").alias("chunk_id_b"))
         indexed = reps.join(behind.select("chunk_id"), "chunk_id", "left_anti")
-    wanted = min(sample_rows, max(4096, SAMPLE_PER_LIST * (rows // list_rows)))
-    # no vector is left more than k + 1 times, so a sample by vectors is as bounded as it is meant to be
-    sample = _collected(indexed.where(sampled(wanted / rows, seed, "embedding")), dim)
-    if len(sample) < 2:
-        sample = _collected(indexed.limit(4096), dim)
-    lists = fit_lists(sample, rows, seed, list_rows)
-    shared = spark.sparkContext.broadcast(lists)
-    copies = indexed.mapInPandas(_assigner(shared, dim, probes), _COPIES)
-    if lists.rows.max() > block_rows:
-        blocks = _in_blocks(_divide(copies, dim, seed, block_rows, own_rows), block_rows)
-    else:
-        blocks = copies.select("bucket", F.lit(0).alias("m"), F.lit(0).alias("q"), F.col("home").alias("member"), F.lit(True).alias("asks"), "chunk_id", "vector")
-    found = blocks.groupBy("bucket", "m", "q").applyInPandas(_searcher(dim, k, least, rotation(dim, seed)), "chunk_id bigint, other bigint, cosine double")
-    best = Window.partitionBy("chunk_id").orderBy(F.col("cosine").desc(), "other")
-    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = _first_round(indexed, rows, dim, k, least, probes, list_rows, seed, sample_rows, block_rows, own_rows)
+    release(spark)
+    top = _best(near.unionByName(_second_round(indexed, near, rows, dim, k, least, seed, block_rows)), k)
     pairs = top.select(F.least("chunk_id", "other").alias("chunk_id_a"), F.greatest("chunk_id", "other").alias("chunk_id_b"))
     return (pairs.unionByName(direct) if direct is not None else pairs).distinct()

@@ -9,6 +9,7 @@ than the row files of ``DataFrame.checkpoint``.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,12 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver drop plans that nothing holds any more, so that shuffle files of finished steps leave the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """Delete what is written inside when it is left; for work whose results are stored inside it."""
