@@ -51,13 +51,13 @@ def _leaf_records(block: Column, clean: Callable[[Column], Column]) -> Column:
     )
 
 
-def serialize(title: Column, blocks: Column, compose_unicode: bool = False) -> Column:
-    """The canonical string of a document: its title, then a record per block in order.
+def title_record(title: Column, compose_unicode: bool = False) -> Column:
+    """The canonical string of a document without blocks."""
+    return _record("DOC", hash_text(title, compose_unicode))
 
-    Decorative images add nothing; a null field is empty. Composition runs in Python and cannot
-    stand inside the lambdas of an array, so texts are composed where blocks are made (``parse_blocks``
-    with ``compose_unicode``, HTML conversion); ``compose_unicode`` here is for the title.
-    """
+
+def block_records(blocks: Column) -> Column:
+    """A record per block in order, as they stand in the canonical string."""
 
     def clean(text: Column) -> Column:
         return hash_text(text, compose_unicode=False)
@@ -66,8 +66,17 @@ def serialize(title: Column, blocks: Column, compose_unicode: bool = False) -> C
         pair = F.concat(_record("FAQ", clean(block["question"])), F.array_join(F.transform(block["answer"], lambda a: _leaf_records(a, clean)), ""), _record("ENDFAQ"))
         return F.when(block["type"] == "faq_pair", pair).otherwise(_leaf_records(block, clean))
 
-    body = F.array_join(F.transform(F.coalesce(blocks, F.array().cast(BLOCKS)), records), "")
-    return F.concat(_record("DOC", hash_text(title, compose_unicode)), body)
+    return F.array_join(F.transform(F.coalesce(blocks, F.array().cast(BLOCKS)), records), "")
+
+
+def serialize(title: Column, blocks: Column, compose_unicode: bool = False) -> Column:
+    """The canonical string of a document: its title, then a record per block in order.
+
+    Decorative images add nothing; a null field is empty. Composition runs in Python and cannot
+    stand inside the lambdas of an array, so texts are composed where blocks are made (``parse_blocks``
+    with ``compose_unicode``, HTML conversion); ``compose_unicode`` here is for the title.
+    """
+    return F.concat(title_record(title, compose_unicode), block_records(blocks))
 
 
 def document_hash(title: Column, blocks: Column) -> Column:

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.blocks import BLOCK, BLOCKS, LEAF, document_hash, has_text
+from corpusmill.functions.blocks import BLOCK, BLOCKS, LEAF, block_records, document_hash, has_text, title_record
 from corpusmill.functions.markup import html_blocks
-from corpusmill.functions.text import composed, content_text, headed, paragraphs
+from corpusmill.functions.text import composed, content_text, digest, hash_text, headed, paragraphs
 from corpusmill.functions.urls import canonical_url
 from corpusmill.operators.hierarchy import ListSpec, ordered_children
 from corpusmill.operators.synchronize import acceptance_gate, raw_gate
@@ -181,13 +181,16 @@ def compose_pages(tables: Mapping[str, DataFrame], page: Page) -> DataFrame:
     ``reason`` is why a page is refused, or null: a slug that makes no URL, or the first failure of
     the acceptance gate. Pages that are not published are left out. Sections appear in declared
     order; a null or dangling link leaves a section out and names it in ``missing_sections``.
+
+    A section's blocks and their part of the canonical string are made once for each of its rows, before
+    pages join it, and no Python runs over whole pages: rows that wait for Python are kept on disk.
     """
     clean = {name: tidied(df) for name, df in tables.items()}
     for table, column, value in page.placeholders:
         clean[table] = clean[table].withColumn(column, F.when(F.col(column) == value, "").otherwise(F.col(column)))
     links = [s.link for s in page.sections if s.link]
     pages = clean[page.table].where(page.published) if page.published else clean[page.table]
-    pages = pages.select(F.col(page.page_id).alias("__page"), F.col(page.slug).alias("__slug"), F.col(page.title).alias("title"), *dict.fromkeys(links))
+    pages = pages.select(F.col(page.page_id).alias("__page"), canonical_url(F.col(page.slug), page.base).alias("__uri"), F.col(page.title).alias("title"), hash_text(F.col(page.title)).alias("__title"), *dict.fromkeys(links))
     for section in page.sections:
         own = clean[section.table].select(F.col(section.table_id).alias("__sid"), *section.fields)
         for spec in section.lists:
@@ -198,23 +201,45 @@ def compose_pages(tables: Mapping[str, DataFrame], page: Page) -> DataFrame:
             own = own.withColumn("__one", F.lit(1)).join(F.broadcast(every), "__one", "left").drop("__one")
         names = [*section.fields, *[s.name for s in (*section.lists, *section.whole_lists)]]
         body = F.struct(*names) if names else F.struct("__sid")
+        made = _made(own.select("__sid", body.alias("__row")) if section.link else own.agg(F.min_by(body, "__sid").alias("__row")), section)
         if section.link:
-            pages = pages.join(own.select(F.col("__sid").alias(section.link), body.alias(f"__{section.name}")), section.link, "left")
+            pages = pages.join(made.withColumnRenamed("__sid", section.link), section.link, "left")
         else:
-            first = own.agg(F.min_by(body, "__sid").alias(f"__{section.name}")).withColumn("__one", F.lit(1))
-            pages = pages.withColumn("__one", F.lit(1)).join(F.broadcast(first), "__one", "left").drop("__one")
-    blocks = [F.when(F.col(f"__{s.name}").isNotNull(), F.concat(no_blocks(), *[_step_blocks(step, F.col(f"__{s.name}")) for step in s.steps])).otherwise(no_blocks()) for s in page.sections]
-    out = pages.withColumn("blocks", F.concat(no_blocks(), *blocks))
-    out = out.withColumn("missing_sections", F.array_compact(F.array(*[F.when(F.col(f"__{s.name}").isNull(), F.lit(s.name)) for s in page.sections])))
-    out = out.withColumn("images", F.concat(*[F.coalesce(_images(s, F.col(f"__{s.name}")), F.array().cast("array<struct<section:string,src:string>>")) for s in page.sections]))
-    out = out.withColumn("canonical_uri", canonical_url(F.col("__slug"), page.base)).withColumn("extractor_version", F.lit(page.extractor_version))
-    return _finished(out, page.scope, page.content_type, F.concat(F.lit(page.table + "#"), F.col("__page").cast("string")), ["missing_sections", "images"])
-
-
-def _finished(rows: DataFrame, scope: str, content_type: str, source_ref: Column, extra: list[str], refused: Column | None = None) -> DataFrame:
-    """Records with their hash and the reason they are refused for."""
-    says = F.exists("blocks", has_text)
-    gate = acceptance_gate(F.col("canonical_uri"), F.col("canonical_uri"), F.col("title"), F.col("blocks"), says, F.col("extractor_version"))
+            pages = pages.withColumn("__one", F.lit(1)).join(F.broadcast(made.withColumn("__one", F.lit(1))), "__one", "left").drop("__one")
+    each = lambda part, default: [F.coalesce(f"__{s.name}_{part}", default) for s in page.sections]
+    out = pages.withColumn("blocks", F.concat(no_blocks(), *each("blocks", no_blocks())))
+    out = out.withColumn("missing_sections", F.array_compact(F.array(*[F.when(F.col(f"__{s.name}_there").isNull(), F.lit(s.name)) for s in page.sections])))
+    out = out.withColumn("images", F.concat(*each("images", F.array().cast("array<struct<section:string,src:string>>"))))
+    out = out.withColumn("canonical_uri", F.col("__uri")).withColumn("extractor_version", F.lit(page.extractor_version))
+    text = digest(F.concat(title_record(F.col("__title")), *each("text", F.lit(""))))
+    filled = F.filter(F.array(*each("count", F.lit(0))), lambda n: n > 0)
+    says = reduce(lambda x, y: x | y, each("says", F.lit(False)))
+    return _finished(out, page.scope, page.content_type, F.concat(F.lit(page.table + "#"), F.col("__page").cast("string")), ["missing_sections", "images"], known=(text, filled, says))
+
+
+def _made(rows: DataFrame, section: Section) -> DataFrame:
+    """What every row of a section, in ``__row``, gives its pages; a section that is not there is null in all of it."""
+    row = F.col("__row")
+    there = F.when(row.isNotNull(), F.lit(True))
+    rows = rows.withColumn("__blocks", F.when(there, F.concat(no_blocks(), *[_step_blocks(step, row) for step in section.steps])))
+    parts = {
+        "there": there,
+        "blocks": F.col("__blocks"),
+        "text": F.when(there, block_records(F.col("__blocks"))),
+        "count": F.when(there, F.size("__blocks")),
+        "says": F.exists("__blocks", has_text),
+        "images": _images(section, row),
+    }
+    return rows.select(*[c for c in rows.columns if c == "__sid"], *[value.alias(f"__{section.name}_{part}") for part, value in parts.items()])
+
+
+def _finished(rows: DataFrame, scope: str, content_type: str, source_ref: Column, extra: list[str], refused: Column | None = None, known: tuple[Column, Column, Column] | None = None) -> DataFrame:
+    """Records with their hash and the reason they are refused for.
+
+    ``known``: the hash, an array that is empty if there are no blocks, and whether any says something, where these were made without the blocks.
+    """
+    content_hash, filled, says = known or (document_hash(F.col("title"), F.col("blocks")), F.col("blocks"), F.exists("blocks", has_text))
+    gate = acceptance_gate(F.col("canonical_uri"), F.col("canonical_uri"), F.col("title"), filled, says, F.col("extractor_version"))
     reason = F.when(F.col("canonical_uri").isNull(), "unusable_identity")
     if refused is not None:
         reason = reason.when(refused.isNotNull(), refused)
@@ -222,7 +247,7 @@ def _finished(rows: DataFrame, scope: str, content_type: str, source_ref: Column
         "canonical_uri",
         "title",
         "blocks",
-        document_hash(F.col("title"), F.col("blocks")).alias("content_hash"),
+        content_hash.alias("content_hash"),
         *extra,
         F.lit(scope).alias("source_scope"),
         F.lit(content_type).alias("content_type"),
