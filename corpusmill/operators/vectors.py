@@ -61,51 +61,94 @@ def nearest_chunks(
     are held to half precision first, as a store of half vectors would.
 
     The search is exact: queries are a stated set, measured first and held by every task, the
-    chunks stream past in Arrow batches, one matrix product each. A batch hands on only what can
-    still be among the ``k`` best, ties at its edge included, so the shuffle carries about ``k``
-    rows per query and batch instead of a row per pair. More than ``QUERY_BYTES`` of queries are
-    taken in slices of that size, the chunks passing by once for each.
+    chunks stream past in Arrow batches, one matrix product each. They pass twice: first each task gives
+    the ``k`` best scores of every query, from which the least score that counts is known; then only rows
+    that reach it are handed on, ties at the edge included, so the shuffle carries about ``k`` rows per
+    query, however many queries and tasks there are. More than ``QUERY_BYTES`` of queries are
+    taken in slices of that size, the chunks passing by once more for each.
     """
     asked = queries.where(usable(F.col("query_embedding"), dim)).select("query_id", "query_embedding")
     columns = list(dict.fromkeys([*([lane] if lane else []), *ties, *keep]))
     kinds = dict(chunks.dtypes)
     schema = ", ".join(["query_id bigint", *(f"`{c}` {kinds[c]}" for c in columns), "score double"])
     passing = chunks.where(usable(F.col(vector), dim)).select(*columns, vector)
-    score = lambda held: _scorer(chunks.sparkSession, held, dim, k, columns, lane, vector, digits, half)
+
+    def score(held: pd.DataFrame) -> DataFrame:
+        shared = _held(chunks.sparkSession, held, dim, half)
+        edges = _edges(passing.select(*([lane] if lane else []), vector), shared, k, lane, vector, digits, half)
+        return passing.mapInPandas(_scorer(chunks.sparkSession, shared, edges, columns, lane, vector, digits, half), schema)
+
     most = max(1, QUERY_BYTES // (dim * 8))
     held = asked.limit(most + 1).toPandas()
     if len(held) <= most:
-        best = passing.mapInPandas(score(held), schema)
+        best = score(held)
     else:
         slices, best = -(-asked.count() // most), None
         for at in range(slices):
-            found = passing.mapInPandas(score(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == at).toPandas()), schema)
+            found = score(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == at).toPandas())
             best = found if best is None else best.unionByName(found)
     return nearest(best, ["query_id", *([lane] if lane else [])], list(ties), k)
 
 
-def _scorer(spark: SparkSession, held: pd.DataFrame, dim: int, k: int, columns: list[str], lane: str | None, vector: str, digits: int, half: bool):
+def _held(spark: SparkSession, held: pd.DataFrame, dim: int, half: bool):
     matrix = np.stack(held["query_embedding"].to_numpy()).astype(np.float64) if len(held) else np.zeros((0, dim))
     matrix = matrix.astype(np.float16).astype(np.float64) if half else matrix
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    shared = spark.sparkContext.broadcast((held["query_id"].to_numpy(), matrix))
+    return spark.sparkContext.broadcast((held["query_id"].to_numpy(), matrix))
+
+
+def _scored_parts(batches: Iterator[pd.DataFrame], matrix: np.ndarray, lane: str | None, vector: str, digits: int, half: bool) -> Iterator[tuple[object, pd.DataFrame, np.ndarray]]:
+    """(lane, rows, their scores with every query), part by part."""
+    rows = max(1, SCORES // max(1, len(matrix)))
+    for batch in batches:
+        for at in range(0, len(batch) if len(matrix) else 0, rows):
+            part = batch.iloc[at : at + rows]
+            x = np.stack(part[vector].to_numpy()).astype(np.float16 if half else np.float64).astype(np.float64)
+            found = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ matrix.T, digits)
+            for name, own in part.groupby(lane).indices.items() if lane else [("", np.arange(len(part)))]:
+                yield name, part.iloc[own], found[own]
+
+
+def _lane_name(name: object) -> str | None:
+    return None if pd.isna(name) else str(name)
+
+
+def _edges(passing: DataFrame, shared, k: int, lane: str | None, vector: str, digits: int, half: bool) -> dict[str | None, np.ndarray]:
+    """Per lane every query's ``k``-th best score, -inf where there are fewer rows; one number per query and lane comes to the driver."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str | None, np.ndarray] = {}
+        for name, _, scores in _scored_parts(batches, shared.value[1], lane, vector, digits, half):
+            key = _lane_name(name)
+            every = np.concatenate([held[key], scores.astype(np.float32)]) if key in held else scores.astype(np.float32)
+            held[key] = np.partition(every, len(every) - k, axis=0)[len(every) - k :] if len(every) > k else every
+        for key, scores in held.items():
+            for at in range(0, scores.shape[1], 10_000):
+                yield pd.DataFrame({"lane": key, "place": np.arange(at, min(at + 10_000, scores.shape[1])), "scores": list(scores[:, at : at + 10_000].T)})
+
+    tops = passing.mapInPandas(best, "lane string, place int, scores array<float>")
+    kth = F.get(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), F.lit(k - 1))
+    found = tops.groupBy("lane", "place").agg(kth.alias("edge")).toPandas()
+    # single precision and the last bits of a product stay below this
+    slack = 1e-6 + 1.5 * 10.0**-digits
+    edges: dict[str | None, np.ndarray] = {}
+    for name, own in found.groupby("lane", dropna=False):
+        edge = edges[_lane_name(name)] = np.full(len(shared.value[0]), -np.inf)
+        edge[own["place"].to_numpy()] = own["edge"].fillna(-np.inf).to_numpy(np.float64) - slack
+    return edges
+
+
+def _scorer(spark: SparkSession, shared, edges: dict[str | None, np.ndarray], columns: list[str], lane: str | None, vector: str, digits: int, half: bool):
+    least = spark.sparkContext.broadcast(edges)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, asked_for = shared.value
-        rows = max(1, SCORES // max(1, len(names)))
-        for batch in batches:
-            for at in range(0, len(batch) if len(names) else 0, rows):
-                part = batch.iloc[at : at + rows]
-                x = np.stack(part[vector].to_numpy()).astype(np.float16 if half else np.float64).astype(np.float64)
-                found = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ asked_for.T, digits)
-                for _, own in part.groupby(lane).indices.items() if lane else [(None, np.arange(len(part)))]:
-                    scores = found[own]
-                    edge = np.partition(scores, len(own) - k, axis=0)[len(own) - k] if len(own) > k else scores.min(axis=0)
-                    row, query = np.nonzero(scores >= edge)
-                    out = part.iloc[own[row]][columns]
-                    out.insert(0, "query_id", names[query])
-                    out["score"] = scores[row, query]
-                    yield out
+        names, matrix = shared.value
+        for name, part, scores in _scored_parts(batches, matrix, lane, vector, digits, half):
+            row, query = np.nonzero(scores >= least.value[_lane_name(name)])
+            out = part.iloc[row][columns]
+            out.insert(0, "query_id", names[query])
+            out["score"] = scores[row, query]
+            yield out
 
     return score
 
