@@ -8,7 +8,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,11 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.keys import opened, sampled, sealed
+from corpusmill.functions.keys import opened, sealed
 from corpusmill.functions.spread import spread
+from corpusmill.scratch import durable
 
-#: Documents, at most, on which the model is fitted; every document is then labelled.
+#: Documents, about, that are fitted at a time; the fits of all are averaged.
 FIT_DOCUMENTS = 3_000
+#: Documents in which the least counts of names and ordinary words are met; among more they are met in the same share.
+COUNTED_IN = 3_000
+#: Counts after which a task hands on what it has; counts are summed, so this bounds memory alone.
+_COUNTS = 300_000
 #: Share of capitalised rare words that fitting replaces by words made up of halves of others, so that names never met are known by their context.
 UNSEEN = 0.3
 LABELS = ("O", "email", "phone", "id_number", "B-address", "I-address", "B-person", "I-person")
@@ -226,27 +231,50 @@ _PAIR = re.compile(
 )
 
 
-def gather_names(texts: list[str]) -> Gazetteer:
-    """Names behind forms of address, and behind what else stands mostly before given names met there."""
-    lower: Counter[str] = Counter()
-    pairs: list[tuple[str, str, str]] = []
-    for text in texts:
-        pairs += [((m[1] or m[2]).strip("(.*").casefold(), m[3].casefold(), m[4].casefold()) for m in _PAIR.finditer(text)]
-        lower.update(re.findall(r"(?<![.\w@_+-])[a-z][a-zà-ÿ]{3,}(?![\w@_.+-]\w)", text))
-    common = {w for w, n in lower.items() if n >= 12}
-    first = Counter(given for context, given, _ in pairs if context in FORMS)
-    known = {w for w, n in first.items() if n >= 2 and w not in common}
-    met, names = Counter(context for context, _, _ in pairs), Counter(context for context, given, _ in pairs if given in known)
-    introducing = FORMS | {context for context, n in names.items() if n >= 5 and n >= 0.6 * met[context]}
-    given = Counter(a for context, a, _ in pairs if context in introducing)
-    family = {b for context, _, b in pairs if context in introducing}
-    common |= FORMS | PARTICLES | INTRODUCERS
-    given = {w for w, n in given.items() if n >= 2 and w not in common}
+def name_pairs(text: str) -> list[tuple[str, str, str]]:
+    """What stands before each pair of capitalised words, and the two."""
+    return [((m[1] or m[2]).strip("(.*").casefold(), m[3].casefold(), m[4].casefold()) for m in _PAIR.finditer(text)]
+
+
+def lower_words(text: str) -> list[str]:
+    return re.findall(r"(?<![.\w@_+-])[a-z][a-zà-ÿ]{3,}(?![\w@_.+-]\w)", text)
+
+
+def settle_names(counted: Callable[..., dict[str, int]], common: set[str], per: float) -> Gazetteer:
+    """Names behind forms of address, and behind what else stands mostly before given names met there.
+
+    ``counted(column, least, contexts, givens)`` counts the pairs by one of context, given and family; ``per`` is how many times
+    ``COUNTED_IN`` documents there are.
+    """
+    known = {w for w in counted("given", 2 * per, FORMS) if w not in common}
+    names = counted("context", 5 * per, None, known) if known else {}
+    met = counted("context", 5 * per, set(names)) if names else {}
+    introducing = FORMS | {context for context, n in names.items() if n >= 0.6 * met[context]}
+    common = common | FORMS | PARTICLES | INTRODUCERS
+    given = {w for w in counted("given", 2 * per, introducing) if w not in common}
+    # a family name behind a given one may be rare
+    family = set(counted("family", per, introducing)) | set(counted("family", 1, introducing, given) if given else ())
     family = {w for w in family if w not in common and w not in given}
     ends = Counter(w[-4:] for w in family)
     return Gazetteer(frozenset(given), frozenset(family), frozenset(e for e, n in ends.items() if n >= 4 and len(e) == 4))
 
 
+def gather_names(texts: list[str]) -> Gazetteer:
+    """The names of a list of texts, see ``settle_names``."""
+    per = max(1.0, len(texts) / COUNTED_IN)
+    lower = Counter(word for text in texts for word in lower_words(text))
+    pairs = Counter(pair for text in texts for pair in name_pairs(text))
+
+    def counted(column: str, least: float, contexts: Iterable[str] | None = None, givens: Iterable[str] | None = None) -> dict[str, int]:
+        found: Counter[str] = Counter()
+        for pair, n in pairs.items():
+            if (contexts is None or pair[0] in contexts) and (givens is None or pair[1] in givens):
+                found[pair[("context", "given", "family").index(column)]] += n
+        return {w: n for w, n in found.items() if n >= least}
+
+    return settle_names(counted, {w for w, n in lower.items() if n >= 12 * per}, per)
+
+
 def _name_end(kinds: list[str], texts: list[str], at: int, names: Gazetteer, formal: bool) -> int:
     """The token behind a name that starts at ``at``; ``at`` itself where there is none."""
     i, n, words, given_first = at, len(texts), 0, False
@@ -527,15 +555,35 @@ def _step_limits() -> np.ndarray:
     return steps
 
 
+#: A document for fitting: its live stretches and the kinds, texts, starts and labels of the tokens in them.
+Document = tuple[list[tuple[int, int]], list[str], list[str], list[int], list[int]]
+
+
+@dataclass
+class SkipCounts:
+    """Labels at the ends of skip edges, by kind, and of the words that could have one."""
+
+    agree: np.ndarray = field(default_factory=lambda: np.zeros((3, 4, 4)))
+    eligible: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    mailed: np.ndarray = field(default_factory=lambda: np.zeros(4))
+
+
 def fit_model(texts: list[str], seed: int = 11, passes: int = 4) -> SkipChain:
-    """Fit the chain by its likelihood over weakly labelled lines and the skip potentials piecewise by label agreement.
+    """The model of a list of texts, fitted at a time."""
+    names = gather_names(texts)
+    labelled = [weak_labels(text, names) for text in texts]
+    ordinary = _ordinary_words(labelled)
+    documents = [(live_stretches(text, ordinary), *own) for text, own in zip(texts, labelled, strict=True)]
+    model, counts = fit_part(documents, names, ordinary, seed, passes)
+    return with_skips(model, counts)
+
+
+def fit_part(documents: Iterable[Document], names: Gazetteer, ordinary: frozenset[str], seed: int = 11, passes: int = 4) -> tuple[SkipChain, SkipCounts]:
+    """Fit the chain by its likelihood over weakly labelled lines, and count the labels that skip edges join.
 
     Lines without any label are thinned to a third in fitting; nothing is thinned in use.
     """
     rng = np.random.default_rng(seed)
-    names = gather_names(texts)
-    labelled = [weak_labels(text, names) for text in texts]
-    ordinary = _ordinary_words(labelled)
     words = Vocabulary(names)
     halves = sorted({w for w in ordinary if len(w) > 5}) or ["unknown"]
 
@@ -544,18 +592,17 @@ def fit_model(texts: list[str], seed: int = 11, passes: int = 4) -> SkipChain:
         return words.add("word", (a[: len(a) // 2] + b[len(b) // 2 :]).capitalize())
 
     chains: list[tuple[np.ndarray, np.ndarray]] = []
-    agree = {EQUAL: np.full((4, 4), 0.1), SHOWN: np.full((4, 4), 0.1)}
-    eligible, mailed = np.full(4, 0.1), np.full(4, 0.1)
-    for text, (kinds, tokens, starts, labels) in zip(texts, labelled, strict=True):
+    counts = SkipCounts()
+    for spans, kinds, tokens, starts, labels in documents:
         y = np.array(labels, dtype=np.int64)
         for kind, a, b in skip_links(kinds, tokens, ordinary, names):
             if kind == MAIL:
-                mailed[_GROUP[y[a]]] += 1
+                counts.mailed[_GROUP[y[a]]] += 1
             else:
-                agree[kind][_GROUP[y[a]], _GROUP[y[b]]] += 1
-        for start, stop in live_stretches(text, ordinary):
+                counts.agree[kind][_GROUP[y[a]], _GROUP[y[b]]] += 1
+        for start, stop in spans:
             at, last = bisect_left(starts, start), bisect_left(starts, stop)
-            eligible += np.bincount(_GROUP[[y[i] for i in range(at, last) if kinds[i] == "word" and len(tokens[i]) > 2]], minlength=4)
+            counts.eligible += np.bincount(_GROUP[[y[i] for i in range(at, last) if kinds[i] == "word" and len(tokens[i]) > 2]], minlength=4)
             while at < last:
                 end = min(last, at + 60)
                 while end < last and y[end] and end - at < 90:
@@ -577,7 +624,7 @@ def fit_model(texts: list[str], seed: int = 11, passes: int = 4) -> SkipChain:
         names,
     )
     if not chains:
-        return model
+        return model, counts
     kinds = np.asarray(words.kinds, dtype=np.int64)
     own_width = max(map(len, words.own))
     own = np.full((len(words.own), own_width), -1, dtype=np.int64)
@@ -639,9 +686,16 @@ def fit_model(texts: list[str], seed: int = 11, passes: int = 4) -> SkipChain:
             grad = true - pairs
             step_squares += grad * grad
             model.steps = np.where(limits < 0, limits, model.steps + 0.3 * grad / np.sqrt(step_squares)).astype(np.float32)
+    return model, counts
+
+
+def with_skips(model: SkipChain, counts: SkipCounts) -> SkipChain:
+    """The model with its skip potentials, piecewise from label agreement."""
+    eligible, mailed = counts.eligible + 0.1, counts.mailed + 0.1
     base = eligible / eligible.sum()
-    for kind, counts in agree.items():
-        joint = (counts + counts.T) / (2 * counts.sum())
+    for kind in (EQUAL, SHOWN):
+        agree = counts.agree[kind] + 0.1
+        joint = (agree + agree.T) / (2 * agree.sum())
         # next to nothing may be rare of its own, or one chance pair would weigh much
         alone = np.maximum(base if kind == SHOWN else joint.sum(1), 0.1)
         lift = np.clip(np.log(joint / (alone[:, None] * alone[None, :])), -8, 8)
@@ -654,30 +708,55 @@ def fit_model(texts: list[str], seed: int = 11, passes: int = 4) -> SkipChain:
     return model
 
 
-def _ordinary_words(labelled: list[tuple[list[str], list[str], list[int], list[int]]]) -> frozenset[str]:
-    """Words of at least three documents that are seldom part of an item; every labelled name and address keeps one other word at least."""
-    documents, inside, every = Counter(), Counter(), Counter()
-    items: set[frozenset[str]] = set()
-    for _, tokens, _, labels in labelled:
+class Tally:
+    """Per word the documents that have it, its tokens inside items and all of them; and the words of each name and address."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, list[int]] = {}
+        self.items: set[tuple[str, ...]] = set()
+
+    def add(self, kinds: list[str], tokens: list[str], labels: list[int]) -> None:
         low = [t.lower() for t in tokens]
-        documents.update(set(low))
-        every.update(low)
-        inside.update(w for w, y in zip(low, labels, strict=True) if y)
+        seen = set()
+        for kind, word, label in zip(kinds, low, labels, strict=True):
+            if kind == "word":
+                own = self.words.setdefault(word, [0, 0, 0])
+                if word not in seen:
+                    seen.add(word)
+                    own[0] += 1
+                own[1] += label != O
+                own[2] += 1
         at = 0
         while at < len(low):
             end = at + 1
             if labels[at] >= B_ADR:
                 while end < len(low) and labels[end] in (I_ADR, I_PER):
                     end += 1
-                items.add(frozenset(w for w in low[at:end] if len(w) > 1 and w.isalpha()))
+                self.items.add(tuple(sorted({w for w in low[at:end] if len(w) > 1 and w.isalpha()})))
             at = end
-    ordinary = {w for w, n in documents.items() if n >= 3 and inside[w] * 10 <= 3 * every[w]} - FORMS
-    for item in sorted(map(sorted, items)):
+
+
+def seldom_in_items(words: dict[str, list[int]], per: float) -> set[str]:
+    """Words of at least three documents, or that share of many, that are seldom part of an item."""
+    return {w for w, (documents, inside, every) in words.items() if documents >= 3 * per and inside * 10 <= 3 * every} - FORMS
+
+
+def keep_items(ordinary: set[str], words: dict[str, list[int]], items: Iterable[tuple[str, ...]]) -> frozenset[str]:
+    """``ordinary`` less what it takes for every labelled name and address to keep one other word at least."""
+    for item in sorted(items):
         if item and ordinary.issuperset(item):
-            ordinary.discard(max(item, key=lambda w: (inside[w] / every[w], w)))
+            ordinary.discard(max(item, key=lambda w: (words[w][1] / words[w][2], w)))
     return frozenset(ordinary)
 
 
+def _ordinary_words(labelled: list[tuple[list[str], list[str], list[int], list[int]]]) -> frozenset[str]:
+    """The ordinary words of a list of labelled texts."""
+    tally = Tally()
+    for kinds, tokens, _, labels in labelled:
+        tally.add(kinds, tokens, labels)
+    return keep_items(seldom_in_items(tally.words, max(1.0, len(labelled) / COUNTED_IN)), tally.words, tally.items)
+
+
 def _plain(word: str) -> str:
     """The word without case and accents."""
     low = word.casefold()
@@ -889,13 +968,176 @@ def _finder(shared, as_rows: bool):
     return find
 
 
+_PAIRS = "context string, given string, family string, n bigint"
+
+
+def _count_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of name pairs, and with the word alone as ``family`` of lower-case words."""
+    counts: Counter[tuple[str | None, str | None, str]] = Counter()
+
+    def given_on() -> pd.DataFrame:
+        out = pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["context", "given", "family", "n"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for text in batch["text"]:
+            counts.update(name_pairs(text))
+            counts.update((None, None, word) for word in lower_words(text))
+            if len(counts) >= _COUNTS:
+                yield given_on()
+    if counts:
+        yield given_on()
+
+
+_LABELLED = "word string, documents bigint, inside bigint, every bigint, item array<string>, text string, place array<int>, label array<int>"
+
+
+def _label_weakly(shared):
+    """Every text with the places and labels of the tokens that have one, and the tallies of all."""
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally, columns = Tally(), [c.split(" ")[0] for c in _LABELLED.split(", ")]
+
+        def given_on() -> pd.DataFrame:
+            rows = [(w, *n, None, None, None, None) for w, n in tally.words.items()]
+            rows += [(None, 0, 0, 0, list(item), None, None, None) for item in tally.items]
+            tally.__init__()
+            return pd.DataFrame(rows, columns=columns)
+
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                kinds, tokens, starts, labels = weak_labels(text, shared.value)
+                tally.add(kinds, tokens, labels)
+                some = [(start, y) for start, y in zip(starts, labels, strict=True) if y]
+                rows.append((None, 0, 0, 0, None, text, [start for start, _ in some], [y for _, y in some]))
+            yield pd.DataFrame(rows, columns=columns)
+            if len(tally.words) + len(tally.items) >= _COUNTS:
+                yield given_on()
+        yield given_on()
+
+    return label
+
+
+def _within(shared):
+    """The items that have no word but ordinary ones."""
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[shared.value.issuperset(item) for item in batch["item"]]]
+
+    return within
+
+
+#: Weights are summed as whole multiples of this, so that their order does not matter.
+_GRAIN = 2.0**-24
+_FITTED = "matrix int, cell int, parts bigint, " + ", ".join(f"w{k} bigint" for k in range(len(LABELS)))
+
+
+def _matrices(model: SkipChain, counts: SkipCounts) -> list[np.ndarray]:
+    """All that is fitted, as views of rows of eight."""
+    skips = np.zeros((14, len(LABELS)))
+    skips[:, :4] = np.concatenate([counts.agree.reshape(-1, 4), counts.eligible[None], counts.mailed[None]])
+    return [model.own, *model.near, model.triples, model.steps, skips]
+
+
+def _fitter(shared, seed: int):
+    """The sums of the fits of a task's parts, which come one after another, equal texts side by side."""
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, ordinary = shared.value
+        sums: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+
+        def fit(part: int, own: list[Document]) -> None:
+            for n, matrix in enumerate(_matrices(*fit_part(own, names, ordinary, seed + part))):
+                if len(sums) == n:
+                    sums.append(np.zeros(matrix.shape, np.int64))
+                    parts.append(np.zeros(len(matrix), np.int64))
+                sums[n] += np.rint(matrix / _GRAIN).astype(np.int64)
+                parts[n] += matrix.any(1)
+
+        now, last, own = -1, None, []
+        for batch in batches:
+            for part, text, place, label in zip(batch["part"], batch["text"], batch["place"], batch["label"], strict=True):
+                if part != now:
+                    if own:
+                        fit(now, own)
+                    now, last, own = part, None, []
+                if text != last:
+                    own.append(_document(text, dict(zip(place, label, strict=True)), ordinary))
+                last = text
+        if own:
+            fit(now, own)
+        for n, (matrix, count) in enumerate(zip(sums, parts, strict=True)):
+            cells = np.flatnonzero(count)
+            yield pd.DataFrame({"matrix": n, "cell": cells, "parts": count[cells], **{f"w{k}": matrix[cells, k] for k in range(len(LABELS))}})
+
+    return fitted
+
+
+def _document(text: str, labels: dict[int, int], ordinary: frozenset[str]) -> Document:
+    spans = live_stretches(text, ordinary)
+    kinds, tokens, starts = [], [], []
+    for a, b in spans:
+        k, w, s = tokenize(text[a:b])
+        kinds += k
+        tokens += w
+        starts += [a + x for x in s]
+    return spans, kinds, tokens, starts, [labels.get(x, O) for x in starts]
+
+
 def _model(documents: DataFrame, fit_documents: int, seed: int):
-    rows = documents.where("text is not null and length(trim(text)) > 0").select("doc_id", "text")
-    total = max(1, rows.count())
-    # the limit acts only where one doc_id is that of a great part of all rows
-    rows = rows.where(sampled(fit_documents / total, seed, "doc_id")).limit(2 * fit_documents)
-    texts = sorted(r["text"] for r in rows.collect())
-    return documents.sparkSession.sparkContext.broadcast(fit_model(texts, seed))
+    """The model of all documents: names and ordinary words by counts over all, weights and potentials as means over fits of parts.
+
+    Which part a text is in is settled by the text, and equal texts are fitted once, so neither order nor partitions matter.
+    A weight is the mean over the parts that have its feature.
+    """
+    spark = documents.sparkSession
+    rows = documents.where("text is not null and length(trim(text)) > 0").select("text")
+    total = rows.count()
+    per = max(1.0, total / COUNTED_IN)
+    rows = spread(rows)
+    pairs = durable(rows.mapInPandas(_count_names, _PAIRS).groupBy("context", "given", "family").agg(F.sum("n").alias("n")))
+
+    def counted(column: str, least: float, contexts: Iterable[str] | None = None, givens: Iterable[str] | None = None) -> dict[str, int]:
+        some = pairs.where("context is not null")
+        for of, values in (("context", contexts), ("given", givens)):
+            some = some if values is None else some.where(F.col(of).isin(sorted(values)))
+        return {r[0]: r["n"] for r in some.groupBy(column).agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
+
+    common = {r["family"] for r in pairs.where("context is null").where(F.col("n") >= 12 * per).collect()}
+    names = settle_names(counted, common, per)
+    labelled = durable(rows.mapInPandas(_label_weakly(spark.sparkContext.broadcast(names)), _LABELLED))
+    sums = [F.sum(c).alias(c) for c in ("documents", "inside", "every")]
+    frequent = labelled.where("word is not null").groupBy("word").agg(*sums).where(F.col("documents") >= 3 * per).where("inside * 10 <= 3 * every").collect()
+    words = {r["word"]: [r["documents"], r["inside"], r["every"]] for r in frequent}
+    seldom = seldom_in_items(words, per)
+    inner = labelled.where("item is not null").select("item").distinct().mapInPandas(_within(spark.sparkContext.broadcast(seldom)), "item array<string>").collect()
+    ordinary = keep_items(seldom, words, [tuple(r["item"]) for r in inner])
+    parts = max(1, -(-total // fit_documents))
+    # no more tasks than parts, and several parts to a task where there are many
+    tasks = min(parts, max(8 * spark.sparkContext.defaultParallelism, parts // 16))
+    dealt = labelled.where("text is not null").select(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(parts)).cast("int").alias("part"), "text", "place", "label")
+    fitted = dealt.repartition(tasks, "part").sortWithinPartitions("part", "text").mapInPandas(_fitter(spark.sparkContext.broadcast((names, ordinary)), seed), _FITTED)
+    sums = [F.sum(c).alias(c) for c in fitted.columns[2:]]
+    return spark.sparkContext.broadcast(_mean(fitted.groupBy("matrix", "cell").agg(*sums).toArrow().to_pandas(), parts, names, ordinary))
+
+
+def _mean(fitted: pd.DataFrame, parts: int, names: Gazetteer, ordinary: frozenset[str]) -> SkipChain:
+    """The model whose weights are the means of those fitted."""
+    zeros = [np.zeros((_CELLS, len(LABELS)), np.float32) for _ in range(2 + len(_OFFSETS))]
+    matrices = [*zeros, _step_limits(), np.zeros((14, len(LABELS)))]
+    for n, own in fitted.groupby("matrix"):
+        # label agreement is counted in every part
+        shares = own["parts"].to_numpy() if n < len(matrices) - 1 else np.full(len(own), parts)
+        matrices[n][own["cell"]] = own[[f"w{k}" for k in range(len(LABELS))]].to_numpy() * _GRAIN / shares[:, None]
+    own, *near, triples, steps, skips = matrices
+    limits = _step_limits()
+    steps = np.where(limits < 0, limits, steps)
+    model = SkipChain(own, np.stack(near), triples, steps, np.zeros((3, len(LABELS), len(LABELS)), np.float32), ordinary, names)
+    return with_skips(model, SkipCounts(skips[:12, :4].reshape(3, 4, 4), skips[12, :4], skips[13, :4])) if len(fitted) else model
 
 
 def find_personal_information(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS, seed: int = 11) -> DataFrame:
@@ -907,9 +1149,9 @@ def find_personal_information(documents: DataFrame, fit_documents: int = FIT_DOC
     A skip-chain conditional random field labels tokens; e-mail addresses, number groups and
     codes are one token each. Chains join neighbouring tokens, skip edges join repetitions of
     a capitalised word in a document, and loopy message passing settles both. The model is
-    fitted on at most ``fit_documents`` documents, labelled by notations, label words and the
-    names that forms of address introduce; all documents are then labelled whole, in one pass
-    without a shuffle.
+    fitted on all documents, labelled by notations, label words and the names that forms of
+    address introduce: names and words are counted over all, weights are means over parts of
+    about ``fit_documents``. All documents are then labelled whole, in one pass without a shuffle.
     """
     shared = _model(documents, fit_documents, seed)
     rows = documents.select(sealed("doc_id").alias("doc_id"), "text").where("text is not null")
