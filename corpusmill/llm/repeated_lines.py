@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,12 +20,11 @@ _DIGITS = re.compile(r"[0-9]+")
 TREE_DEPTH = 2
 #: Two lines of one leaf share a template if at least so much of their tokens is equal; the others are slots.
 ALIKE = 2 / 3
-#: Templates after which a partition's trees are handed on; trees merge, so this bounds memory alone.
+#: Templates after which a task hands on what it has; leaves are never split, so this bounds memory alone.
 TREE_TEMPLATES = 200_000
 #: Rows of frequent leaves, templates or keys up to which they are sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-
-#: Distinct lines, about, of a leaf beyond which it branches by one more token, so that no task holds more templates.
+#: Lines of a leaf for each task that matches them, where templates are too many to be sent to every task.
 LEAF_LINES = 100_000
 
 Template = tuple[str | None, ...]
@@ -45,35 +45,84 @@ def key_hash(key: str) -> bytes:
     return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def grow(templates: list[Template], tokens: Sequence[str | None]) -> None:
-    """Take a line, or another tree's template, into the templates of a leaf.
+def grow(templates: list[Template], tokens: Sequence[str | None], among: Iterable[int] | None = None) -> int:
+    """Take a line, or another tree's template, into the templates of a leaf; the place of its template.
 
-    The template most alike gets slots where the two differ; if none is alike enough there is one more.
+    The template most alike, of those ``among`` which all alike enough are, gets slots where the two differ; if none is alike
+    enough there is one more.
     """
     best, most = -1, ALIKE * len(tokens) - 1e-9
-    for at, template in enumerate(templates):
-        equal = sum(a is not None and a == b for a, b in zip(template, tokens, strict=True))
+    for at in range(len(templates)) if among is None else among:
+        equal = sum(a is not None and a == b for a, b in zip(templates[at], tokens, strict=True))
         if equal >= most and (best < 0 or equal > most):
             best, most = at, equal
     if best < 0:
+        best = len(templates)
         templates.append(tuple(tokens))
     else:
         templates[best] = tuple(a if a == b else None for a, b in zip(templates[best], tokens, strict=True))
+    return best
 
 
-def matching(templates: list[Template], tokens: Sequence[str]) -> int:
+def matching(templates: list[Template], tokens: Sequence[str], among: Iterable[int] | None = None) -> int:
     """The template of a leaf whose fixed tokens the line has, of several the one with most of them; -1 if there is none.
 
     Every line that templates were grown from has one, since merging makes slots only.
     """
     best, most = -1, -1
-    for at, template in enumerate(templates):
-        fixed = sum(a is not None for a in template)
-        if fixed > most and all(a is None or a == b for a, b in zip(template, tokens, strict=True)):
+    for at in range(len(templates)) if among is None else among:
+        fixed = sum(a is not None for a in templates[at])
+        if fixed > most and all(a is None or a == b for a, b in zip(templates[at], tokens, strict=True)):
             best, most = at, fixed
     return best
 
 
+class Leaf:
+    """The templates of a leaf, found by their fixed tokens, so that a line is compared with few of them however many there are."""
+
+    def __init__(self, templates: Iterable[Template] = ()):
+        self.templates: list[Template] = []
+        self.fixed: dict[tuple[int, str], set[int]] = {}
+        for template in templates:
+            self.add(template)
+
+    def add(self, template: Template) -> None:
+        self.templates.append(template)
+        self._enter(len(self.templates) - 1)
+
+    def _enter(self, at: int) -> None:
+        for place in enumerate(self.templates[at]):
+            if place[1] is not None:
+                self.fixed.setdefault(place, set()).add(at)
+
+    def _near(self, tokens: Sequence[str]) -> list[int]:
+        """All templates that share ``ALIKE`` of the tokens: of any places two more than it may miss, each has the tokens of two.
+
+        No template has fewer fixed tokens, so all that a line fits are among them.
+        """
+        need = math.ceil(ALIKE * len(tokens) - 1e-9)
+        rarest = sorted((self.fixed.get(place, set()) for place in enumerate(tokens)), key=len)[: len(tokens) - need + min(2, need)]
+        once, twice = set(rarest[0]), set(rarest[0]) if need < 2 else set()
+        for own in rarest[1:]:
+            twice |= once & own
+            if own is not rarest[-1]:
+                once |= own
+        return sorted(twice)
+
+    def grow(self, tokens: Sequence[str]) -> None:
+        near = self._near(tokens)
+        before = {at: self.templates[at] for at in near}
+        at = grow(self.templates, tokens, near)
+        for place, token in enumerate(before.get(at, ())):
+            if token is not None and self.templates[at][place] is None:
+                self.fixed[place, token].discard(at)
+        if at not in before:
+            self._enter(at)
+
+    def matching(self, tokens: Sequence[str]) -> int:
+        return matching(self.templates, tokens, self._near(tokens))
+
+
 def _text(value: object) -> str:
     return value if isinstance(value, str) else ""
 
@@ -102,71 +151,73 @@ def _parse_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"site": batch["site"], "post": batch["post"], "post_id": batch["post_id"], **dict(zip(names, columns, strict=True))})
 
 
-def _grow_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per partition the templates below every leaf of each site's tree."""
-    leaves: dict[tuple[str, int], list[Template]] = {}
-    met: set[tuple[str, str]] = set()
-    count = 0
+_TREES = "site string, leaf bigint, template int, tokens array<string>"
 
-    def cut() -> pd.DataFrame:
-        out = pd.DataFrame([(site, leaf, list(t)) for (site, leaf), own in leaves.items() for t in own], columns=["site", "leaf", "template"])
-        leaves.clear()
-        met.clear()
-        return out
+
+def _grow_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The templates of every leaf, whose lines come one after another in their order."""
+    now, leaf = None, Leaf()
+    out: list[tuple[str, int, int, list[str | None]]] = []
+
+    def close() -> None:
+        found = sorted(set(leaf.templates), key=lambda t: [x or "" for x in t])
+        out.extend((*now, n, list(t)) for n, t in enumerate(found))
+
+    def given_on() -> pd.DataFrame:
+        rows = pd.DataFrame(out, columns=["site", "leaf", "template", "tokens"])
+        out.clear()
+        return rows
 
     for batch in batches:
-        for site, leaf, line in zip(batch["site"], batch["leaf"], batch["line"], strict=True):
-            if (site, line) in met:
-                continue
-            met.add((site, line))
-            own = leaves.setdefault((site, leaf), [])
-            before = len(own)
-            grow(own, line.split(" "))
-            count += len(own) - before
-            if count >= TREE_TEMPLATES or len(met) >= 4 * TREE_TEMPLATES:
-                yield cut()
-                count = 0
-    if leaves:
-        yield cut()
-
-
-def _merge_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The partitions' templates of a leaf as those of one tree."""
-    for batch in batches:
-        merged = []
-        for parts in batch["templates"]:
-            own: list[Template] = []
-            for template in sorted((tuple(p) for p in parts), key=lambda t: (sum(x is None for x in t), [x or "" for x in t])):
-                grow(own, template)
-            merged.append([list(t) for t in sorted(set(own), key=lambda t: [x or "" for x in t])])
-        yield batch[["site", "leaf"]].assign(templates=merged)
+        for site, number, line in zip(batch["site"], batch["leaf"], batch["line"], strict=True):
+            if (site, number) != now:
+                if now is not None:
+                    close()
+                    if len(out) >= TREE_TEMPLATES:
+                        yield given_on()
+                now, leaf = (site, number), Leaf()
+            leaf.grow(line.split(" "))
+    if now is not None:
+        close()
+        yield given_on()
 
 
 _MATCHED = "site string, post bigint, post_id bigint, line_no int, leaf bigint, key binary, first boolean, least int, template int, first_template boolean"
 
 
 def _match(shared):
-    """Every line's template and whether it is the first line of its post with that template, among those that pass by together."""
+    """Every line's template and whether it is the first line of its post with that template, among those that pass by together.
+
+    Without ``shared`` templates, those of a leaf come as rows before its lines.
+    """
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, int], list[Template]] = shared.value if shared is not None else {}
-        post, seen = None, set()
+        known: dict[tuple[str, int], Leaf] = {}
+        post, seen, now, leaf = None, set(), None, Leaf()
         for batch in batches:
-            numbers, firsts, cache = [], [], {}
-            sent = batch["templates"] if "templates" in batch else [None] * len(batch)
-            for site, leaf, own, line, templates in zip(batch["site"], batch["leaf"], batch["post"], batch["line"], sent, strict=True):
-                place = (site, line)
-                at = cache.get(place)
+            numbers, firsts, cache, lines = [], [], {}, [True] * len(batch)
+            sent = batch["tokens"] if shared is None else [None] * len(batch)
+            part = batch["part"] if shared is None else [0] * len(batch)
+            for n, (site, number, own, line, tokens, among) in enumerate(zip(batch["site"], batch["leaf"], batch["post"], batch["line"], sent, part, strict=True)):
+                if (site, number, among) != now:
+                    now = (site, number, among)
+                    leaf = known.get(now[:2]) if shared is not None else Leaf()
+                    if leaf is None:
+                        leaf = known[now[:2]] = Leaf(shared.value[now[:2]])
+                if tokens is not None:
+                    leaf.add(tuple(tokens))
+                    lines[n] = False
+                    continue
+                at = cache.get((site, line))
                 if at is None:
-                    among = known[site, leaf] if templates is None else [tuple(t) for t in templates]
-                    at = cache[place] = matching(among, line.split(" "))
+                    at = cache[site, line] = leaf.matching(line.split(" "))
                 if own != post:
                     post = own
                     seen.clear()
                 numbers.append(at)
-                firsts.append((leaf, at) not in seen)
-                seen.add((leaf, at))
-            yield batch.drop(columns=["line", "templates"], errors="ignore").assign(template=numbers, first_template=firsts)
+                firsts.append((number, at) not in seen)
+                seen.add((number, at))
+            yield batch[lines].drop(columns=["line", "tokens", "part"], errors="ignore").assign(template=numbers, first_template=firsts)
 
     return match
 
@@ -188,60 +239,57 @@ def _posts(blog: DataFrame, *more: str) -> DataFrame:
     return blog.select(F.coalesce("site", F.lit("")).alias("site"), F.monotonically_increasing_id().alias("post"), "post_id", "html", *more)
 
 
-def _branched(candidates: DataFrame, leaves: DataFrame, columns: list[str]) -> DataFrame:
-    """The candidates, crowded leaves branching by further tokens until none holds more than ``LEAF_LINES`` lines.
+def _with_templates(candidates: DataFrame, trees: DataFrame) -> DataFrame:
+    """Lines behind the templates of their leaf. A leaf of many lines comes in parts by post, each with all its templates.
 
-    A branch that too few posts reach is left; lines that stand twice in a post count twice here, never too few.
+    There are at most so many parts that templates do not outnumber lines.
     """
-    depth, done = TREE_DEPTH, []
-    crowded = durable(leaves.where(F.col("n") > LEAF_LINES).select("site", "leaf"))
-    while few := crowded.count():
-        side = F.broadcast(crowded) if few <= BROADCAST_ROWS else crowded
-        done.append(candidates.join(side, ["site", "leaf"], "left_anti").select(*columns))
-        depth += 1
-        token = F.get(F.split("line", " "), depth - 1)
-        below = durable(candidates.join(side, ["site", "leaf"], "left_semi").withColumn("leaf", F.xxhash64("leaf", token)).select(*columns))
-        reach = below.groupBy("site", "leaf", "least").agg(F.count_if("first").alias("posts"), F.approx_count_distinct("key").alias("n"))
-        reached = durable(reach.where("posts >= least").select("site", "leaf", "n"))
-        candidates = _join_few(below, reached.select("site", "leaf"), ["site", "leaf"]).select(*columns)
-        crowded = durable(reached.where(F.col("n") > LEAF_LINES).select("site", "leaf"))
-    for more in done:
-        candidates = candidates.unionByName(more)
-    return candidates
+    lines = candidates.groupBy("site", "leaf").agg(F.count("*").alias("lines"))
+    sizes = trees.groupBy("site", "leaf").agg(F.count("*").alias("templates")).join(lines, ["site", "leaf"])
+    parts = F.floor(F.col("lines") / F.greatest(F.lit(LEAF_LINES), "templates")) + 1
+    parts = durable(sizes.select("site", "leaf", parts.cast("int").alias("parts")))
+    rows = _join_few(candidates, parts, ["site", "leaf"]).withColumn("part", F.pmod(F.xxhash64("post"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("tokens", F.lit(None).cast("array<string>")).withColumn("template", F.lit(-1)).drop("parts")
+    first = _join_few(trees, parts, ["site", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    none = {"post": F.lit(0).cast("bigint"), "post_id": F.lit(0).cast("bigint"), "line_no": F.lit(0), "key": F.lit(b""), "first": F.lit(False), "least": F.lit(0), "line": F.lit("")}
+    both = rows.unionByName(first.withColumns(none).drop("parts"))
+    ordered = both.repartition("site", "leaf", "part").sortWithinPartitions("site", "leaf", "part", F.col("tokens").isNull(), "template", "post")
+    return ordered.drop("template")
 
 
 def matched_lines(posts: DataFrame, min_posts: int = 5, min_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """The lines of frequent templates, and those templates as (site, leaf, template, tokens).
 
-    Lines are parsed once. Crowded leaves branch further, see ``_branched``. A leaf is reached by at least as many posts as any line below it, and
-    each line has one template, so neither step loses a repeated line.
+    Lines are parsed once. The templates of a leaf are grown from its different lines in their order, so they depend on these alone,
+    neither on partitions nor on any size. A leaf is reached by at least as many posts as any line below it, and each line has one
+    template, so neither step loses a repeated line.
     """
     spark = posts.sparkSession
     least = durable(_posts_of_sites(posts, min_posts, min_share))
     parsed = posts.where("html is not null").withColumn("post_id", sealed("post_id")).mapInPandas(_parse_lines, _LINES).withColumn("post_id", opened("post_id"))
     zipped = F.arrays_zip("line_no", "leaf", "key", "first", "first_leaf", "line")
     lines = durable(parsed.select("site", "post", "post_id", F.explode(zipped).alias("l")).select("site", "post", "post_id", "l.*"))
-    reach = lines.groupBy("site", "leaf").agg(F.count_if("first_leaf").alias("posts"), F.approx_count_distinct("key").alias("n"))
-    leaves = durable(_join_few(reach, least, ["site"]).where("posts >= least").select("site", "leaf", "least", "n"))
+    reach = lines.groupBy("site", "leaf").agg(F.count_if("first_leaf").alias("posts"))
+    leaves = durable(_join_few(reach, least, ["site"]).where("posts >= least").select("site", "leaf", "least"))
     columns = ["site", "post", "post_id", "line_no", "leaf", "key", "first", "least", "line"]
-    candidates = _branched(_join_few(lines, leaves, ["site", "leaf"]).select(*columns), leaves, columns)
-    grown = candidates.select("site", "leaf", "line").mapInPandas(_grow_trees, "site string, leaf bigint, template array<string>")
-    merged = grown.groupBy("site", "leaf").agg(F.collect_set("template").alias("templates"))
-    trees = durable(merged.mapInPandas(_merge_trees, "site string, leaf bigint, templates array<array<string>>"))
-    size = trees.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0)).alias("n")).first()["n"]
+    candidates = _join_few(lines, leaves, ["site", "leaf"]).select(*columns)
+    different = candidates.select("site", "leaf", "line").distinct().repartition("site", "leaf").sortWithinPartitions("site", "leaf", "line")
+    trees = durable(different.mapInPandas(_grow_leaves, _TREES))
     shared = None
-    if size <= BROADCAST_ROWS:
-        shared = spark.sparkContext.broadcast({(r["site"], r["leaf"]): [tuple(t) for t in r["templates"]] for r in trees.collect()})
-        sent = candidates
+    if trees.count() <= BROADCAST_ROWS:
+        known: dict[tuple[str, int], list[Template]] = {}
+        for r in sorted(trees.collect(), key=lambda r: r["template"]):
+            known.setdefault((r["site"], r["leaf"]), []).append(tuple(r["tokens"]))
+        shared = spark.sparkContext.broadcast(known)
+        sent = candidates.withColumn("post_id", sealed("post_id"))
     else:
-        sent = candidates.join(trees, ["site", "leaf"])
-    matched = durable(sent.withColumn("post_id", sealed("post_id")).mapInPandas(_match(shared), _MATCHED).withColumn("post_id", opened("post_id")))
+        sent = _with_templates(candidates.withColumn("post_id", sealed("post_id")), trees)
+    matched = durable(sent.mapInPandas(_match(shared), _MATCHED).withColumn("post_id", opened("post_id")))
     # a post that two tasks share counts twice here: never too few
     cover = matched.groupBy("site", "leaf", "template", "least").agg(F.count_if("first_template").alias("posts"))
     frequent = durable(cover.where("posts >= least").select("site", "leaf", "template"))
     found = _join_few(matched, frequent, ["site", "leaf", "template"])
-    shown = trees.select("site", "leaf", F.posexplode("templates").alias("template", "tokens"))
-    return found, shown
+    return found, trees
 
 
 def _repeated(posts: DataFrame, min_posts: int, min_share: float) -> DataFrame:
@@ -260,9 +308,9 @@ def repeated_lines(blog: DataFrame, min_posts: int = 5, min_share: float = 0.1)
     null site is one site of its own; an empty table gives no rows. Each row of the table is a
     post, also where a post_id repeats.
 
-    Each partition grows a token tree per site, of fixed depth: by token count, then by leading
-    tokens; below a leaf stand templates, whose tokens are slots where their lines differ. Trees
-    merge leaf by leaf. Lines are matched with the merged templates, and those of templates that
+    Each site has a token tree of fixed depth: by token count, then by leading tokens; below a
+    leaf stand templates, whose tokens are slots where their lines differ. Lines are told apart in
+    each partition and meet leaf by leaf. Lines are matched with the merged templates, and those of templates that
     cover enough posts are counted one by one, so that only equal lines make a case. All counts
     are summed before the shuffle, whatever the share of one site. The frequent leaves of a
     site are at most 1/``min_share`` times its mean number of lines per post; leaves, templates
